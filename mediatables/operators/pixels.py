@@ -40,6 +40,6 @@ def block_grid_score(pixels: DataFrame) -> DataFrame:
     step = F.abs(F.lead("v").over(Window.partitionBy("image_id", "y").orderBy("x")) - F.col("v"))
     d = luma.withColumn("step", step)
     a = d.groupBy("image_id").agg(F.avg(F.when(F.col("x") % 8 == 7, F.col("step"))).alias("edge"), F.avg("step").alias("mean"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    usable = (F.col("w") >= 64) & (F.col("h") >= 64) & (F.col("mean") >= 0.01 / 255)
+    usable = (F.col("w") >= 64) & (F.col("h") >= 64) & (F.col("mean") >= 0.01)
     score = F.when(usable, F.col("edge") / F.col("mean")).otherwise(0.0)
     return a.select("image_id", score.alias("score"), (score > 1.5).alias("compressed"))

@@ -42,7 +42,7 @@ def chains(spark: SparkSession, passes: int = 3) -> DataFrame:
     """
     rows = []
     for name, scale, _, _, weight in MODELS:
-        options = {(name, scale, weight), ("fast2x", 2, 1.0)}
+        options = {(name, scale, weight), (name, scale, weight) if scale == 2 else ("fast2x", 2, 1.0)}
         for n in range(1, passes + 1):
             for rest in product(sorted(options), repeat=n - 1):
                 steps, net, cost = [], 1, 0.0

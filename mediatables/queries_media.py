@@ -329,7 +329,7 @@ def _chain_rows() -> str:
     rows = []
     for name, scale, _, _, weight in images.MODELS:
         for n in range(1, 4):
-            for rest in product(sorted({(name, scale, weight), ("fast2x", 2, 1.0)}), repeat=n - 1):
+            for rest in product(sorted({(name, scale, weight), (name, scale, weight) if scale == 2 else ("fast2x", 2, 1.0)}), repeat=n - 1):
                 net, cost, steps = 1, 0.0, []
                 for m, k, w in ((name, scale, weight), *rest):
                     net, steps = net * k, [*steps, m]
@@ -368,7 +368,7 @@ ORACLES = {
     "number_outputs": f"WITH n AS (SELECT page_id, path || page_id AS path, substr(stem, 1, 1) AS base FROM {_INVENTORY}) SELECT page_id, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS output FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) + coalesce(upto, 0) AS k FROM n LEFT JOIN {_TAKEN} USING (base))",
     "export_results": f"SELECT event_id, {_STATUS} AS status, CASE WHEN event_type = 'error' THEN props END AS message, format('{{:.2f}}', round_even(value, 2)) AS seconds FROM events",
     "pixel_stats": f"WITH z AS (SELECT image_id, greatest(1, greatest(max(y) + 1, max(x) + 1) // 600) AS step FROM {_PIXELS} GROUP BY image_id), s AS (SELECT *, r + g + b AS t FROM {_PIXELS} JOIN z USING (image_id) WHERE y % step = 0 AND x % step = 0), n AS (SELECT *, lag(t) OVER (PARTITION BY image_id, y ORDER BY x) AS l, lag(t) OVER (PARTITION BY image_id, x ORDER BY y) AS a FROM s), q AS (SELECT image_id, count(DISTINCT (r, g, b))::DOUBLE / count(*) AS u, (avg((l = t)::INT) + avg((a = t)::INT)) / 2 AS f FROM n GROUP BY image_id) SELECT image_id, round(u, 6) AS unique_share, round(f, 6) AS flat_share, CASE WHEN u < 0.03 AND f > 0.85 THEN 'anime' ELSE 'photo' END AS content FROM q",
-    "block_grid_score": "WITH p AS (SELECT event_id % 3 AS image_id, event_id // 192 AS y, event_id // 3 % 64 AS x, (floor(value)::BIGINT % 256) / 3.0::DOUBLE / 255 AS v FROM events), q AS (SELECT *, abs(lead(v) OVER (PARTITION BY image_id, y ORDER BY x) - v) AS st FROM p), a AS (SELECT image_id, avg(st) FILTER (x % 8 = 7) AS e, avg(st) AS m, max(x) + 1 AS w, max(y) + 1 AS h FROM q GROUP BY image_id), r AS (SELECT image_id, CASE WHEN w >= 64 AND h >= 64 AND m >= 0.01 / 255 THEN e / m ELSE 0 END AS s FROM a) SELECT image_id, round(s, 6) AS score, s > 1.5 AS compressed FROM r",
+    "block_grid_score": "WITH p AS (SELECT event_id % 3 AS image_id, event_id // 192 AS y, event_id // 3 % 64 AS x, (floor(value)::BIGINT % 256) / 3.0::DOUBLE / 255 AS v FROM events), q AS (SELECT *, abs(lead(v) OVER (PARTITION BY image_id, y ORDER BY x) - v) AS st FROM p), a AS (SELECT image_id, avg(st) FILTER (x % 8 = 7) AS e, avg(st) AS m, max(x) + 1 AS w, max(y) + 1 AS h FROM q GROUP BY image_id), r AS (SELECT image_id, CASE WHEN w >= 64 AND h >= 64 AND m >= 0.01 THEN e / m ELSE 0 END AS s FROM a) SELECT image_id, round(s, 6) AS score, s > 1.5 AS compressed FROM r",
     "settled_sessions": "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k",
     "progress_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "dedupe_events": "SELECT DISTINCT user_id, event_type FROM events",

@@ -128,5 +128,7 @@ def write_snapshot(table: DataFrame, path: str, number: int) -> None:
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The latest snapshot whose writer finished."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true").load(path).select(F.max(F.regexp_extract("path", r"snapshot_id=(\d+)", 1).cast("long"))).first()[0]
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_id=*/_SUCCESS")
+    marked = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    done = max(int(m.getPath().getParent().getName().partition("=")[2]) for m in marked)
     return spark.read.parquet(f"{path}/snapshot_id={done}")
