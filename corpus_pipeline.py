@@ -49,10 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and whether they decode to it."""
-    path = vocabulary_path()
-    out = bpe.with_token_ids(docs.select("doc_id", "lang", "source", "text"), path)
-    out = bpe.with_decoded_text(out, path)
-    return out.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "token_ids")
+    out = bpe.encoded_and_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary_path())
+    return out.select("row.doc_id", "row.lang", "row.source", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip", "token_ids")
 
 
 STAGES = [("language_id", identify_language), ("near_duplicates", drop_near_duplicates), ("repeated_strings", cut_repeats), ("mixing", mix_sources), ("tokens", tokenize)]

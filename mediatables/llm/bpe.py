@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 #: Entries of a vocabulary that may be broadcast.
 MOST_ENTRIES = 1_000_000
 #: Pre-tokens whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 _FAR = 1 << 62
 _NONE = (_FAR, -1)
 
@@ -219,6 +219,32 @@ def with_decoded_text(docs: DataFrame, path: str, ids: str = "token_ids", text:
     return docs.withColumn(text, decode(F.col(f"`{ids}`")))
 
 
+def encoded_and_checked(docs: DataFrame, path: str, text: str = "text", rows: int = 256) -> DataFrame:
+    """``row`` (the columns but the text), ``token_ids``, ``round_trip``: encoded and decoded again in one worker.
+
+    Ids leave the task ``rows`` texts at a time, so that a worker holds few of them.
+    """
+    shared = shared_vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(shared)
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                ids, same = [], []
+                for t in part.column(1):
+                    known = t.as_py() or ""
+                    ids.append(encoder.encode(known))
+                    same.append(encoder.decode(ids[-1]) == known)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())], ["row", "token_ids", "round_trip"])
+
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    base = docs.select(others, F.col(f"`{text}`").cast("string").alias("text"))
+    return base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, token_ids array<int>, round_trip boolean")
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Encode and decode each text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 

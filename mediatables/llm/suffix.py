@@ -46,7 +46,7 @@ SEED = 100
 GROUP = 20_000
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes that one round of the sampling looks at; below 2**24.
-_PIECE = 2 << 20
+_PIECE = 1 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
