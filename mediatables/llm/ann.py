@@ -156,7 +156,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, vector: str = "embe
     found = dealt.groupBy("table", "group").cogroup(visits.groupBy("table", "group")).applyInPandas(_nearest(k), _FOUND)
     top = cut(_top(found, k))
     # ---- queries that found too few are answered by all rows, in blocks
-    few = queries.join(top.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)), F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "vec")
+    few = cut(queries.join(top.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)), F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "vec"))
     blocks = few.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "vec_id", "vec", F.lit(None).cast("array<long>").alias("buckets"))
     everywhere = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), "vec_id", "vec", F.lit(0).cast("long").alias("bucket"))
     if few.limit(1).count():

@@ -169,7 +169,7 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, text: str
     terms = _added(F.coalesce("ll", none), F.col("claim"), F.col("suffix"), F.coalesce("prior", F.transform(base, lambda p: F.log(p))))
     fused = fused.select("row", "ll", _soft(terms).alias("p"))
     labels = F.array(*map(F.lit, names))
-    best = labels[(F.array_position("p", F.array_max("p")) - 1).cast("int")]
-    heard = labels[(F.array_position("ll", F.array_max("ll")) - 1).cast("int")]
+    best = F.get(labels, (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+    heard = F.get(labels, (F.array_position("ll", F.array_max("ll")) - 1).cast("int"))
     verdict = F.struct(best.alias("lang"), F.array_max("p").alias("posterior"), (F.col("ll").isNotNull() & (best != UNKNOWN) & (F.array_max("p") >= least)).alias("accepted"), heard.alias("evidence"))
     return fused.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != out], verdict.alias(out))
