@@ -49,7 +49,7 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram buckets of neighbouring texts, and where each text's begin (one more at the end)."""
-    data = _FOLD[np.frombuffer(b"  ".join(texts) + b"  ", np.uint8)]
+    data = _FOLD[np.frombuffer(b" " + b"  ".join(texts) + b"  ", np.uint8)]
     starts = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
     code = (data[:-2].astype(np.uint32) << np.uint32(16)) | (data[1:-1].astype(np.uint32) << np.uint32(8)) | data[2:]
     kept = np.flatnonzero((data[1:-1] != 32) & ~((data[:-2] == 32) & (data[2:] == 32)))
@@ -75,11 +75,12 @@ def fit(labelled: DataFrame, text: str, label: str, row_id: str, rows: int = FIT
     names = sorted(rows_["label"].unique())
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
-    table = np.full((len(names), BUCKETS), 0.05)
+    table = np.zeros((len(names), BUCKETS))
     for k, name in enumerate(names):
         part = rows_[rows_["label"] == name]
         table[k, part["bucket"].to_numpy()] += part["n"].to_numpy()
-    return names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    # a tenth of each language is anything at all: names, codes and other words
+    return names, np.log(0.9 * table / table.sum(axis=1, keepdims=True) + 0.1 / BUCKETS).astype(np.float32)
 
 
 def likelihoods(docs: DataFrame, text: str, model: np.ndarray) -> Column:
@@ -89,7 +90,7 @@ def likelihoods(docs: DataFrame, text: str, model: np.ndarray) -> Column:
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = shared.value
-        flat = -np.log(BUCKETS / 8)  # a text spread over an eighth of all buckets is no language
+        flat = -np.log(BUCKETS)  # no language: all buckets alike
         for batch in batches:
             texts, out = encoded(batch), []
             for a, b in by_bytes(texts, 2 << 20):
