@@ -7,7 +7,7 @@ the pair, so every pair of cosine t or more lies within the share in some block.
 block is joined by range: a grid over its two first coordinates gives each vector a
 home cell, and it visits the other cells that its radius reaches; the pairs of a cell
 within the radius in that block are compared in full, in double precision, on the
-original vectors. A pair that several blocks find counts in the first of them only.
+original vectors, some rows at a time: a part full of near copies needs no more memory. A pair that several blocks find counts in the first of them only.
 
 Equal vectors form one class first, whose size weighs the link counts, so a vector that
 very many rows share costs one row. Cells that hold many vectors are dealt out in parts of
@@ -36,6 +36,8 @@ from .vectors import common_dimension, matrix, packed_vectors, sample_matrix
 
 BLOCK_DIM = 16
 PART = 16_384
+#: Pairs of a part that a task holds at a time, however many lie near.
+PAIRS = 1 << 20
 SAMPLE = 4_096
 
 
@@ -80,6 +82,19 @@ class Blocks:
         return row, cell, home[row]
 
 
+def _rooted(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row of each component, when pairs join those that ``root`` names."""
+    i, j = np.concatenate([i, np.arange(len(root))]), np.concatenate([j, root])
+    while True:
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def _linked(model, cosine: float):
     """One part of a cell: links of each vector and a root of its local component."""
 
@@ -88,46 +103,35 @@ def _linked(model, cosine: float):
         a, b = m.cuts[block]
         ids, size, home = rows["vec_id"].to_numpy(), rows["size"].to_numpy(), rows["is_home"].to_numpy()
         left, right = np.flatnonzero(rows["is_left"].to_numpy()), np.flatnonzero(~rows["is_left"].to_numpy())
-        first = np.empty(0, np.int64), np.empty(0, np.int64)
+        links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
         if len(left) and len(right):
             raw = matrix(rows["vec"])
-            unit = m.unit(raw)
-            z = unit @ m.turn
+            norm = np.sqrt((raw**2).sum(axis=1))
+            z = m.unit(raw) @ m.turn
             part = z[:, a:b].astype(np.float32)
             length = (part**2).sum(axis=1)
-            found = []
             limit = np.float32(m.share[block] + 1e-5)
-            step = max(1, (4 << 20) // len(right))
+            step = max(1, PAIRS // len(right))
             for at in range(0, len(left), step):
                 x = left[at : at + step]
                 near = length[x][:, None] + length[right][None] - 2 * (part[x] @ part[right].T) <= limit
                 i, j = np.nonzero(near)
                 i, j = x[i], right[j]
                 keep = ~home[j] | (ids[i] < ids[j])  # of two in their home cell, once
-                found.append((i[keep], j[keep]))
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-            good = []
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                cos = (raw[p] * raw[q]).sum(axis=1) / (np.sqrt((raw[p] ** 2).sum(axis=1)) * np.sqrt((raw[q] ** 2).sum(axis=1)))
-                apart = (z[p] - z[q]) ** 2
-                within = np.array([apart[:, c:d].sum(axis=1) <= s for (c, d), s in zip(m.cuts, m.share, strict=True)])
-                good.append(np.flatnonzero((cos >= cosine) & within[block] & ~within[:block].any(axis=0)) + at)
-            good = np.concatenate(good) if good else np.empty(0, np.int64)
-            first = i[good], j[good]
-        i, j = first
-        links = np.zeros(len(rows), np.int64)
-        np.add.at(links, i, size[j])
-        np.add.at(links, j, size[i])
-        root = np.arange(len(rows))
-        while len(i):
-            low = np.minimum(root[i], root[j])
-            before = root.copy()
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-            root = root[root]
-            if (root == before).all():
-                break
+                i, j = i[keep], j[keep]
+                good = []
+                for c in range(0, len(i), 1 << 16):
+                    p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                    cos = (raw[p] * raw[q]).sum(axis=1) / (norm[p] * norm[q])
+                    apart = (z[p] - z[q]) ** 2
+                    within = np.array([apart[:, e:f].sum(axis=1) <= s for (e, f), s in zip(m.cuts, m.share, strict=True)])
+                    good.append(np.flatnonzero((cos >= cosine) & within[block] & ~within[:block].any(axis=0)) + c)
+                if good:
+                    good = np.concatenate(good)
+                    i, j = i[good], j[good]
+                    np.add.at(links, i, size[j])
+                    np.add.at(links, j, size[i])
+                    root = _rooted(root, i, j)
         some = np.flatnonzero(links)
         return pd.DataFrame({"vec_id": ids[some], "links": links[some], "root": ids[root[some]]})
 
