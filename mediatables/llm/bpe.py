@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Entries of a vocabulary that may be broadcast.
 MOST_ENTRIES = 1_000_000
 #: Pre-tokens whose ids a worker remembers.
@@ -180,6 +182,7 @@ class Encoder:
 
 
 def shared_vocabulary(spark: SparkSession, path: str):
+    bounded_batches(spark)
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 

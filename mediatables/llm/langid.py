@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_bytes, cut, encoded
+from .shared import bounded_batches, by_bytes, cut, encoded
 
 FIT_ROWS = 2_000
 #: Languages that a model may hold.
@@ -59,6 +59,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, text: str, label: str, row_id: str, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each trigram bucket in each, from a bounded sample."""
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     picked = known.select(F.col(f"`{row_id}`").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(rows)
     some = known.join(F.broadcast(picked), F.col(f"`{row_id}`") == F.col("picked"), "left_semi").select(F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("text"))
@@ -85,6 +86,7 @@ def fit(labelled: DataFrame, text: str, label: str, row_id: str, rows: int = FIT
 
 def likelihoods(docs: DataFrame, text: str, model: np.ndarray) -> Column:
     """Log likelihood of a text in each language and, last, in none; null without letters."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
@@ -93,7 +95,7 @@ def likelihoods(docs: DataFrame, text: str, model: np.ndarray) -> Column:
         flat = -np.log(BUCKETS)  # no language: all buckets alike
         for batch in batches:
             texts, out = encoded(batch), []
-            for a, b in by_bytes(texts, 2 << 20):
+            for a, b in by_bytes(texts, 1 << 18):
                 bucket, at = grams(texts[a:b])
                 sums = [np.concatenate(([0.0], np.cumsum(row[bucket], dtype=np.float64))) for row in table]
                 n = np.diff(at)

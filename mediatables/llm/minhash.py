@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, by_bytes, components, cut, encoded, mix
+from .shared import Rolling, bounded_batches, by_bytes, components, cut, encoded, mix
 
 BANDS, ROWS, SAMPLES, BITS = 24, 5, 192, 512
 #: Rows of a star or side of a block that one task compares.
@@ -54,7 +54,7 @@ def reach(similarity: float) -> float:
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     """Each text's distinct word shingles as sorted 64-bit hashes, A-Z in lower case."""
     out: list[np.ndarray] = []
-    for a, b in by_bytes(texts, 1 << 20):
+    for a, b in by_bytes(texts, 1 << 18):
         some = [t.lower() for t in texts[a:b]]
         data = np.frombuffer(b"\n".join(some) + b"\n", np.uint8)
         ends = np.cumsum([len(t) + 1 for t in some])
@@ -132,7 +132,7 @@ def _sketched(words: int):
         for batch in batches:
             texts = encoded(batch["text"])
             ids = batch["doc_id"].to_numpy()
-            for a, b in by_bytes(texts, 4 << 20):
+            for a, b in by_bytes(texts, 1 << 20):
                 sets = shingle_sets(texts[a:b], words)
                 mins = samples(sets)
                 keys, odd = band_keys(mins), odd_sketches(mins)
@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``component_id`` is the smallest ``doc_id`` reachable over links of similarity
     ``percent`` / 100 or more; ``kept`` marks the document that bears it.
     """
+    bounded_batches(docs.sparkSession)
     ones = most_ones(max(0.0, percent / 100 - 0.15))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     marks = cut(base.mapInPandas(_sketched(words), SKETCH))

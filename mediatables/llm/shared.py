@@ -58,6 +58,20 @@ def drop_cut(df: DataFrame) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes of rows that a Python worker gets at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python workers by their bytes, so that long texts don't add up to a large batch.
+
+    A lower limit that the session has already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions_for(df_rows: int, rows_each: int, least: int = 1) -> int:
     """How many groups keep each near ``rows_each`` rows."""
     return max(least, -(-df_rows // rows_each))
@@ -98,18 +112,23 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", most_rounds: in
 BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Powers that a worker keeps at most.
+_KEPT_POWERS = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, by in enumerate((BASE, _UNBASE)):
-            row = np.full(size, by, np.uint64)
-            row[0] = 1
-            _powers[k] = np.cumprod(row, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    """BASE**i and BASE**-i modulo 2**64 for i below n; a worker keeps no long tables."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    tables = []
+    for by in (BASE, _UNBASE):
+        row = np.full(1 << (n - 1).bit_length() if n <= _KEPT_POWERS else n, by, np.uint64)
+        row[0] = 1
+        tables.append(np.cumprod(row, dtype=np.uint64))
+    if n <= _KEPT_POWERS:
+        _powers[:] = tables
+    return tables[0][:n], tables[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, by_bytes, cut, encoded, mix
+from .shared import Rolling, bounded_batches, by_bytes, cut, encoded, mix
 
 #: Bytes of a repeat, and of a seed rank: a quarter, so that two doublings reach it.
 LENGTH = 400
@@ -46,7 +46,7 @@ SEED = 100
 GROUP = 20_000
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes that one round of the sampling looks at; below 2**24.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def _settled(length: int, seed: int):
         held, size, key = [], 0, None
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                if row[:2] != key and size > (4 << 20):
+                if row[:2] != key and size > (1 << 20):
                     yield settle(held)
                     held, size = [], 0
                 key = row[:2]
@@ -218,6 +218,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     ``kept`` holds the remaining bytes; ``n_spans`` counts maximal removed runs.
     """
+    bounded_batches(docs.sparkSession)
     seed = max(1, length // 4)
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), others.alias("row"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MEMO, PATTERN, Encoder, Vocabulary, merged
+from .shared import bounded_batches
 
 
 def whole_tokens(vocabulary: Vocabulary) -> frozenset[str]:
@@ -70,6 +71,7 @@ _kept: list[Counter] = []
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per text: ``doc_id, n_bytes, n_tokens, over_limit`` (more than ``limit`` tokens)."""
+    bounded_batches(docs.sparkSession)
     vocabulary = Vocabulary(path)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, whole_tokens(vocabulary)))
 
