@@ -80,28 +80,31 @@ def partitions_for(df_rows: int, rows_each: int, least: int = 1) -> int:
 # --------------------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, src: str = "u", dst: str = "v", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """Connected components: ``node, component`` for each node of an edge (smallest id reachable).
 
-    Each round takes the smallest label among the neighbours and then the label of
-    that label (pointer jumping), so the rounds grow with the logarithm of a path's
-    length. Edges and labels stay distributed; the driver sees one flag a round.
+    Alternate large-star and small-star joins: every node hands its larger neighbours, then
+    its smaller ones, on to the smallest of all. Both keep what is connected, and each lowers
+    the sum of the edges' ends until only stars around the smallest ids are left, which is
+    what ends the loop; no number of rounds does. A path takes a logarithmic number of rounds
+    in any order of its ids. Edges stay distributed; the driver sees one flag a round.
     Null ends and loops are left out; an empty table gives an empty table.
     """
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
-    for _ in range(most_rounds):
-        near = e.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
-        after = cut(lower.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("beyond", "to")).alias("component")))
-        moved = after.where("component <> was").limit(1).count()
-        drop_cut(labels)
-        labels = after.select("node", "component")
-        labels._cut_path = after._cut_path
-        if not moved:
+    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())  # u is the larger end
+    while True:
+        several = e.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("u")
+        inner = e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")
+        if not several.union(inner).limit(1).count():
             break
+        around = e.select("u", F.col("v").alias("w")).union(e.select(F.col("v").alias("u"), F.col("u").alias("w"))).groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("low"))
+        large = cut(e.select("u", F.col("v").alias("at")).join(around.select(F.col("u").alias("at"), "low"), "at").select("u", F.col("low").alias("v")).distinct())
+        drop_cut(e)
+        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        handed = large.join(least, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        e = cut(handed.union(least.select("u", F.col("low").alias("v"))).distinct())
+        drop_cut(large)
+    labels = cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
     drop_cut(e)
     return labels
 

@@ -1,6 +1,7 @@
 """The corpus pipeline, stage by stage, against its operators' promises."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,3 +36,11 @@ def test_components_of_paths_and_nulls(spark, n):
     edges = spark.createDataFrame([(k + 1, k) for k in range(n)] + [(100, 101), (101, 100), (7000, 7000), (None, 5), (5, None)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {k: 0 for k in range(n + 1)} | {100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("order", ["random", "descending"])
+def test_components_of_long_paths(spark, order):
+    ids = [0, *range(499, 0, -1)] if order == "descending" else np.random.default_rng(1).permutation(500).tolist()
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == dict.fromkeys(range(500), 0)
