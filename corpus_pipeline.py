@@ -16,6 +16,9 @@ from mediatables.llm.shared import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Bytes of a repeat that ``cut_repeats`` removes: 51 words have a letter each and 50 spaces at least.
+REPEAT_BYTES = 101
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with the identified language as ``lang``."""
@@ -31,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that repeat; bytes left of a cut character go too."""
-    kept = suffix.remove_repeats(docs)
+    """Texts without the strings of ``REPEAT_BYTES`` that repeat, as any passage of over 50 words does; bytes left of a cut character go too."""
+    kept = suffix.remove_repeats(docs, length=REPEAT_BYTES)
     text = F.when(F.col("n_removed") > 0, _valid("kept")).otherwise(F.decode("kept", "UTF-8"))
     return kept.select(*[text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in COLUMNS]).withColumn("n_chars", F.length("text").cast("long"))
 

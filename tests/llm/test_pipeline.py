@@ -44,3 +44,12 @@ def test_components_of_long_paths(spark, order):
     edges = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == dict.fromkeys(range(500), 0)
+
+
+def test_repeats_of_51_words_go(spark):
+    short, usual = " ".join("abcdefghijklmnopq" * 3), " ".join(f"w{k:02}" for k in range(54))
+    rows = [(k, f"begin {k} {p} end {k}", "en", "s", 0) for k, p in enumerate([short, usual, short, usual])] + [(9, "clean text", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, DATA).collect()}
+    assert not any(p in t for p in (short, usual) for t in got.values())
+    assert got[9] == "clean text" and all(t.startswith(f"begin {k}") and t.endswith(f"{k}") for k, t in got.items() if k < 9)
