@@ -210,6 +210,15 @@ def test_main_text(spark):
     assert html.main_text(pages.where("false")).count() == 0
 
 
+def test_template_of_a_host_with_odd_pages(spark):
+    first = [r.id for r in spark.range(12).orderBy(F.xxhash64("id")).collect()]
+    odd = {first[0]: "", first[1]: "<html><body><h1>Error 500</h1></body></html>"}
+    for least in (first[0], first[1]):
+        rows = [(k, "http://h.example/p", odd.get(k, f"<html><body><div><p>Read us daily</p><p>Story number {k} of its own words</p></div></body></html>")) for k in range(12) if k == least or k not in odd]
+        got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(t == f"Story number {k} of its own words" for k, t in got.items() if k not in odd)
+
+
 def test_tree_matching_keeps_order():
     a, b = html.parse("<ul><li>1</li><p>x</p><li>2</li></ul>"), html.parse("<ul><div>z</div><li>1</li><li>2</li></ul>")
     texts = [(p.text, q.text) for p, q in html.aligned(a.kids, b.kids) if p.text]
