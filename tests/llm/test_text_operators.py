@@ -219,6 +219,16 @@ def test_template_of_a_host_with_odd_pages(spark):
         assert all(t == f"Story number {k} of its own words" for k, t in got.items() if k not in odd)
 
 
+def test_near_copies_lose_no_paragraph(spark):
+    story = {k: [f"{f'new{k}' if i == k % 10 else 'old'} words of part {i} of one story" for i in range(10)] for k in range(40)}
+    copies = [(k, "http://h.example/p", "<html><body><div>Menu</div><article><p>" + "</p><p>".join(parts) + "</p></article></body></html>") for k, parts in story.items()]
+    others = [(100 + k, "http://h.example/p", f"<html><body><article><p>Read us daily</p><p>Story number {k} of its own words</p></article></body></html>") for k in range(10)]
+    for rows in (copies, copies + others):
+        got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(got[k] == " ".join(parts) for k, parts in story.items())
+    assert all(got[100 + k] == f"Story number {k} of its own words" for k in range(10))
+
+
 def test_tree_matching_keeps_order():
     a, b = html.parse("<ul><li>1</li><p>x</p><li>2</li></ul>"), html.parse("<ul><div>z</div><li>1</li><li>2</li></ul>")
     texts = [(p.text, q.text) for p, q in html.aligned(a.kids, b.kids) if p.text]
