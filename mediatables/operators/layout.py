@@ -54,6 +54,22 @@ def overlap_conflicts(left: DataFrame, right: DataFrame, width: int, open_end: b
     return pairs.where(F.col("bin") == F.floor(F.greatest("left_start", "right_start") / width)).select("track", "left_id", "right_id")
 
 
+def open_end_counts(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+    """For each left range, how many right ranges of its track end after its start: ``track, left_id, n`` (n over 0).
+
+    No pair is made: right ends and left starts become one row per track and moment, in bins of
+    ``width``; a start gets the ends of all later bins and, by a running sum, the later ones of its own.
+    """
+    ends = right.where("track is not null and `end` is not null").groupBy("track", F.col("end").alias("at")).agg(F.count("*").alias("ends"))
+    starts = left.where("track is not null and start is not null").select("track", F.col("id").alias("left_id"), F.col("start").alias("at"))
+    points = ends.union(starts.select("track", "at", F.lit(0).cast("long").alias("ends"))).groupBy("track", "at").agg(F.sum("ends").alias("ends")).withColumn("bin", F.floor(F.col("at") / width))
+    inside = Window.partitionBy("track", "bin").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy("track").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    later = points.groupBy("track", "bin").agg(F.sum("ends").alias("ends")).select("track", "bin", F.coalesce(F.sum("ends").over(beyond), F.lit(0)).alias("later"))
+    counts = points.withColumn("own", F.coalesce(F.sum("ends").over(inside), F.lit(0))).join(later, ["track", "bin"]).select("track", "at", (F.col("own") + F.col("later")).alias("n"))
+    return starts.join(counts, ["track", "at"]).where("n > 0").groupBy("track", "left_id").agg(F.sum("n").alias("n"))
+
+
 def overlap_windows(series: DataFrame, size: int, overlap: int) -> DataFrame:
     """``series_id, idx, value`` cut into overlapping windows: adds ``start, weight`` (raised cosine, floor 1e-3).
 

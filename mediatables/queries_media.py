@@ -287,7 +287,8 @@ def _round(frame, *columns):
 QUERIES = {f.__name__: f for f in (clip_timecodes, source_ranges, place_sequential, stitch_offsets, timestamp_manifest, resume_frame, overlap_windows, overlap_blend, mix_channels, concat_signals, cache_lookup, resync_manifest, check_manifest, work_keys, resolve_identity, recover_missing, voiceover_summary, registry_enrich, scan_by_size, plan_tasks, skip_existing, missing_sidecar, number_outputs, export_results, pixel_stats, block_grid_score, settled_sessions, progress_counts, dedupe_events)} | {
     "overlap_conflicts": lambda s, d: layout.overlap_conflicts(_intervals(s, d, "signup"), _intervals(s, d, "purchase"), 7200),
     "overlap_conflicts_volume": lambda s, d: layout.overlap_conflicts(_volume(s, d).where("id % 2 = 0"), _volume(s, d).where("id % 2 = 1"), 16),
-    "overlap_open_end": lambda s, d: layout.overlap_conflicts(_intervals(s, d, "signup").where("id % 40 = 0"), _intervals(s, d, "purchase"), 7200, True).groupBy("track", "left_id").agg(F.count("*").alias("n")),
+    "overlap_open_end": lambda s, d: layout.open_end_counts(_intervals(s, d, "signup").where("id % 40 = 0"), _intervals(s, d, "purchase"), 7200),
+    "overlap_open_end_whole": lambda s, d: layout.open_end_counts(_intervals(s, d, "signup"), _intervals(s, d, "purchase"), 7200),
     "signal_levels": lambda s, d: _round(signal.signal_levels(_signal(s, d)), "duration", "peak", "rms_db", "floored_db"),
     "signal_quality_gate": lambda s, d: signal.signal_quality_gate(signal.signal_levels(_signal(s, d)), 60.0).select("series_id", "reason", "ok"),
     "quiet_edges": lambda s, d: signal.quiet_edges(_signal(s, d), -20.0),

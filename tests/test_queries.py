@@ -51,3 +51,12 @@ def test_merged_chunks_are_fewer_and_fit(spark):
     merged = registry.QUERIES["chunk_corpus_merged"](spark, DATA)
     assert merged.where("char_count > 300").count() == 0
     assert merged.count() <= registry.QUERIES["chunk_corpus_narration"](spark, DATA).count()
+
+
+def test_open_end_counts_of_all_ranges(spark, con):
+    from mediatables.queries_media import _interval_sql
+
+    got = registry.QUERIES["overlap_open_end_whole"](spark, DATA)
+    want = con.sql(f"SELECT l.track, l.id AS left_id, count(*) AS n FROM {_interval_sql('signup')} l JOIN {_interval_sql('purchase')} r ON l.track = r.track AND r.e > l.s GROUP BY ALL")
+    assert any(r[1] % 40 for r in want.fetchall())
+    assert _rows(got.columns, got.collect()) == _rows(want.columns, want.fetchall())
