@@ -28,9 +28,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near copies."""
-    groups = minhash.near_duplicates(docs, percent=80)
-    return docs.join(groups.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """One document, the one of the smallest id, of each group of near copies.
+
+    A row without an id takes part under a number of its text, beyond any usual id, so it stays
+    unless it is a near copy of another; its ``doc_id`` stays null. Of rows that repeat an id
+    and a text one stays; rows of one id with different texts stay or go together.
+    """
+    number = F.col("doc_id").cast("long")
+    docs = docs.withColumn("number", F.coalesce(number, F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)))
+    groups = minhash.near_duplicates(docs, doc_id="number", percent=80).where("kept").select(F.col("doc_id").alias("number"))
+    kept = cut(docs.groupBy("number").agg(F.count("*").alias("n")).join(groups, "number", "left_semi"))
+    single = docs.join(kept.where("n = 1"), "number", "left_semi").select(*COLUMNS)
+    several = docs.join(kept.where("n > 1"), "number", "left_semi").groupBy("number", "text").agg(F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("one"))
+    return single.union(several.select("one.doc_id", "text", "one.lang", "one.source", "one.n_chars"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,13 @@ def test_repeats_of_51_words_go(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, DATA).collect()}
     assert not any(p in t for p in (short, usual) for t in got.values())
     assert got[9] == "clean text" and all(t.startswith(f"begin {k}") and t.endswith(f"{k}") for k, t in got.items() if k < 9)
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    texts = [" ".join(f"{t}{k}" for k in range(60)) for t in "abcd"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, None), (3, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.cut_repeats(spark, left, DATA).collect()]
+    assert sorted(got, key=str) == sorted([(1, texts[0]), (2, texts[1]), (None, texts[2]), (None, ""), (3, texts[3])], key=str)
