@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, mix
-from .vectors import common_dimension, matrix, packed_vectors, sample_matrix
+from .vectors import dimensions, matrix, packed_vectors, sample_matrix
 
 TABLES, FUNCTIONS, WIDTH, SUCCESS = 6, 8, 2.0, 0.42
 SLICE = 8_192
@@ -122,10 +122,16 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, vector: str = "embe
     """``query_id, rank, vec_id, score`` of the rows for which ``is_query`` (over ``vec_id``) holds."""
     spark = table.sparkSession
     vectors = cut(packed_vectors(table, vector, vec_id).dropDuplicates(["vec_id"]))
-    dim, n = common_dimension(vectors)
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = vectors.where(F.col("dim") == dim).select("vec_id", "vec")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim, n in dimensions(vectors):
+        if n > 1:
+            out = out.union(_of_dimension(vectors.where(F.col("dim") == dim).select("vec_id", "vec"), dim, n, is_query, k, tables, functions, width, success, slice_rows).select(*out.columns))
+    return out
+
+
+def _of_dimension(vectors: DataFrame, dim: int, n: int, is_query: Column, k: int, tables: int, functions: int, width: float, success: float, slice_rows: int) -> DataFrame:
+    """:func:`nearest` among ``n`` vectors of one dimension."""
+    spark = vectors.sparkSession
     model = spark.sparkContext.broadcast(Tables(sample_matrix(vectors, SAMPLE), tables, functions, width, k))
     groups = -(-n // slice_rows)
 

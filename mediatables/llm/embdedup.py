@@ -17,7 +17,7 @@ component), never pairs; joins over those roots give the components.
 The grid's edges come from a sample of ``SAMPLE`` vectors at most; they steer the work only,
 never the result. Vectors that are null, zero, or hold null or non-finite components link
 with nothing and stay as their own component; so do vectors of a dimension that no other
-has (dimensions are joined separately by the most frequent one). Rows without an id are left
+has (each dimension is joined by itself). Rows without an id are left
 out, rows that repeat an id count by the first. An empty table gives an empty table.
 """
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, cut
-from .vectors import common_dimension, matrix, packed_vectors, sample_matrix
+from .vectors import dimensions, matrix, packed_vectors, sample_matrix
 
 BLOCK_DIM = 16
 PART = 16_384
@@ -140,7 +141,6 @@ def _linked(model, cosine: float):
 
 def near_vectors(table: DataFrame, cosine: float = 0.9, vector: str = "embedding", vec_id: str = "vec_id", part: int = PART) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept`` for links of at least ``cosine``."""
-    spark = table.sparkSession
     everyone = table.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
 
     def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,11 +149,17 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, vector: str = "embedding
 
     packed = packed_vectors(table, vector, vec_id).mapInPandas(digested, "vec_id long, dim int, vec binary, digest binary")
     vectors = cut(packed.dropDuplicates(["vec_id"]))
-    dim, _ = common_dimension(vectors)
     lone = everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
+    parts = [_of_dimension(vectors.where(F.col("dim") == dim), cosine, part) for dim, _ in dimensions(vectors)]
+    if not parts:
         return lone
-    vectors = vectors.where(F.col("dim") == dim)
+    out = everyone.join(reduce(DataFrame.union, parts), "vec_id", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _of_dimension(vectors: DataFrame, cosine: float, part: int) -> DataFrame:
+    """``vec_id, n_links, component_id`` of the vectors of one dimension."""
+    spark = vectors.sparkSession
     classes = cut(vectors.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
     reps = cut(vectors.join(classes.select(F.col("rep").alias("vec_id"), "size"), "vec_id").select("vec_id", "size", "vec"))
     rows = reps.count()
@@ -183,6 +189,4 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, vector: str = "embedding
     labels = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
     named = classes.join(counts, classes.rep == counts.vec_id, "left").drop("vec_id").join(labels, classes.rep == labels.node, "left")
     named = named.select("digest", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = vectors.select("vec_id", "digest").join(named, "digest").select("vec_id", "n_links", "component_id")
-    out = everyone.join(linked, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return vectors.select("vec_id", "digest").join(named, "digest").select("vec_id", "n_links", "component_id")

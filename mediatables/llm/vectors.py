@@ -30,10 +30,9 @@ def packed_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "v
     return base.mapInArrow(_packed, "vec_id long, dim int, vec binary")
 
 
-def common_dimension(vectors: DataFrame) -> tuple[int, int]:
-    """The most frequent dimension (the smaller on a tie) and its number of rows; (0, 0) if there are none."""
-    row = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    return (row["dim"], row["count"]) if row else (0, 0)
+def dimensions(vectors: DataFrame) -> list[tuple[int, int]]:
+    """Every dimension and its number of rows."""
+    return [(r["dim"], r["count"]) for r in vectors.groupBy("dim").count().orderBy("dim").collect()]
 
 
 def sample_matrix(vectors: DataFrame, rows: int) -> np.ndarray:

@@ -70,3 +70,11 @@ def test_links_equal_brute_force(spark, rows, part):
 def test_links_of_nothing(spark, rows):
     assert embdedup.near_vectors(_table(spark, rows).where("false")).count() == 0
     assert embdedup.near_vectors(_table(spark, [(1, None), (2, [0.0])])).count() == 2
+
+
+def test_each_dimension_is_joined_and_searched(spark):
+    table = _table(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (20, [1.0, 0.0, 0.0]), (21, [1.0, 0.0, 0.0]), (40, [1.0])])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_vectors(table).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 20: (1, 20), 21: (1, 20), 40: (0, 40)}
+    near = ann.nearest(table, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in near) == [(0, 1, 1), (0, 2, 2), (20, 1, 21)]
