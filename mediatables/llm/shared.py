@@ -32,11 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tidy: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
     A lost executor costs at most the step being written; what was cut is read again.
-    The session lets go of the shuffle files that the written plan no longer needs.
+    With ``tidy`` the session lets go of the shuffle files that the written plan no longer needs;
+    tables of a few rows don't need that.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
@@ -45,8 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
     out = spark.read.schema(schema).parquet(path)
     out._cut_path = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -72,6 +74,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Bytes of rows, written as JSON, up to which a table is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def light(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its rows take no more than ``most`` bytes.
+
+    A larger table is joined by sorting, where adaptive execution splits the hot keys of the other side.
+    """
+    taken = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (taken or 0) <= most else df
+
+
 def partitions_for(df_rows: int, rows_each: int, least: int = 1) -> int:
     """How many groups keep each near ``rows_each`` rows."""
     return max(least, -(-df_rows // rows_each))

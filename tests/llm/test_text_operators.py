@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -173,11 +174,54 @@ def test_mixing_targets_bounds_and_reruns(spark, given):
     assert mixing.mixed(docs).count() == mixing.mixture(docs).agg(F.sum("copies")).first()[0]
 
 
+def _dense_rates(sizes, target, most):
+    """A dense solver of one source's dual: plain Newton with halving, on all documents at once."""
+    x, lam = sizes / sizes.mean(), 0.0
+    value = lambda k: (sizes * np.minimum(most, np.exp(np.minimum(k * x, 50)))).sum()
+    for _ in range(500):
+        r = np.minimum(most, np.exp(lam * x))
+        slope = (sizes * r * x)[r < most].sum()
+        step = (target - value(lam)) / slope if slope else 1.0
+        while abs(value(lam + step) - target) > abs(value(lam) - target) and abs(step) > 1e-14:
+            step /= 2
+        lam += step
+    return np.minimum(most, np.exp(lam * x))
+
+
+def test_mixing_rates_equal_a_dense_solver(spark, given):
+    rows = mixing.mixture(given).collect()
+    differ = 0
+    for s in {r.source for r in rows}:
+        mine = [r for r in rows if r.source == s and r.size]
+        sizes, rate = np.array([r.size for r in mine], float), np.array([r.rate for r in mine])
+        if mine[0].target < 3 * mine[0].source_size * (1 - 1e-6):
+            assert np.allclose(rate, _dense_rates(sizes, mine[0].target, 3), atol=1e-5)
+            differ += len(set(rate.round(6))) > len(set(sizes)) / 2
+        else:
+            assert (rate == 3).all()
+        assert abs((sizes * rate).sum() - mine[0].target) <= 1e-5 * mine[0].target
+        assert sum(abs(r.copies - r.rate) > 1 for r in mine) <= 4  # those that close what rounding left
+    assert differ > 5
+
+
 def test_mixing_with_a_tilt_meets_the_targets(spark, given):
     got = mixing.mixture(given, tilt=1 + F.log(F.col("size") + 1) / 10).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("w"), F.max("size").alias("m")).collect()
     assert all(abs(r.t - r.w) <= r.m / 2 + 1 for r in got)
 
 
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(11)
+    sizes = {f"s{k:04}": int(v) for k, v in enumerate(rng.pareto(0.7, 300) * 100)} | {None: 50}
+    table = spark.createDataFrame([(f"={s}" if s else "", s, v) for s, v in sizes.items()], "key string, source string, source_size long")
+    got = {r.key: r.target for r in mixing.targets(table).collect()}
+    weights = [(5, 2, 1)[k % 3] for k in range(301)]
+    level = lambda x: sum(min(3 * v, x * w) for v, w in zip(sizes.values(), weights, strict=True))
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if level((low + high) / 2) < sum(sizes.values()) else (low, (low + high) / 2)
+    assert all(got[f"={s}" if s else ""] == pytest.approx(min(3 * v, low * w)) for (s, v), w in zip(sizes.items(), weights, strict=True))
+
+
 def test_language_of_held_out_documents(spark, given):
     train, rest = given.where("doc_id % 2 = 0"), given.where("doc_id % 2 = 1 and n_chars > 200")
     languages, model = langid.fit(train, "text", "lang", "doc_id")
@@ -229,10 +273,66 @@ def test_near_copies_lose_no_paragraph(spark):
     assert all(got[100 + k] == f"Story number {k} of its own words" for k in range(10))
 
 
-def test_tree_matching_keeps_order():
-    a, b = html.parse("<ul><li>1</li><p>x</p><li>2</li></ul>"), html.parse("<ul><div>z</div><li>1</li><li>2</li></ul>")
-    texts = [(p.text, q.text) for p, q in html.aligned(a.kids, b.kids) if p.text]
-    assert ("1", "1") in texts and ("2", "2") in texts and len(texts) == 2
+def _tree(rng, size):
+    return [(-1, 0, "r")] + [(int(rng.integers(0, k)), 0, "ab"[int(rng.integers(0, 2))]) for k in range(1, size)]
+
+
+def _score(a, b, i=0, j=0):
+    """Simple tree matching as published: every order-preserving choice of children is tried."""
+    if a[i][2] != b[j][2]:
+        return 0
+    x, y = ([k for k, n in enumerate(t) if n[0] == at] for t, at in ((a, i), (b, j)))
+    most = min(len(x), len(y))
+    return 1 + max(sum(_score(a, b, p, q) for p, q in zip(u, v)) for n in range(most + 1) for u in combinations(x, n) for v in combinations(y, n))
+
+
+def test_tree_matching_equals_exhaustive_choice():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a, b = _tree(rng, int(rng.integers(1, 9))), _tree(rng, int(rng.integers(1, 9)))
+        score, at = html.matched(a, b)
+        pairs = [(i, j) for i, j in enumerate(at) if j >= 0]
+        assert score == _score(a, b) == len(pairs) == len({j for _, j in pairs})
+        assert all(a[i][2] == b[j][2] and (not i or at[a[i][0]] == b[j][0]) for i, j in pairs)
+        assert all(i < k and j < m for i, j in pairs for k, m in pairs if a[i][0] == a[k][0] and i < k)
+
+
+def _texts(spark, rows, **options):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_varying_slots_decide_without_article_or_marks(spark):
+    def page(k):
+        links = "".join(f'<li><a href="/{k}{i}">place {k} {i}</a></li>' for i in range(20))
+        return f'<html><body><div class="x1"><ul>{links}</ul></div><div class="x2">Small words {k}</div><div class="x3"><h2>Story {k}</h2>' + "".join(f"<p>Part {i} of the story number {k}, told at length.</p>" for i in range(1 + k % 4)) + "<p>Read us daily</p></div></body></html>"
+
+    rows = [(k, "http://h.example/p", page(k)) for k in range(12)]
+    want = {k: f"Story {k} " + " ".join(f"Part {i} of the story number {k}, told at length." for i in range(1 + k % 4)) for k in range(12)}
+    assert _texts(spark, rows) == want
+    off = _texts(spark, rows, template=False)
+    assert all(off[k] != want[k] and "place" in off[k] and "Read us daily" in off[k] for k in want)
+
+
+def test_varying_slots_overrule_marks_that_choose_wrongly(spark):
+    body = '<html><body><article><h1>Site of the day</h1><p>Always the same.</p></article><div class="related"><h2>Tale {0}</h2><p>The tale {0} goes on for very many words of {0}.</p><p>And ends {0}.</p><div class="ad">Buy {0}</div></div><div class="comments"><p>{1}</p></div></body></html>'
+    rows = [(k, "http://h.example/p", body.format(f"n{k}", f"reader {k} says much about it " * 9)) for k in range(8)]
+    assert _texts(spark, rows) == {k: f"Tale n{k} The tale n{k} goes on for very many words of n{k}. And ends n{k}." for k in range(8)}
+    assert _texts(spark, rows, template=False) == dict.fromkeys(range(8), "Site of the day Always the same.")
+
+
+def test_names_that_only_hold_a_marking_word_are_content(spark):
+    page = '<article><div class="social-science"><p>One</p></div><p id="share-price-history">Two</p><div class="ad-box">No</div><div class="widget"><p>No</p></div><p class=it\'s>three</p><p>four it\'s</p><div id=comment-list>No</div><p>five</p></article>'
+    assert _texts(spark, [(1, "http://a.example/", page)]) == {1: "One Two three four it's five"}
+
+
+@pytest.mark.parametrize("page", ["<a " * 40_000, "<p class='x" * 20_000, '<p a="' * 20_001, "<!" * 40_000, "<!--" * 30_000, "<div>" * 3_000 + "deep" + "</p>" * 3_000, "<div>" * 30_000 + "x", "<script>" * 20_000, "<b" * 40_000, "<div><p>" * 3_000, "a < b <3 c"])
+def test_hostile_pages_take_linear_time_and_no_recursion(page):
+    from time import process_time
+
+    began = process_time()
+    layout, _ = html.layout_of(html.parse(page))
+    assert html.matched(layout, html.unpacked(html.packed(layout)))[0] == len(layout)
+    assert len(html.ruled(layout)) == len(layout) and process_time() - began < 2
 
 
 def test_warc_round_trip(spark, tmp_path):
