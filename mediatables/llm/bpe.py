@@ -36,7 +36,6 @@ MOST_ENTRIES = 1_000_000
 #: Pre-tokens whose ids a worker remembers.
 MEMO = 300_000
 _FAR = 1 << 62
-_NONE = (_FAR, -1)
 
 
 @lru_cache(maxsize=1)
@@ -78,61 +77,54 @@ class Vocabulary:
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-#: Children of a tree node. One node holds a whole short pre-token, so its root is its leaves' least.
-FAN = 32
+def point_update(tree: list[int], at: int, value: int) -> None:
+    """Set a leaf and the least of each node above it, as far as that changes."""
+    tree[at] = value
+    at >>= 1
+    while at:
+        left, right = tree[2 * at], tree[2 * at + 1]
+        least = left if left < right else right
+        if tree[at] == least:
+            return
+        tree[at] = least
+        at >>= 1
 
 
 def merged(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge neighbours, always the leftmost pair of the lowest rank, until none is ranked."""
-    if len(parts) > FAN:
-        return _merged_tree(parts, merges)
-    ids, get = list(parts), merges.get
-    ranks = [get(p, _NONE)[0] for p in zip(ids, ids[1:])]
-    while ranks and (least := min(ranks)) < _FAR:
-        i = ranks.index(least)
-        ids[i : i + 2] = (get((ids[i], ids[i + 1]))[1],)
-        del ranks[i]
-        if i:
-            ranks[i - 1] = get((ids[i - 1], ids[i]), _NONE)[0]
-        if i < len(ranks):
-            ranks[i] = get((ids[i], ids[i + 1]), _NONE)[0]
-    return ids
-
-
-def _merged_tree(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The same for long pre-tokens: nodes of ``FAN`` children, level upon level to one root."""
+    """Merge neighbours, always the leftmost pair of the lowest rank, until none is ranked.
+
+    A binary segment tree, padded to a power of two, holds ``rank * n + place`` of each adjacent
+    pair, so its root is the leftmost pair of the lowest rank. A merge updates three leaves:
+    the pair before, the merged pair's own and that of the token that went.
+    """
     n, get = len(parts), merges.get
+    if n < 2:
+        return list(parts)
     ids, after, before = list(parts), list(range(1, n + 1)), list(range(-1, n - 1))
-    leaves = [(get(p, _NONE)[0], i) for i, p in enumerate(zip(ids, ids[1:]))]
-    levels = [leaves]
-    while len(levels[-1]) > 1:
-        low = levels[-1]
-        levels.append([min(low[k : k + FAN]) for k in range(0, len(low), FAN)])
-
-    def put(i: int) -> None:
-        j = after[i]
-        here: tuple[float, int] = (get((ids[i], ids[j]), _NONE)[0] if ids[i] >= 0 and j < n else _FAR, i)
-        for low, high in zip(levels, levels[1:]):
-            low[i] = here
-            i //= FAN
-            here = min(low[i * FAN : (i + 1) * FAN])
-        levels[-1][0] = here
-
-    while levels[-1][0][0] < _FAR:
-        i = levels[-1][0][1]
+    leaf = 1 << (n - 2).bit_length()
+    tree = [_FAR] * (2 * leaf)
+    for i, pair in enumerate(zip(ids, ids[1:])):
+        if pair in merges:
+            tree[leaf + i] = merges[pair][0] * n + i
+    for k in range(leaf - 1, 0, -1):
+        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+    while (root := tree[1]) < _FAR:
+        i = root % n
         j = after[i]
-        ids[i], ids[j] = get((ids[i], ids[j]))[1], -1
+        ids[i], ids[j] = merges[ids[i], ids[j]][1], -1
         after[i] = k = after[j]
+        if j < n - 1:
+            point_update(tree, leaf + j, _FAR)
+        found = None
         if k < n:
             before[k] = i
-        for x in (j, i, before[i]):
-            if 0 <= x < n - 1:
-                put(x)
-    out, i = [], 0
-    while i < n:
-        out.append(ids[i])
-        i = after[i]
-    return out
+            found = get((ids[i], ids[k]))
+        point_update(tree, leaf + i, found[0] * n + i if found else _FAR)
+        h = before[i]
+        if h >= 0:
+            found = get((ids[h], ids[i]))
+            point_update(tree, leaf + h, found[0] * n + h if found else _FAR)
+    return [i for i in ids if i >= 0]
 
 
 class _Memo(dict):

@@ -134,15 +134,18 @@ def test_tokens_equal_the_library(spark, given):
     assert bpe.round_trip(docs.where("false"), path).count() == 0 and tokencount.token_counts(docs.where("false"), path).count() == 0
 
 
-def test_long_pre_tokens_merge_as_short_ones_do():
-    v = bpe.Vocabulary(vocabulary_path())
-    for word in ("strawberries" * 9, "aaaa" * 40, "thethethe" * 20):
-        parts = [v.letter_ids[b] for b in word.encode()]
-        ids = list(parts)
-        while ranked := [(v.merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in v.merges]:
-            _, k = min(ranked)
-            ids[k : k + 2] = [v.merges[ids[k], ids[k + 1]][1]]
-        assert bpe._merged_tree(parts, v.merges) == ids
+@pytest.mark.parametrize("word", ["", "a", "to", "strawberry", "strawberries" * 9, "aaaa" * 40, "thethethe" * 20, "é漢🙂" * 7])
+def test_tree_merges_as_the_plain_rule_does(word, monkeypatch):
+    v, updates, update = bpe.Vocabulary(vocabulary_path()), [], bpe.point_update
+    monkeypatch.setattr(bpe, "point_update", lambda *x: (updates.append(x[1]), update(*x)))
+    parts = [v.letter_ids[b] for b in word.encode()]
+    ids, merges = list(parts), 0
+    while ranked := [(v.merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in v.merges]:
+        _, k = min(ranked)
+        ids[k : k + 2] = [v.merges[ids[k], ids[k + 1]][1]]
+        merges += 1
+    assert bpe.merged(parts, v.merges) == ids
+    assert merges <= len(updates) <= 3 * merges  # every merge goes through the tree
 
 
 def test_mixing_targets_bounds_and_reruns(spark, given):
