@@ -58,11 +58,15 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str, label: str, row_id: str, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each trigram bucket in each, from a bounded sample."""
+    """Languages and the log probability of each trigram bucket in each, from a bounded sample.
+
+    Rows without a label or text, and those labelled as the reject class, teach nothing.
+    """
     bounded_batches(labelled.sparkSession)
-    known = labelled.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    picked = known.select(F.col(f"`{row_id}`").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(rows)
-    some = known.join(F.broadcast(picked), F.col(f"`{row_id}`") == F.col("picked"), "left_semi").select(F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("text"))
+    base = labelled.select(F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").cast("string").alias("text"))
+    known = base.where(F.col("label").isNotNull() & F.col("text").isNotNull() & (F.col("label") != UNKNOWN))
+    picked = known.select("row_id").orderBy(F.xxhash64("row_id"), "row_id").limit(rows)
+    some = known.join(F.broadcast(picked), "row_id", "left_semi").select("label", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

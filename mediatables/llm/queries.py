@@ -38,9 +38,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of documents from text and source; the label that the model is fitted on is no evidence."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     languages, model = langid.fit(docs, "text", "lang", "doc_id")
-    found = langid.identify(docs, languages, model, declared="lang", host=F.col("source"))
+    found = langid.identify(docs.drop("lang"), languages, model, host=F.col("source"))
     return found.select("doc_id", F.col("language.lang").alias("lang"), F.round("language.posterior", 6).alias("posterior"), F.col("language.evidence").alias("text_lang"), F.col("language.accepted").alias("kept"))
 
 
