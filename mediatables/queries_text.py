@@ -21,6 +21,16 @@ def _paragraphs(spark, d):
     return ops.explode_paragraphs(ops.normalize_corpus(_docs(spark, d).select("doc_id", "text")))
 
 
+def _broken(chunks):
+    """A chunk table whose rows break each promise in turn, by their place in their document."""
+    k = F.pmod("chunk_index", F.lit(97))
+    text = F.when(k == 3, F.concat(F.lit(" "), "text")).when(k == 11, F.lit("")).when(k == 23, F.concat("text", F.repeat(F.lit("x"), F.lit(120)))).otherwise(F.col("text"))
+    count = F.when(k == 31, F.col("char_count") + 1).otherwise(F.length(text))
+    index = F.when(k == 41, F.col("chunk_index") + 1).otherwise(F.col("chunk_index"))
+    paragraph = F.when(k == 53, F.lit(-1)).otherwise(F.col("paragraph_index"))
+    return chunks.select("doc_id", index.alias("chunk_index"), paragraph.alias("paragraph_index"), text.alias("text"), count.alias("char_count"))
+
+
 QUERIES = {
     "normalize_narration": lambda s, d: ops.normalize_corpus(_docs(s, d)).select("doc_id", F.md5("text").alias("text_md5")),
     "normalize_prose": lambda s, d: ops.normalize_corpus(_docs(s, d), "prose").select("doc_id", F.md5("text").alias("text_md5")),
@@ -30,11 +40,12 @@ QUERIES = {
     "sentences_narration": lambda s, d: ops.explode_sentences(_paragraphs(s, d)).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("text")).alias("chars"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", "sentence_index", "text"))), lambda x: x["text"]), "|")).alias("text_md5")),
     "sentences_prose": lambda s, d: ops.explode_sentences(_lines(s, d), "prose").groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("text")).alias("chars"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", "sentence_index", "text"))), lambda x: x["text"]), "|")).alias("text_md5")),
     "chunk_corpus_narration": lambda s, d: ops.chunk_corpus(_docs(s, d)).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("paragraph_index").cast("long").alias("paragraph_index"), F.md5("text").alias("text_md5"), F.col("char_count").cast("long").alias("char_count"), "ends_paragraph"),
-    "chunk_corpus_merged": lambda s, d: ops.chunk_corpus(_docs(s, d), merge=True).select("doc_id", "chunk_index", "paragraph_index", "char_count", F.md5("text").alias("text_md5")),
+    "chunk_corpus_merged": lambda s, d: ops.chunk_corpus(_docs(s, d), merge=True).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("paragraph_index").cast("long").alias("paragraph_index"), F.col("char_count").cast("long").alias("char_count"), F.md5("text").alias("text_md5")),
     "chunk_corpus_prose": lambda s, d: ops.chunk_corpus(_docs(s, d), "prose", newline_is_break=True).select("doc_id", "chunk_index", "paragraph_index", "char_count", "ends_paragraph", F.md5("text").alias("text_md5")),
     "narration_demand": lambda s, d: ops.narration_demand(_docs(s, d)),
     "chunk_size_stats": lambda s, d: ops.chunk_size_stats(ops.chunk_corpus(_docs(s, d))),
     "chunk_audit": lambda s, d: ops.chunk_audit(ops.chunk_corpus(_docs(s, d), max_chars=120), _docs(s, d), 120),
+    "chunk_audit_broken": lambda s, d: ops.chunk_audit(_broken(ops.chunk_corpus(_docs(s, d), max_chars=120)), _docs(s, d), 120).groupBy("doc_id", "violation").agg(F.count("*").alias("n")),
     "speech_estimate": lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.round(F.sum(T.estimated_seconds(F.col("text"))), 6).alias("seconds")),
 }
 
@@ -133,6 +144,32 @@ def _packed_rows(text: str, inner: str, order: str, most: int) -> str:
       lambda a: {flush})[1], lambda z: z <> '')"""
 
 
+def _merge_sql(chunks: str, most: int) -> str:
+    return f"""
+WITH m AS (SELECT doc_id, list_reduce(list_prepend({{'out': []::STRUCT(p BIGINT, t VARCHAR)[], 'p': NULL::BIGINT, 't': NULL::VARCHAR}},
+    list({{'out': []::STRUCT(p BIGINT, t VARCHAR)[], 'p': paragraph_index::BIGINT, 't': text}} ORDER BY chunk_index)),
+  lambda a, b: CASE WHEN a.t IS NULL THEN b WHEN length(a.t) + 1 + length(b.t) <= {most} THEN {{'out': a.out, 'p': a.p, 't': a.t || ' ' || b.t}}
+    ELSE {{'out': list_append(a.out, {{'p': a.p, 't': a.t}}), 'p': b.p, 't': b.t}} END) AS r FROM ({chunks}) GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS chunk_index FROM (SELECT doc_id, list_append(r.out, {{'p': r.p, 't': r.t}}) AS c FROM m))
+SELECT doc_id, chunk_index, x.p AS paragraph_index, length(x.t) AS char_count, md5(x.t) AS text_md5 FROM u"""
+
+
+def _audit_sql(most: int) -> str:
+    squeezed = rf"regexp_replace(text, '{_WHITE}+', '', 'g')"
+    return f"""
+WITH g AS (SELECT *, chunk_index % 97 AS k FROM ({_chunk_sql(most)})),
+b AS (SELECT doc_id, chunk_index AS place, CASE WHEN k = 41 THEN chunk_index + 1 ELSE chunk_index END AS chunk_index, CASE WHEN k = 53 THEN -1 ELSE paragraph_index END AS paragraph_index,
+  CASE k WHEN 3 THEN ' ' || text WHEN 11 THEN '' WHEN 23 THEN text || repeat('x', 120) ELSE text END AS text, k, length(text) AS was FROM g),
+c AS (SELECT *, CASE WHEN k = 31 THEN was + 1 ELSE length(text) END AS char_count FROM b),
+-- two rows of one number have no order of their own: by number and then by place they have
+o AS (SELECT *, lag(chunk_index, 1, -1) OVER w AS was_index, lag(paragraph_index, 1, 0) OVER w AS was_paragraph FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index, paragraph_index, text)),
+v AS (SELECT doc_id, unnest(list_filter([CASE WHEN char_count > {most} THEN 'too_long' END, CASE WHEN text = '' THEN 'empty' END, CASE WHEN text <> trim(text) THEN 'unstripped' END,
+  CASE WHEN char_count <> length(text) THEN 'wrong_count' END, CASE WHEN chunk_index <> was_index + 1 THEN 'index_gap' END, CASE WHEN paragraph_index < was_paragraph THEN 'paragraph_order' END], lambda x: x IS NOT NULL)) AS violation FROM o
+  UNION ALL SELECT doc_id, 'text_changed' FROM (SELECT doc_id, {squeezed.replace("text", "string_agg(text, '' ORDER BY chunk_index, paragraph_index, text)")} AS got FROM c GROUP BY doc_id)
+    FULL JOIN (SELECT doc_id, {squeezed} AS want FROM (SELECT doc_id, {_NARRATION} AS text FROM documents) WHERE {squeezed} <> '') USING (doc_id) WHERE got IS DISTINCT FROM want)
+SELECT doc_id, violation, count(*) AS n FROM v GROUP BY ALL"""
+
+
 _CHUNKS = _chunk_sql(300)
 ORACLES = {
     "normalize_narration": f"SELECT doc_id, md5({_NARRATION}) AS text_md5 FROM documents",
@@ -145,6 +182,8 @@ ORACLES = {
     "chunk_corpus_narration": f"SELECT * EXCLUDE (text) FROM ({_CHUNKS})",
     "narration_demand": f"SELECT lang, source, count(*) AS chunks, sum(char_count)::BIGINT AS chars, round(sum(greatest(0.5, char_count / 14.0)) / 60, 4) AS minutes FROM ({_CHUNKS}) JOIN documents USING (doc_id) GROUP BY ALL",
     "chunk_size_stats": f"SELECT count(*) AS chunks, sum(char_count)::BIGINT AS total, min(char_count) AS smallest, max(char_count) AS largest, round(avg(char_count), 6) AS mean FROM ({_CHUNKS})",
+    "chunk_corpus_merged": _merge_sql(_CHUNKS, 300),
+    "chunk_audit_broken": _audit_sql(120),
     "chunk_audit": "SELECT 0::BIGINT AS doc_id, '' AS violation WHERE false",
     "speech_estimate": "SELECT conv_id, round(sum(greatest(0.5, length(text) / 14.0)), 6) AS seconds FROM conversations GROUP BY conv_id",
 }
