@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -126,26 +127,32 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
 
 # --------------------------------------------------------------------------- hashing in tasks
 
-#: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd multipliers of the rolling hashes, and seeds of their tables of bytes.
+FIRST, SECOND = (0x9E3779B97F4A7C15, 20240601), (0xD1342543DE82EF95, 20240602)
+
+
+@lru_cache(maxsize=4)
+def _bytes(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 #: Powers that a worker keeps at most.
 _KEPT_POWERS = 1 << 20
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n; a worker keeps no long tables."""
-    if len(_powers[0]) >= n:
-        return _powers[0][:n], _powers[1][:n]
+def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below n; a worker keeps no long tables."""
+    known = _powers.get(base)
+    if known and len(known[0]) >= n:
+        return known[0][:n], known[1][:n]
     tables = []
-    for by in (BASE, _UNBASE):
+    for by in (base, pow(base, -1, 1 << 64)):
         row = np.full(1 << (n - 1).bit_length() if n <= _KEPT_POWERS else n, by, np.uint64)
         row[0] = 1
         tables.append(np.cumprod(row, dtype=np.uint64))
     if n <= _KEPT_POWERS:
-        _powers[:] = tables
+        _powers[base] = tables
     return tables[0][:n], tables[1][:n]
 
 
@@ -162,10 +169,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any stretch of a byte array, from one running sum."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _power(len(data) + 1)
+    def __init__(self, data: np.ndarray, constants: tuple[int, int] = FIRST) -> None:
+        up, self.down = _power(constants[0], len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[:-1], out=self.sums[1:])
+        np.cumsum(_bytes(constants[1])[data] * up[:-1], out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])

@@ -17,8 +17,12 @@ steps that give the same bytes:
 
 A seed rank that very many different runs share is dealt out in salted groups of
 ``GROUP`` runs; positions that a group leaves open are matched across groups by a join
-on their rank, so such a seed is no task's own load. Ranks are 64-bit fingerprints:
-two different strings of a corpus of n positions meet with probability n*n / 2**65.
+on their rank, so such a seed is no task's own load.
+
+Strings count as equal if 128 bits agree: a whole run by the ranks of its seed and of itself,
+a position by its doubled rank and a second fingerprint of other constants. Two different strings
+of a corpus of n positions meet with probability below n*n / 2**128. Texts go by a number that
+is written with them, so no two rows share one.
 
 Null text counts as empty and stays. Texts shorter than ``length`` stay whole. Rows that
 repeat both id and text are copies like any others; an empty table gives an empty table.
@@ -27,7 +31,6 @@ Further columns pass through in ``row`` whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, bounded_batches, by_bytes, cut, encoded, mix
+from .shared import SECOND, Rolling, bounded_batches, by_bytes, cut, encoded, mix
 
 #: Bytes of a repeat, and of a seed rank: a quarter, so that two doublings reach it.
 LENGTH = 400
@@ -110,9 +113,8 @@ def _sampled(length: int, seed: int):
                 doc, lo, hi, rank, key = (np.concatenate(x) for x in zip(*found, strict=True))
                 offsets = pa.array(np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32))
                 rows = batch.slice(a, b - a)
-                uid = [int.from_bytes(hashlib.blake2b(t, digest_size=8, key=repr(i).encode()[:64]).digest(), "little", signed=True) for t, i in zip(texts[a:b], rows.column(names.index("doc_id")).to_pylist(), strict=True)]
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (lo.astype(np.int64), hi.astype(np.int64), rank.astype(np.int64), key.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), rows.column(names.index("row")), pa.array([pack.compress(t) for t in texts[a:b]], pa.binary()), *lists], ["uid", "row", "ztext", "lo", "hi", "rank", "key"])
+                yield pa.RecordBatch.from_arrays([rows.column(names.index("row")), pa.array([pack.compress(t) for t in texts[a:b]], pa.binary()), *lists], ["row", "ztext", "lo", "hi", "rank", "key"])
 
     return run
 
@@ -135,6 +137,18 @@ def doubled(rank: np.ndarray, apart: int) -> np.ndarray:
     return mix(rank[:-apart] * np.uint64(0x9FB21C651E98DF25) + rank[apart:] * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def met(*names: np.ndarray) -> np.ndarray:
+    """Which entries another one equals in all names."""
+    order = np.lexsort(names)
+    equal = np.ones(max(0, len(order) - 1), bool)
+    for name in names:
+        equal &= name[order][1:] == name[order][:-1]
+    out = np.zeros(len(order), bool)
+    out[order[1:]] |= equal
+    out[order[:-1]] |= equal
+    return out
+
+
 def _settled(length: int, seed: int):
     """Positions of runs that share a seed rank, reranked at growing lengths."""
 
@@ -145,15 +159,20 @@ def _settled(length: int, seed: int):
         run = np.repeat(np.arange(len(rows)), windows)
         inside = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
         place = starts[run] + inside
-        rank, size = Rolling(np.frombuffer(b"".join(r[6] for r in rows), np.uint8)).windows(seed), seed
+        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+        rank, size = Rolling(data).windows(seed), seed
         shared = np.ones(len(place), bool)
         while size < length:
             step = min(size, length - size)
             rank, size = doubled(rank, step), size + step
             # a shorter string that no other position has can't grow into a shared one
             kept = np.flatnonzero(shared)
-            _, back, count = np.unique(rank[place[kept]], return_inverse=True, return_counts=True)
-            shared[kept] = count[back] > 1
+            if size < length:
+                shared[kept] = met(rank[place[kept]])
+        # past the last doubling a second fingerprint must agree too
+        other = Rolling(data, SECOND).windows(length)
+        kept = np.flatnonzero(shared)
+        shared[kept] = met(rank[place[kept]], other[place[kept]])
         open_, salts = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
         uid, lo = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         hit = np.flatnonzero(shared & open_[run])
@@ -162,16 +181,16 @@ def _settled(length: int, seed: int):
             new = np.concatenate(([True], (run[hit][1:] != run[hit][:-1]) | (inside[hit][1:] != inside[hit][:-1] + 1)))
             first = hit[new]
             last = hit[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(hit) - 1]))]
-            out.append(pd.DataFrame({"uid": uid[run[first]], "s": lo[run[first]] + inside[first], "e": lo[run[last]] + inside[last] + length, "name": 0, "kind": 0}))
+            out.append(pd.DataFrame({"uid": uid[run[first]], "s": lo[run[first]] + inside[first], "e": lo[run[last]] + inside[last] + length, "name": 0, "also": 0, "kind": 0}))
         many = salts[run] > 1
         if many.any():  # other groups of the same seed may hold what this one doesn't
-            final = rank[place].view(np.int64)
+            final, also = rank[place].view(np.int64), other[place].view(np.int64)
             lone = np.flatnonzero(~shared & many)
             own = open_[run[lone]]
-            out.append(pd.DataFrame({"uid": uid[run[lone]], "s": lo[run[lone]] + inside[lone], "e": lo[run[lone]] + inside[lone] + length, "name": final[lone], "kind": np.where(own, 1, 2)}))
-            both = np.unique(final[np.flatnonzero(shared & many)])
-            out.append(pd.DataFrame({"uid": 0, "s": 0, "e": 0, "name": both, "kind": 2}, index=range(len(both))))
-        return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("uid", "s", "e", "name", "kind")}, dtype="int64")
+            out.append(pd.DataFrame({"uid": uid[run[lone]], "s": lo[run[lone]] + inside[lone], "e": lo[run[lone]] + inside[lone] + length, "name": final[lone], "also": also[lone], "kind": np.where(own, 1, 2)}))
+            both = np.flatnonzero(shared & many)
+            out.append(pd.DataFrame({"uid": 0, "s": 0, "e": 0, "name": final[both], "also": also[both], "kind": 2}, index=range(len(both))).drop_duplicates())
+        return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("uid", "s", "e", "name", "also", "kind")}, dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, key = [], 0, None
@@ -213,7 +232,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(names.index("row")).slice(at, 256), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """One row per input row: ``row`` (its columns but the text), ``n_bytes, n_removed, n_spans, kept``.
 
     ``kept`` holds the remaining bytes; ``n_spans`` counts maximal removed runs.
@@ -221,16 +240,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     bounded_batches(docs.sparkSession)
     seed = max(1, length // 4)
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), others.alias("row"))
+    base = docs.select(F.col(f"`{text}`").cast("string").alias("text"), others.alias("row"))
     row_type = base.schema["row"].dataType.simpleString()
-    texts = cut(base.mapInArrow(_sampled(length, seed), f"uid long, row {row_type}, ztext binary, lo array<long>, hi array<long>, rank array<long>, key array<long>"))
+    sampled = base.mapInArrow(_sampled(length, seed), f"row {row_type}, ztext binary, lo array<long>, hi array<long>, rank array<long>, key array<long>")
+    texts = cut(sampled.withColumn("uid", F.monotonically_increasing_id()))
     runs = texts.select("uid", F.inline(F.arrays_zip("lo", "hi", "rank", "key")))
-    # ---- seeds that occur once fall out
-    seeds = runs.groupBy("rank").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1")
+    # ---- seeds that occur once fall out (counts are written, so that adaptive execution can split a hot seed's runs)
+    seeds = cut(runs.groupBy("rank").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1"))
     left = cut(runs.join(seeds, "rank").select("uid", "lo", "hi", "rank", "key", (F.col("a") == F.col("b")).alias("same")))
     # ---- runs that are equal as a whole settle together
     kinds = cut(left.where("not same").groupBy("rank", "key").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("one")))
-    spread = kinds.groupBy("rank").agg(F.ceil(F.count("*") / group).cast("int").alias("salts"))
+    spread = cut(kinds.groupBy("rank").agg(F.ceil(F.count("*") / group).cast("int").alias("salts")), tidy=False)
     settled = left.where("same").select("uid", "lo", "hi").union(left.where("not same").join(kinds.where("n > 1"), ["rank", "key"], "left_semi").select("uid", "lo", "hi"))
     settled = settled.select("uid", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
     # ---- the others are ranked position by position
@@ -238,10 +258,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lists = work.groupBy("uid").agg(F.collect_list(F.struct("rank", "salt", "salts", "open", "lo", "hi")).alias("runs"))
     strings = texts.select("uid", "ztext").join(lists, "uid").mapInPandas(_strings(length), "rank long, salt int, salts int, open boolean, uid long, lo long, bytes binary")
     strings = strings.repartition("rank", "salt").sortWithinPartitions("rank", "salt")
-    found = cut(strings.mapInPandas(_settled(length, seed), "uid long, s long, e long, name long, kind int"))
-    across = found.where("kind > 0").groupBy("name").count().where("count > 1").select("name")
-    met = found.where("kind = 1").join(across, "name", "left_semi")
-    spans = settled.union(found.where("kind = 0").select("uid", "s", "e")).union(met.select("uid", "s", "e"))
+    found = cut(strings.mapInPandas(_settled(length, seed), "uid long, s long, e long, name long, also long, kind int"))
+    across = cut(found.where("kind > 0").groupBy("name", "also").count().where("count > 1").select("name", "also"), tidy=False)
+    again = found.where("kind = 1").join(across, ["name", "also"], "left_semi")
+    spans = settled.union(found.where("kind = 0").select("uid", "s", "e")).union(again.select("uid", "s", "e"))
     spans = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
     joined = texts.select("uid", "row", "ztext").join(spans, "uid", "left").select("row", "ztext", "spans")
     return joined.mapInArrow(_removed, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -241,6 +241,48 @@ def test_language_evidence_and_edges(spark, given):
     assert langid.identify(_docs(spark, rows).where("false"), languages, model).count() == 0
 
 
+def test_fusion_equals_plain_python(spark, given):
+    """Posteriors from the operator's own likelihoods, fused again row by row."""
+    languages, model = langid.fit(given, "text", "lang", "doc_id")
+    hosts = ["a.one.de", "b.one.de", "x.two.fr", "", "local"]
+    rows = [(r.doc_id, r.text[:12], (None, "fr", "de-AT", "xx")[r.doc_id % 4], hosts[r.doc_id % 5]) for r in given.limit(60).collect()] + [(900, None, "fr", "a.one.de"), (901, "...", None, "x.two.fr")]
+    docs = _docs(spark, rows)
+    heard = {r.doc_id: r.ll for r in docs.select("doc_id", langid.likelihoods(docs, "text", model).alias("ll")).collect()}
+    names = [*languages, langid.UNKNOWN]
+    k = len(names)
+
+    def favour(name, p):
+        return np.array([np.log(p if x == name else (1 - p) / (k - 1)) for x in names]) if name in languages else np.zeros(k)
+
+    def soft(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    by_host = defaultdict(lambda: np.zeros(k))
+    for i, _, said, host in rows:
+        if heard[i] is not None:
+            by_host[host] += soft(np.array(heard[i]) + favour((said or "").split("-")[0], langid.DECLARED))
+    corpus = sum(by_host.values()) + 1
+    corpus /= corpus.sum()
+    domain = lambda h: ".".join(h.split(".")[-2:]) if "." in h else ""
+    smooth = lambda n, prior, w: (n + w * prior) / (n.sum() + w)
+    got = {r.doc_id: r.language for r in langid.identify(docs, languages, model, declared="lang", host=F.col("source")).collect()}
+    for i, _, said, host in rows:
+        above = smooth(sum(n for h, n in by_host.items() if domain(h) == domain(host)), corpus, langid.DOMAIN_WEIGHT) if domain(host) else corpus
+        prior = smooth(by_host[host], above, langid.HOST_WEIGHT)
+        terms = favour((said or "").split("-")[0], langid.DECLARED) + favour(langid.SUFFIXES.get(host.split(".")[-1]) if "." in host else None, 0.8) + np.log(prior)
+        p = soft(terms + (np.array(heard[i]) if heard[i] is not None else 0))
+        assert got[i].posterior == pytest.approx(p.max()) and got[i].lang == names[int(p.argmax())]
+        assert got[i].accepted == (heard[i] is not None and got[i].lang != "unknown" and p.max() >= 0.5)
+
+
+def test_languages_of_a_table_with_clashing_names(spark, given):
+    odd = given.withColumn("picked", F.lit(1)).withColumn("label", F.lit("x")).withColumn("row_id", F.lit(2)).withColumn("row", F.lit(3)).withColumn("ll", F.lit(4))
+    languages, model = langid.fit(odd.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "unknown").otherwise(F.col("lang"))), "text", "lang", "doc_id")
+    assert "unknown" not in languages
+    assert langid.identify(odd, languages, model).where("language.lang = lang").count() >= 0.95 * given.count()
+
+
 def _page(k, body):
     return f'<html><head><title>t{k}</title><script>var x = "<p>no</p>";</script></head><body><header>Site</header><nav><ul><li>Home<li>News</ul></nav><div class="cookie-notice">Accept</div>{body}<aside>Also</aside><div id="comments"><p>first!</p></div><form>mail<input></form><footer>&copy; me</footer></body></html>'
 
