@@ -14,8 +14,9 @@ Groups of copies never become all their pairs. Texts with equal sets become one
 class; each bucket first compares its members with its smallest class only (a star,
 salted when it is large), and the components of what was confirmed are labelled.
 Only buckets that still hold several labels are looked at again, in blocks of
-bounded size, where a union-find inside the task skips pairs already joined and
-returns a spanning forest. That second step is exhaustive over the remaining
+bounded size: first by sketches alone, which leaves the members that have a likely partner of
+another label; with the texts of those, a union-find inside the task skips pairs already
+joined and returns a spanning forest. That second step is exhaustive over the remaining
 cross-label pairs of a bucket, so no link is lost to the star.
 
 Null and blank texts have an empty set and link with nothing. Rows that repeat a
@@ -182,15 +183,73 @@ def _stars(words: int, percent: int, ones: int):
     return run
 
 
+def _near(ids: np.ndarray, label: np.ndarray, part: np.ndarray, sketch: np.ndarray, bands: np.ndarray, key: tuple, ones: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Members of one side of a block, each with those of the other that bear another label and a near sketch.
+
+    The nearest come first; a pair is looked at in the first band that it shares.
+    """
+    band, left, right = int(key[1]), int(key[2]), int(key[3])
+    columns = np.flatnonzero(part == right)
+    for i in np.flatnonzero(part == left):
+        there = columns[columns > i] if left == right else columns
+        there = there[label[there] != label[i]]
+        if len(there):
+            count = np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1)
+            there, count = there[count <= ones], count[count <= ones]
+            there = there[np.argsort(count, kind="stable")]
+        if len(there):
+            first = (bands[there] == bands[i]).argmax(axis=1)
+            if (first == band).any():
+                yield i, there[first == band]
+
+
+def _columns(block: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    sketch = np.frombuffer(b"".join(block["sketch"]), np.uint64).reshape(len(block), -1)
+    return block["doc_id"].to_numpy(), block["label"].to_numpy(), block["part"].to_numpy(), sketch, np.stack([np.asarray(x) for x in block["bands"]])
+
+
+BLOCK_KEY = ["key", "band", "lo", "hi"]
+
+
+def _screened(ones: int):
+    """Of blocks that stand together, the members that have a near sketch of another label; no texts needed."""
+
+    def screen(block: pd.DataFrame) -> pd.DataFrame:
+        seen = np.zeros(len(block), bool)
+        for i, there in _near(*_columns(block), tuple(block[BLOCK_KEY].iloc[0]), ones):
+            seen[i] = True
+            seen[there] = True
+        return block.loc[seen, [*BLOCK_KEY, "doc_id", "label", "part"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch[BLOCK_KEY].to_numpy()
+            if held and (held[-1][BLOCK_KEY].to_numpy()[-1] != keys[0]).any():
+                yield screen(pd.concat(held, ignore_index=True))
+                held = []
+            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(batch)]
+            start = 0
+            for end in ends:
+                held.append(batch.iloc[start:end])
+                if end < len(batch):
+                    yield screen(pd.concat(held, ignore_index=True))
+                    held = []
+                start = end
+        if held:
+            yield screen(pd.concat(held, ignore_index=True))
+
+    return run
+
+
 def _blocks(words: int, percent: int, ones: int):
     """One block of a bucket: a forest of the confirmed links between its labels."""
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        band, left, right = int(key[1]), int(key[2]), int(key[3])
-        ids, label = block["doc_id"].to_numpy(), block["label"].to_numpy()
-        sketch = np.frombuffer(b"".join(block["sketch"]), np.uint64).reshape(len(block), -1)
-        bands = np.array([np.asarray(x) for x in block["bands"]])
-        part, packed, sets = block["part"].to_numpy(), block["ztext"].to_numpy(), _Sets(words)
+        ids, label, part, sketch, bands = _columns(block)
+        packed, sets = block["ztext"].to_numpy(), _Sets(words)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -199,17 +258,8 @@ def _blocks(words: int, percent: int, ones: int):
             return x
 
         u, v = [], []
-        columns = np.flatnonzero(part == right)
-        for i in np.flatnonzero(part == left):
-            there = columns[columns > i] if left == right else columns
-            there = there[label[there] != label[i]]
-            if not len(there):
-                continue
-            count = np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1)
-            there, count = there[count <= ones], count[count <= ones]
-            there = there[np.argsort(count, kind="stable")]
-            first = (bands[there] == bands[i]).argmax(axis=1) if len(there) else there
-            for j in there[first == band]:  # a pair is looked at in the first band that it shares
+        for i, there in _near(ids, label, part, sketch, bands, key, ones):
+            for j in there:
                 a, b = find(label[i]), find(label[j])
                 if a != b and alike(sets.of(ids[i], packed[i]), sets.of(ids[j], packed[j]), percent):
                     root[max(a, b)] = min(a, b)
@@ -256,7 +306,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     left = named.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left = left.select("key", "band", "doc_id", "label", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
-    more = left.join(needed, "doc_id").groupBy("key", "band", "lo", "hi").applyInPandas(_blocks(words, percent, ones), "u long, v long")
+    light_ = left.join(needed.select("doc_id", "bands", "sketch"), "doc_id").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    near = cut(light_.select(*BLOCK_KEY, "doc_id", "label", "part", "bands", "sketch").mapInPandas(_screened(ones), "key long, band int, lo int, hi int, doc_id long, label long, part int"))
+    more = near.join(needed, "doc_id").groupBy(*BLOCK_KEY).applyInPandas(_blocks(words, percent, ones), "u long, v long")
     more = cut(more)
     # labels of the first step and the links between them give the rest
     whole = components(links.union(more))
