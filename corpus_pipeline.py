@@ -16,14 +16,22 @@ from mediatables.llm.shared import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Bytes of a repeat that ``cut_repeats`` removes: 51 words have a letter each and 50 spaces at least.
-REPEAT_BYTES = 101
+#: Bytes of a repeat that ``cut_repeats`` removes: a passage of over 50 words has 51 at least, of four
+#: bytes each with its space. (Prose has five to seven; 51 neighbouring words of the given documents
+#: that repeat take 240 bytes at least.) Shorter repeats, as license lines, stay.
+REPEAT_BYTES = 51 * 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, with the identified language as ``lang``."""
+    """Documents in a known language, with the identified language as ``lang``.
+
+    The given ``lang`` labels the rows that the model is fitted on and is no evidence itself. Null, empty
+    and letterless texts go; the whole of a long text is read; repeated rows share their fate; ties
+    go to the first language in code point order. A null source is a host of its own. An empty
+    table gives an empty one. Columns beyond ``COLUMNS`` are not handed on, whatever their names.
+    """
     languages, model = langid.fit(docs, "text", "lang", "doc_id")
-    found = langid.identify(docs, languages, model, declared="lang", host=F.col("source"))
+    found = langid.identify(docs, languages, model, host=F.col("source"))
     return found.where("language.accepted").withColumn("lang", F.col("language.lang")).select(*COLUMNS)
 
 
@@ -32,7 +40,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row without an id takes part under a number of its text, beyond any usual id, so it stays
     unless it is a near copy of another; its ``doc_id`` stays null. Of rows that repeat an id
-    and a text one stays; rows of one id with different texts stay or go together.
+    and a text one stays; rows of one id with different texts stay or go together. Null and
+    empty texts link with nothing and stay; ties go to the smallest id. The similarity is 0.8, that
+    of near-duplicate stages; the query ``op8_minhash`` has 0.85 by its own contract. An
+    empty table gives an empty one, and further columns are not handed on.
     """
     number = F.col("doc_id").cast("long")
     docs = docs.withColumn("number", F.coalesce(number, F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)))
@@ -44,7 +55,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of ``REPEAT_BYTES`` that repeat, as any passage of over 50 words does; bytes left of a cut character go too."""
+    """Texts without the strings of ``REPEAT_BYTES`` that repeat, as a passage of over 50 words does.
+
+    Bytes left of a cut character go too. Every row stays, if need be with an empty text; null texts
+    become empty. Rows that repeat are copies of each other and lose all of a long text. An empty table
+    gives an empty one, and further columns are not handed on.
+    """
     kept = suffix.remove_repeats(docs, length=REPEAT_BYTES)
     text = F.when(F.col("n_removed") > 0, _valid("kept")).otherwise(F.decode("kept", "UTF-8"))
     return kept.select(*[text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in COLUMNS]).withColumn("n_chars", F.length("text").cast("long"))
@@ -56,12 +72,20 @@ def _valid(column: str):
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it.
+
+    Null and empty texts have no words and are taken as the running order has it; null is a source
+    of its own. Rows equal in source, id and size are taken alike. An empty table gives an empty one.
+    """
     return mixing.mixed(docs).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, their number, and whether they decode to it."""
+    """Token ids of each text, their number, and whether they decode to it.
+
+    Null and empty texts have no ids. Rows are independent, repeated or not; whole texts are encoded.
+    An empty table gives an empty one.
+    """
     out = bpe.encoded_and_checked(docs.select("doc_id", "lang", "source", "text"), vocabulary_path())
     return out.select("row.doc_id", "row.lang", "row.source", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip", "token_ids")
 
