@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, bounded_batches, by_bytes, components, cut, encoded, mix
+from .shared import Rolling, bounded_batches, by_bytes, components, cut, drop_cut, encoded, mix
 
 BANDS, ROWS, SAMPLES, BITS = 24, 5, 192, 512
 #: Rows of a star or side of a block that one task compares.
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ones = most_ones(max(0.0, percent / 100 - 0.15))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     marks = cut(base.mapInPandas(_sketched(words), SKETCH))
-    small = marks.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("s")).select("doc_id", "s.*")
+    small = cut(marks.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("s")).select("doc_id", "s.*"))
     classes = cut(small.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = cut(marks.join(classes, (marks.doc_id == classes.rep) & (marks.digest == classes.digest), "left_semi").select("doc_id", "bands", "sketch"))
     shared_keys = reps.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key")
@@ -293,6 +293,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # only documents of a shared bucket are needed again
     wanted = reps.join(member.select("doc_id").distinct(), "doc_id", "left_semi")
     needed = cut(wanted.join(marks.select("doc_id", "ztext"), "doc_id").select("doc_id", "bands", "sketch", "ztext"))
+    drop_cut(marks, reps)
     body = needed.select("doc_id", "sketch", "ztext")
     spokes = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id")
     hubs = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("doc_id"))
@@ -310,8 +311,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     near = cut(light_.select(*BLOCK_KEY, "doc_id", "label", "part", "bands", "sketch").mapInPandas(_screened(ones), "key long, band int, lo int, hi int, doc_id long, label long, part int"))
     more = near.join(needed, "doc_id").groupBy(*BLOCK_KEY).applyInPandas(_blocks(words, percent, ones), "u long, v long")
     more = cut(more)
+    drop_cut(needed, member, pairs, near)
     # labels of the first step and the links between them give the rest
     whole = components(links.union(more))
+    drop_cut(links, labels, more)
     named_class = classes.join(whole, classes.rep == whole.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = small.join(named_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

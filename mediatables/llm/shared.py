@@ -8,7 +8,6 @@ folder that the cluster names in ``spark.checkpoint.dir`` and reads it back, and
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,11 +24,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named."""
+    """The folder that all executors share; one in the warehouse only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-cut-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/cuts"
     return named
 
 
@@ -53,12 +51,13 @@ def cut(df: DataFrame, tidy: bool = True) -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table made by :func:`cut` that nothing reads any more."""
-    spark, path = df.sparkSession, df._cut_path
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._cut_path
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bytes of rows that a Python worker gets at a time.

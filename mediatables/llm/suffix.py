@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SECOND, Rolling, bounded_batches, by_bytes, cut, encoded, mix
+from .shared import SECOND, Rolling, bounded_batches, by_bytes, cut, drop_cut, encoded, mix
 
 #: Bytes of a repeat, and of a seed rank: a quarter, so that two doublings reach it.
 LENGTH = 400
@@ -208,34 +208,49 @@ def _settled(length: int, seed: int):
     return run
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        names = batch.schema.names
-        packed, spans = batch.column(names.index("ztext")), batch.column(names.index("spans"))
-        for at in range(0, len(batch), 256):
-            kept, n, gone, count = [], [], [], []
-            for z, runs in zip(packed.slice(at, 256), spans.slice(at, 256).to_pylist(), strict=True):
-                text, rest, upto, lost, number = unpack.decompress(z.as_py()), [], 0, 0, 0
-                for r in runs or ():
-                    s, e = r["s"], r["e"]
-                    if s > upto or not number:
-                        rest.append(text[upto:s])
-                        number, lost, upto = number + 1, lost + e - s, e
-                    elif e > upto:
-                        lost, upto = lost + e - upto, e
-                rest.append(text[upto:])
-                kept.append(b"".join(rest))
-                n.append(len(text))
-                gone.append(lost)
-                count.append(number)
-            yield pa.RecordBatch.from_arrays([batch.column(names.index("row")).slice(at, 256), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+_SPACE = bytes((32, *range(9, 14)))
+
+
+def whole_words(text: bytes, start: int, end: int) -> int:
+    """Words that lie in a stretch as a whole, and not in part at its edges."""
+    n = len(text[start:end].split())
+    cut_first = n and start and text[start - 1] not in _SPACE and text[start] not in _SPACE
+    cut_last = n and end < len(text) and text[end] not in _SPACE and text[end - 1] not in _SPACE
+    return max(0, n - bool(cut_first) - bool(cut_last))
+
+
+def _removed(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            names = batch.schema.names
+            packed, spans = batch.column(names.index("ztext")), batch.column(names.index("spans"))
+            for at in range(0, len(batch), 256):
+                kept, n, gone, count = [], [], [], []
+                for z, parts in zip(packed.slice(at, 256), spans.slice(at, 256).to_pylist(), strict=True):
+                    text, runs = unpack.decompress(z.as_py()), []
+                    for part in parts or ():
+                        if runs and part["s"] <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], part["e"])
+                        else:
+                            runs.append([part["s"], part["e"]])
+                    if words:
+                        runs = [r for r in runs if whole_words(text, *r) >= words]
+                    edges = [0, *(x for r in runs for x in r), len(text)]
+                    kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                    n.append(len(text))
+                    gone.append(len(text) - len(kept[-1]))
+                    count.append(len(runs))
+                yield pa.RecordBatch.from_arrays([batch.column(names.index("row")).slice(at, 256), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group: int = GROUP, words: int = 0) -> DataFrame:
     """One row per input row: ``row`` (its columns but the text), ``n_bytes, n_removed, n_spans, kept``.
 
-    ``kept`` holds the remaining bytes; ``n_spans`` counts maximal removed runs.
+    ``kept`` holds the remaining bytes; ``n_spans`` counts maximal removed runs. With ``words`` a maximal
+    run of fewer whole words stays.
     """
     bounded_batches(docs.sparkSession)
     seed = max(1, length // 4)
@@ -262,6 +277,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     across = cut(found.where("kind > 0").groupBy("name", "also").count().where("count > 1").select("name", "also"), tidy=False)
     again = found.where("kind = 1").join(across, ["name", "also"], "left_semi")
     spans = settled.union(found.where("kind = 0").select("uid", "s", "e")).union(again.select("uid", "s", "e"))
-    spans = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    spans = cut(spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")))
+    drop_cut(seeds, left, kinds, spread, found, across)
     joined = texts.select("uid", "row", "ztext").join(spans, "uid", "left").select("row", "ztext", "spans")
-    return joined.mapInArrow(_removed, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(_removed(words), f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")
