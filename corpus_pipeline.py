@@ -16,10 +16,10 @@ from mediatables.llm.shared import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Bytes of a repeat that ``cut_repeats`` removes: a passage of over 50 words has 51 at least, of four
-#: bytes each with its space. (Prose has five to seven; 51 neighbouring words of the given documents
-#: that repeat take 240 bytes at least.) Shorter repeats, as license lines, stay.
-REPEAT_BYTES = 51 * 4
+#: Words of a repeated passage that ``cut_repeats`` removes, and the bytes of a repeat that it looks for:
+#: 51 words have a letter each and 50 spaces at least. Repeats of fewer words, as license lines, stay.
+REPEAT_WORDS = 51
+REPEAT_BYTES = 2 * REPEAT_WORDS - 1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +55,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of ``REPEAT_BYTES`` that repeat, as a passage of over 50 words does.
+    """Texts without passages of over 50 words that repeat: strings of ``REPEAT_BYTES``, in runs of ``REPEAT_WORDS`` or more.
 
     Bytes left of a cut character go too. Every row stays, if need be with an empty text; null texts
     become empty. Rows that repeat are copies of each other and lose all of a long text. An empty table
     gives an empty one, and further columns are not handed on.
     """
-    kept = suffix.remove_repeats(docs, length=REPEAT_BYTES)
+    kept = suffix.remove_repeats(docs, length=REPEAT_BYTES, words=REPEAT_WORDS)
     text = F.when(F.col("n_removed") > 0, _valid("kept")).otherwise(F.decode("kept", "UTF-8"))
     return kept.select(*[text.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in COLUMNS]).withColumn("n_chars", F.length("text").cast("long"))
 
