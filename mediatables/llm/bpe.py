@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, kept
 
 #: Entries of a vocabulary that may be broadcast.
 MOST_ENTRIES = 1_000_000
 #: Pre-tokens whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 100_000
 _FAR = 1 << 62
 
 
@@ -178,14 +178,9 @@ def shared_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
-_kept: list[Encoder] = []
-
-
 def encoder_of(shared) -> Encoder:
     """The worker's encoder for a broadcast vocabulary, kept between batches and tasks."""
-    if not _kept or _kept[0].v is not shared.value:
-        _kept[:] = [Encoder(shared.value)]
-    return _kept[0]
+    return kept("encoder", shared.value, lambda: Encoder(shared.value))
 
 
 def with_token_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, by_bytes, cut, encoded
+from .shared import bounded_batches, by_bytes, cut, encoded, kept
 
 FIT_ROWS = 2_000
 #: Languages that a model may hold.
@@ -95,7 +95,7 @@ def likelihoods(docs: DataFrame, text: str, model: np.ndarray) -> Column:
 
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
+        table = kept("languages", shared.value, lambda: shared.value)
         flat = -np.log(BUCKETS)  # no language: all buckets alike
         for batch in batches:
             texts, out = encoded(batch), []

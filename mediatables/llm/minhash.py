@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rolling, bounded_batches, by_bytes, components, cut, drop_cut, encoded, mix
+from .shared import Rolling, bounded_batches, by_bytes, components, cut, drop_cut, encoded, kept, mix
 
 BANDS, ROWS, SAMPLES, BITS = 24, 5, 192, 512
 #: Rows of a star or side of a block that one task compares.
@@ -129,7 +129,7 @@ SKETCH = "doc_id long, n_shingles long, digest string, bands array<long>, sketch
 
 def _sketched(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = kept("minhash", None, lambda: zstandard.ZstdCompressor(level=1))
         for batch in batches:
             texts = encoded(batch["text"])
             ids = batch["doc_id"].to_numpy()

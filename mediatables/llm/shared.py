@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Words are maximal runs of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -87,6 +89,21 @@ def light(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (taken or 0) <= most else df
 
 
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept(name: str, of: object, make: Callable[[], T]) -> T:
+    """What a worker keeps between batches and tasks: one thing, made anew for another ``name`` or ``of``.
+
+    Workers outlive a stage, so what the last operator kept goes when the next begins.
+    """
+    known = _kept.get(name)
+    if known is None or known[0] is not of:
+        _kept.clear()
+        _kept[name] = known = (of, make())
+    return known[1]
+
+
 def partitions_for(df_rows: int, rows_each: int, least: int = 1) -> int:
     """How many groups keep each near ``rows_each`` rows."""
     return max(least, -(-df_rows // rows_each))
@@ -136,7 +153,7 @@ def _bytes(seed: int) -> np.ndarray:
 
 
 #: Powers that a worker keeps at most.
-_KEPT_POWERS = 1 << 20
+_KEPT_POWERS = 1 << 19
 _powers: dict[int, list[np.ndarray]] = {}
 
 

@@ -196,7 +196,7 @@ def _settled(length: int, seed: int):
         held, size, key = [], 0, None
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                if row[:2] != key and size > (1 << 20):
+                if row[:2] != key and size > (1 << 19):
                     yield settle(held)
                     held, size = [], 0
                 key = row[:2]

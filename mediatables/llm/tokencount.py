@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MEMO, PATTERN, Encoder, Vocabulary, merged
-from .shared import bounded_batches
+from .shared import bounded_batches, kept
 
 
 def whole_tokens(vocabulary: Vocabulary) -> frozenset[str]:
@@ -66,9 +66,6 @@ class Counter:
         return sum([1 if special is not None else sum(map(size, tokens)) for special, tokens in self.encoder.pieces(text or "")])
 
 
-_kept: list[Counter] = []
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per text: ``doc_id, n_bytes, n_tokens, over_limit`` (more than ``limit`` tokens)."""
     bounded_batches(docs.sparkSession)
@@ -76,9 +73,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, whole_tokens(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _kept or _kept[0].encoder.v is not shared.value[0]:
-            _kept[:] = [Counter(*shared.value)]
-        counter = _kept[0]
+        counter = kept("counter", shared.value, lambda: Counter(*shared.value))
         for batch in batches:
             n = [counter.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
