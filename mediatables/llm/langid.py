@@ -108,7 +108,8 @@ def likelihoods(docs: DataFrame, text: str, model: np.ndarray) -> Column:
                 out += [m if c else None for m, c in zip(mean, n, strict=True)]
             yield pd.Series(out)
 
-    return score(F.col(f"`{text}`").cast("string"))
+    # not deterministic, for the optimizer: else a filter on the result would score each text twice
+    return score.asNondeterministic()(F.col(f"`{text}`").cast("string"))
 
 
 def _soft(scores: Column) -> Column:
