@@ -47,6 +47,15 @@ def seconds_to_frames(seconds: Column, rate: Column, mode: str = "round") -> Col
     return F.when(seconds <= 0, F.lit(0)).otherwise(turned).cast("long")
 
 
+def duration_frames(seconds: Column, stored: Column, code: Column, frames: Column, rate: Column) -> Column:
+    """Frames of a clip: of its duration, else as stored, else of its duration timecode, else of its frames as text, else none.
+
+    A source that gives none, or not above zero, hands on to the next.
+    """
+    known = [seconds_to_frames(seconds, rate, "floor"), stored.cast("long"), timecode_to_frames(code, rate), F.trim(frames).try_cast("long")]
+    return F.coalesce(*[F.when(x > 0, x) for x in known], F.lit(0).cast("long"))
+
+
 def source_range(duration: Column, lead: Column, trail: Column, rate: Column, trim: bool = True, pad: float = 0.04) -> Column:
     """``struct<first, last>`` of the frames to place, last exclusive; unknown is one frame."""
     total = seconds_to_frames(duration, rate, "floor")

@@ -82,7 +82,7 @@ def overlap_windows(series: DataFrame, size: int, overlap: int) -> DataFrame:
     cells = tiles.select("series_id", "start", "len", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("idx"))
     ramp = F.least(F.lit(overlap), F.floor(F.col("len") / 2))
     near = F.least(F.col("idx") - F.col("start"), F.col("start") + F.col("len") - 1 - F.col("idx"))
-    weight = F.greatest(F.lit(1e-3), F.when(near < ramp, 0.5 - 0.5 * F.cos(F.lit(3.141592653589793) * (near + 1) / (ramp + 1))).otherwise(1.0))
+    weight = F.greatest(F.lit(1e-3), F.when(near < ramp, 0.5 - 0.5 * F.cos(F.lit(3.141592653589793) * (near + 0.5) / ramp)).otherwise(1.0))
     return cells.withColumn("weight", weight).join(series, ["series_id", "idx"]).select("series_id", "idx", "start", "weight", "value")
 
 

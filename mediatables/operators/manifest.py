@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +143,30 @@ def run_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return results.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(s == x).alias(x) for x in ("success", "skipped", "failed", "dry_run")], F.when(F.count_if(s == "failed") > 0, 1).otherwise(0).cast("long").alias("exit_code"))
 
 
+def transcription_summary(results: DataFrame) -> DataFrame:
+    """Of all files: found, ok, skipped, failed, the failed ones' paths in order, seconds; exit code two if any failed.
+
+    ``results`` has ``path, status, elapsed``. The list is as long as the failures of one run.
+    """
+    s = F.col("status")
+    counts = [F.count("*").alias("found"), F.count_if(s == "success").alias("ok"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "failed").alias("failed")]
+    failed = F.array_join(F.array_sort(F.collect_list(F.when(s == "failed", F.col("path")))), ",").alias("failed_paths")
+    return results.agg(*counts, failed, F.sum("elapsed").alias("elapsed"), F.when(F.count_if(s == "failed") > 0, 2).otherwise(0).cast("long").alias("exit_code"))
+
+
+def narration_summary(segments: DataFrame) -> DataFrame:
+    """Per script: segments, generated in this run, cached, placed, failed with their numbers; exit code three if any failed.
+
+    ``segments`` has ``script_id, index, status, cached`` (complete before this run).
+    """
+    s, complete = F.col("status"), F.col("status").isin("generated", "placed")
+    cached = F.coalesce("cached", F.lit(False))
+    return segments.groupBy("script_id").agg(
+        F.count("*").alias("total"), F.count_if(complete & ~cached).alias("generated"), F.count_if(complete & cached).alias("cached"), F.count_if(s == "placed").alias("placed"), F.count_if(s == "failed").alias("failed"),
+        F.array_join(F.array_sort(F.collect_list(F.when(s == "failed", F.col("index") + 1))), ",").alias("failed_numbers"), F.when(F.count_if(s == "failed") > 0, 3).otherwise(0).cast("long").alias("exit_code"),
+    )
+
+
 def voiceover_summary(results: DataFrame) -> DataFrame:
     """Per script: seconds, chunks, cached, warned, and audio seconds per wall second (0 without time)."""
     wall = F.sum("wall")
@@ -167,3 +194,33 @@ def reset_watch_state(items: DataFrame) -> DataFrame:
     """All items unwatched, with ``was_set`` for those that were not."""
     was = (F.coalesce("view_offset", F.lit(0)) != 0) | (F.coalesce("view_count", F.lit(0)) > 0)
     return items.withColumn("was_set", was).withColumn("view_offset", F.when(was, F.lit(0)).otherwise(F.col("view_offset"))).withColumn("view_count", F.when(was, F.lit(0)).otherwise(F.col("view_count")))
+
+
+def apply_generator(work: DataFrame, setup: Callable[[], Callable[[dict], dict]], made: str, key: str = "key") -> DataFrame:
+    """Run a caller's generator over rows of work: ``key``, the columns of ``made`` (a schema), ``error``.
+
+    ``setup`` runs once a partition (it may load a model) and returns a function from a row to
+    what it makes. A row that raises has its error and nulls; a setup that raises gives every row
+    of the partition that error.
+    """
+    names = [c.strip().split()[0] for c in made.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed, generate = None, None
+        try:
+            generate = setup()
+        except Exception as e:  # a caller's code may raise anything
+            failed = f"{type(e).__name__}: {e}"
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                got, error = {}, failed
+                if generate is not None:
+                    try:
+                        got = generate(row)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                out.append({key: row[key], "error": error} | {n: got.get(n) for n in names})
+            yield pd.DataFrame(out, columns=[key, *names, "error"])
+
+    return work.mapInPandas(run, f"{key} {work.schema[key].dataType.simpleString()}, {made}, error string")

@@ -59,7 +59,11 @@ def normalize_peak(s: DataFrame, peak_db: float = -1.0) -> DataFrame:
 
 def regrid_signal(s: DataFrame, to_rate: int) -> DataFrame:
     """A bucket mean per sample of the new rate (fewer samples), or the last value held (more)."""
-    return s.groupBy("series_id", F.floor(F.col("idx") * to_rate / F.col("rate")).alias("idx")).agg(F.avg("value").alias("value")).withColumn("rate", F.lit(to_rate))
+    new = F.floor(F.col("idx") * to_rate / F.col("rate"))
+    fewer = s.where(F.col("rate") >= to_rate).groupBy("series_id", new.alias("idx")).agg(F.avg("value").alias("value"))
+    first, end = (F.ceil((F.col("idx") + k) * to_rate / F.col("rate")) for k in (0, 1))
+    more = s.where(F.col("rate") < to_rate).select("series_id", F.explode(F.sequence(first, end - 1)).alias("idx"), "value")
+    return fewer.union(more).withColumn("rate", F.lit(to_rate))
 
 
 def concat_signals(s: DataFrame, order: DataFrame, gap_seconds: float) -> DataFrame:

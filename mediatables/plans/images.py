@@ -27,7 +27,7 @@ def parse_target(width: Column, height: Column, target: Column) -> Column:
     long_side = F.greatest(width, height)
     m = F.when(w.isNotNull(), F.greatest(w / width, h / height)).when(edge.isNotNull(), edge / long_side).when(times, number).otherwise(number / width)
     sizes = [F.greatest(F.lit(1), F.bround(x * m)).cast("long") for x in (width, height)]
-    error = F.when(m.isNull(), "unknown target").when(times & w.isNull() & edge.isNull() & (number > 32), "over 32 times").when(sizes[0] * sizes[1] > MOST_PIXELS, "too large")
+    error = F.when(m.isNull() | (m <= 0), "unknown target").when(times & w.isNull() & edge.isNull() & (number > 32), "over 32 times").when(sizes[0] * sizes[1] > MOST_PIXELS, "too large")
     return F.struct(m.alias("multiplier"), sizes[0].alias("width"), sizes[1].alias("height"), t.alias("label"), error.alias("error"))
 
 

@@ -320,7 +320,7 @@ _DROP10, _DROP1 = "17982", "1798"
 _FRAMES = "round_even(duration * 40 * fps, 0)::BIGINT"
 _LABEL = f"CASE WHEN drp THEN frames + 18 * (frames // {_DROP10}) + CASE WHEN frames % {_DROP10} >= 2 THEN 2 * ((frames % {_DROP10} - 2) // {_DROP1}) ELSE 0 END ELSE frames END"
 _WINDOWS = f"(SELECT series_id, st, st + i AS idx, least(40, extent) AS len, extent FROM (SELECT series_id, extent, unnest(list_distinct(list_transform(range(0, greatest(1, extent - 8), 32), lambda x: greatest(0, least(x, extent - 40))))) AS st FROM (SELECT series_id, max(idx) + 1 AS extent FROM {_SIGNAL} GROUP BY series_id)), range(0, 40) AS r(i) WHERE i < least(40, extent))"
-_WEIGHTED = f"(SELECT *, greatest(1e-3, CASE WHEN near < ramp THEN 0.5 - 0.5 * cos(pi() * (near + 1) / (ramp + 1)) ELSE 1.0 END) AS weight FROM (SELECT *, least(idx - st, st + len - 1 - idx) AS near, least(8, len // 2) AS ramp FROM {_WINDOWS}))"
+_WEIGHTED = f"(SELECT *, greatest(1e-3, CASE WHEN near < ramp THEN 0.5 - 0.5 * cos(pi() * (near + 0.5) / ramp) ELSE 1.0 END) AS weight FROM (SELECT *, least(idx - st, st + len - 1 - idx) AS near, least(8, len // 2) AS ramp FROM {_WINDOWS}))"
 _BEST = f"(SELECT chunk, count(*) AS tries, min({{'w': CASE WHEN error IS NULL THEN warning IS NOT NULL END, 'o': CASE WHEN warning IS NOT NULL THEN abs(ln(greatest(duration, 1e-3) / 5.0)) ELSE 0 END, 'a': attempt}}) FILTER (error IS NULL) AS b FROM {_ATTEMPTS} GROUP BY chunk)"
 
 

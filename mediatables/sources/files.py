@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 FACTS = "path string, ok boolean, error string, format int, channels int, rate int, width int, frames long, duration double, truncated boolean"
+#: Bytes of a sample that can be read, by format: whole numbers and floating point.
+WIDTHS = {1: (1, 2, 3, 4), 3: (4, 8)}
 #: Samples of a block row.
 BLOCK = 16_384
 SEGMENTS = "version int, script_sha256 string, max_chars int, merge_paragraphs boolean, segments array<struct<index: int, text: string, char_count: int, paragraph_index: int, status: string, attempts: int, error: string, file_path: string, duration_seconds: double>>"
@@ -53,8 +55,12 @@ def wav_facts(data: bytes) -> tuple[dict, memoryview]:
         at += 8 + size + (size & 1)
     if "format" not in facts or not found:
         return facts | {"error": "no fmt or data chunk"}, body
-    if facts["format"] not in (1, 3) or not facts["align"] or not facts["rate"]:
+    if facts["format"] not in WIDTHS or not facts["rate"]:
         return facts | {"error": "unsupported format"}, body
+    if facts["width"] not in WIDTHS[facts["format"]] or not facts["channels"]:
+        return facts | {"error": "unsupported sample width or no channels"}, body
+    if facts["align"] != facts["channels"] * facts["width"]:
+        return facts | {"error": "block size does not fit channels and width"}, body
     frames = len(body) // facts["align"]
     return facts | {"ok": True, "frames": frames, "duration": frames / facts["rate"]}, body[: frames * facts["align"]]
 
@@ -121,6 +127,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("status").isin("pending", "generated", "placed", "failed"), F.col("status")).otherwise("pending")).orderBy("manifest", "index")
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, nulls written out, as result exports and timestamp manifests are."""
+    rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+
+
 def write_snapshot(table: DataFrame, path: str, number: int) -> None:
     """A whole snapshot beside the earlier ones; it counts once its marker file is there."""
     table.write.mode("errorifexists").parquet(f"{path}/snapshot_id={number}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,33 +37,55 @@ def settled(events: DataFrame, key: str, gap: str, lateness: str = "10 minutes")
 def settled_files(events: DataFrame, settle_seconds: float = 1.5, give_up_seconds: float = 300.0) -> DataFrame:
     """``path, size, ts`` of files whose size stayed the same and above zero for the settling time.
 
-    ``events`` has ``path, size, modified, kind, ts``; ``kind`` deleted forgets a file, so dropping it
-    again is new work, and one that keeps changing is given up.
+    ``events`` has ``path, size, modified, kind, ts``; ``kind`` deleted forgets a file and its state, so
+    dropping it again is new work, and one that keeps changing is given up. A file settles by
+    a later event of the same size, or by a timer in processing time when none comes, so one
+    event is enough; ``ts`` is then that of the last event.
     """
 
     def step(key, batches, state: GroupState):
         import pandas as pd
 
-        size, since, first, done = state.get if state.exists else (-1, 0.0, 0.0, "")
-        out = []
+        nothing = (-1, 0.0, 0.0, 0, "", "", None)
+        size, since, first, begun, mark, done, last = state.get if state.exists else nothing
+        out, now = [], state.getCurrentProcessingTimeMs()
+        if state.hasTimedOut:
+            if size > 0 and done != "given up" and now - begun <= 1000 * give_up_seconds:
+                out.append((key[0], size, last))
+                done = mark
+            state.update((size, since, first, 0, mark, done, last))
+            yield pd.DataFrame(out, columns=["path", "size", "ts"])
+            return
+        gone = waits = False
         for batch in batches:
             for e in batch.sort_values("ts").itertuples():
                 at = e.ts.timestamp()
-                if e.kind == "deleted":
-                    size, since, first, done = -1, 0.0, 0.0, ""
+                gone = e.kind == "deleted"
+                if gone:
+                    size, since, first, begun, mark, done, last = nothing
+                    waits = False
                     continue
-                mark = f"{e.size}|{e.modified}"
-                if mark == done:
+                mark, last = f"{e.size}|{e.modified}", e.ts
+                if mark == done or done == "given up" and e.size == size:
                     continue
-                if e.size != size:
-                    size, since, first = int(e.size), at, first or at
-                if size > 0 and at - since >= settle_seconds and at - first <= give_up_seconds:
+                if e.size != size or done:
+                    size, since, first, done, begun, waits = int(e.size), at, first or at, "", begun or now, True
+                if at - first > give_up_seconds or now - begun > 1000 * give_up_seconds:
+                    done, waits = "given up", False
+                elif size > 0 and at - since >= settle_seconds:
                     out.append((key[0], size, e.ts))
-                    done, first = mark, 0.0
-        state.update((size, since, first, done))
+                    done, first, begun, waits = mark, 0.0, 0, False
+        if gone:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((size, since, first, begun, mark, done, last))
+            if waits:
+                state.setTimeoutDuration(max(1, int(1000 * settle_seconds)))
         yield pd.DataFrame(out, columns=["path", "size", "ts"])
 
-    return events.groupBy("path").applyInPandasWithState(step, "path string, size long, ts timestamp", "size long, since double, first double, done string", "append", GroupStateTimeout.NoTimeout)
+    kept = "size long, since double, first double, begun long, mark string, done string, last timestamp"
+    return events.groupBy("path").applyInPandasWithState(step, "path string, size long, ts timestamp", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def deduped_events(events: DataFrame, keys: list[str], within: str) -> DataFrame:
@@ -80,14 +101,18 @@ def progress_counts(events: DataFrame, status: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, and read what it wrote (the last state of each row in complete mode)."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
     place = f"{base}/stream-{id(stream)}-{spark.sparkContext.startTime}-{F.rand()._jc.hashCode()}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{place}/out")
     else:
         query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out")).start()
-    query.awaitTermination()
+    while not query.awaitTermination(0.2):
+        # timers in processing time would go on for ever: two batches without rows end the replay
+        last = query.recentProgress[-2:]
+        if len(last) == 2 and not any(p.numInputRows for p in last):
+            query.stop()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 

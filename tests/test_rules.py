@@ -1,5 +1,6 @@
 """Pinned cases of rules that the given tables don't show."""
 
+import math
 import struct
 
 import pytest
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 
 from mediatables.functions import text as T
 from mediatables.functions import timecode as TC
-from mediatables.operators import layout, manifest
+from mediatables.operators import layout, manifest, signal
 from mediatables.operators import text as ops
+from mediatables.plans import images
 from mediatables.sources import files, inventory
 from mediatables.streaming import intake
 
@@ -150,6 +152,107 @@ def test_settled_files_wait_and_forget(spark, tmp_path):
     assert sorted(r.ts.second for r in out.collect()) == [3, 8]
 
 
+def test_a_file_with_one_event_settles(spark, tmp_path):
+    rows = [("a", 5, "m", "new", 1.0), ("b", 7, "m", "new", 2.0), ("c", 0, "m", "new", 2.0), ("d", 4, "m", "new", 1.0), ("d", 4, "m", "deleted", 2.0)]
+    df = spark.createDataFrame(rows, "path string, size long, modified string, kind string, at double").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    df.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    stream = intake.settled_files(spark.readStream.schema(df.schema).parquet(str(tmp_path / "feed")), settle_seconds=0.5)
+    query = stream.writeStream.format("memory").queryName("one_event").trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(120):
+            got = sorted((r.path, r.size) for r in spark.table("one_event").collect())
+            if len(got) >= 2:
+                break
+            query.awaitTermination(0.5)
+        query.awaitTermination(1)
+        assert sorted((r.path, r.size) for r in spark.table("one_event").collect()) == [("a", 5), ("b", 7)]
+    finally:
+        query.stop()
+
+
+def test_feather_weights(spark):
+    series = spark.range(40).select(F.lit(1).alias("series_id"), F.col("id").alias("idx"), F.lit(1.0).alias("value"))
+    w = {r.idx: r.weight for r in layout.overlap_windows(series, 40, 8).collect()}
+    assert w[0] == pytest.approx(max(1e-3, 0.5 - 0.5 * math.cos(math.pi * 0.5 / 8))) and w[7] == pytest.approx(0.5 - 0.5 * math.cos(math.pi * 7.5 / 8)) and w[8] == w[20] == 1.0 and w[39] == w[0]
+
+
+def test_regrid_holds_the_last_value(spark):
+    s = spark.createDataFrame([(1, i, float(i), 2) for i in range(4)], "series_id int, idx long, value double, rate int")
+    assert sorted((r.idx, r.value, r.rate) for r in signal.regrid_signal(s, 5).collect()) == [(j, float(j * 2 // 5), 5) for j in range(10)]
+    assert sorted((r.idx, r.value) for r in signal.regrid_signal(s, 1).collect()) == [(0, 0.5), (1, 2.5)]
+
+
+@pytest.mark.parametrize(("tag", "channels", "bits", "align"), [(1, 0, 16, 2), (3, 1, 16, 2), (1, 1, 40, 5), (1, 2, 16, 2), (1, 1, 16, 0), (7, 1, 8, 1)])
+def test_odd_wav_files_are_error_rows(spark, tmp_path, tag, channels, bits, align):
+    fmt = struct.pack("<HHIIHH", tag, channels, 8000, 8000 * align, align, bits)
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", 20) + bytes(20)
+    (tmp_path / "x.wav").write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+    facts, _ = files.wav_facts((tmp_path / "x.wav").read_bytes())
+    assert not facts["ok"] and facts["error"]
+    assert files.wav_samples(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("target", "multiplier", "error"), [("x2", 2.0, None), ("2.5x", 2.5, None), ("200x100", 2.0, None), ("400", 4.0, None), ("4k", 38.4, None), ("x0", 0.0, "unknown target"), ("x33", 33.0, "over 32 times"), ("huge", None, "unknown target")])
+def test_targets(spark, target, multiplier, error):
+    got = _one(spark, images.parse_target(F.col("w"), F.col("h"), F.col("t")), w=100, h=100, t=target)
+    assert got.multiplier == multiplier and got.error == error
+
+
+def test_duration_falls_back(spark):
+    rate = TC.parse_rate(F.lit("25"))
+    rows = [(2.0, 9, "00:00:01:00", "7", 50), (None, 9, "00:00:01:00", "7", 9), (0.0, 0, "00:00:01:00", "7", 25), (None, None, "bad", " 7 ", 7), (None, None, None, "x", 0)]
+    table = spark.createDataFrame(rows, "s double, stored long, code string, frames string, want long")
+    assert all(r.got == r.want for r in table.withColumn("got", TC.duration_frames(F.col("s"), F.col("stored"), F.col("code"), F.col("frames"), rate)).collect())
+
+
+def test_generator_errors_are_rows(spark):
+    def setup():
+        return lambda row: {"made": row["text"].upper(), "n": 10 // len(row["text"])}
+
+    work = spark.createDataFrame([("a", "xy"), ("b", "")], "key string, text string")
+    got = {r.key: (r.made, r.n, r.error) for r in manifest.apply_generator(work, setup, "made string, n long").collect()}
+    assert got["a"] == ("XY", 5, None) and got["b"][:2] == (None, None) and "ZeroDivisionError" in got["b"][2]
+
+    def broken():
+        raise OSError("no model")
+
+    assert all(r.error == "OSError: no model" for r in manifest.apply_generator(work, broken, "made string").collect())
+
+
+def test_summaries(spark):
+    runs = spark.createDataFrame([("b", "failed", 1.0), ("a", "failed", 2.0), ("c", "success", 3.0), ("d", "skipped", 0.0)], "path string, status string, elapsed double")
+    assert tuple(manifest.transcription_summary(runs).first()) == (4, 1, 1, 2, "a,b", 6.0, 2)
+    segments = spark.createDataFrame([(1, 0, "generated", False), (1, 1, "placed", True), (1, 2, "failed", None), (2, 0, "generated", True)], "script_id int, index int, status string, cached boolean")
+    got = {r.script_id: tuple(r)[1:] for r in manifest.narration_summary(segments).collect()}
+    assert got == {1: (3, 1, 1, 1, 1, "3", 3), 2: (1, 0, 1, 0, 0, "", 0)}
+
+
+def test_keys_and_names(spark):
+    table = spark.createDataFrame([({"b": "2", "a": "1"}, "r"), ({"a": "1", "b": "2"}, "r"), ({"a": "1"}, None)], "m map<string,string>, r string")
+    keys = [r[0] for r in table.select(manifest.settings_key(F.col("m"), F.col("r"))).collect()]
+    assert keys[0] == keys[1] != keys[2] and all(len(k) == 16 for k in keys)
+    assert _one(spark, inventory.output_name(F.col("s"), F.col("l"), F.col("m"), F.col("e")), s="img", l="4 K", m="ultrasharp", e="JPEG") == "img_4K_ultrasharp.jpg"
+
+
+def test_segments_get_facts_and_edges(spark):
+    segments = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "index int, file_path string")
+    facts = spark.createDataFrame([("a", 8000, 2.5), ("b", 8000, 1.0)], "path string, rate int, duration double")
+    edges = spark.createDataFrame([("a", 0.12345, 0.5, None), ("b", 0.0, 0.0, "silent")], "path string, leading double, trailing double, reason string")
+    got = {r["index"]: (r.rate, r.leading_silence_seconds) for r in manifest.enrich_segments(segments, facts, edges).collect()}
+    assert got == {1: (8000, 0.1235), 2: (8000, None), 3: (None, None)}
+
+
+def test_files_are_listed_and_exported(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "b.MP4").write_bytes(b"xx")
+    (tmp_path / "in" / "sub" / "a.mov").write_bytes(b"x")
+    flat = inventory.scan_inventory(inventory.list_files(spark, str(tmp_path / "in")), inventory.VIDEO)
+    deep = inventory.scan_inventory(inventory.list_files(spark, str(tmp_path / "in"), recursive=True), inventory.VIDEO, "size")
+    assert [r.name for r in flat.collect()] == ["b.MP4"] and [r.name for r in deep.collect()] == ["a.mov", "b.MP4"]
+    files.write_json(deep.select("name", F.lit(None).cast("string").alias("error")), str(tmp_path / "out"))
+    assert sorted(x for p in (tmp_path / "out").glob("*.json") for x in p.read_text().split()) == ['{"name":"a.mov","error":null}', '{"name":"b.MP4","error":null}']
+
+
 def test_incremental_work_runs_once(spark, tmp_path):
     feed, target = str(tmp_path / "feed"), str(tmp_path / "out")
     for k in range(2):
