@@ -107,13 +107,14 @@ def merged(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]]) ->
         if pair in merges:
             tree[leaf + i] = merges[pair][0] * n + i
     for k in range(leaf - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        left, right = tree[2 * k], tree[2 * k + 1]
+        tree[k] = left if left < right else right
     while (root := tree[1]) < _FAR:
         i = root % n
         j = after[i]
         ids[i], ids[j] = merges[ids[i], ids[j]][1], -1
         after[i] = k = after[j]
-        if j < n - 1:
+        if j < n - 1 and tree[leaf + j] < _FAR:
             point_update(tree, leaf + j, _FAR)
         found = None
         if k < n:
@@ -123,7 +124,9 @@ def merged(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]]) ->
         h = before[i]
         if h >= 0:
             found = get((ids[h], ids[i]))
-            point_update(tree, leaf + h, found[0] * n + h if found else _FAR)
+            value = found[0] * n + h if found else _FAR
+            if tree[leaf + h] != value:
+                point_update(tree, leaf + h, value)
     return [i for i in ids if i >= 0]
 
 
