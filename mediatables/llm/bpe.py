@@ -5,8 +5,9 @@ driver, and broadcast: its size is that of the vocabulary, checked against
 ``MOST_ENTRIES``, and never that of the data. Each pre-token is merged by a segment tree
 whose leaves hold the ranks of adjacent pairs: the root is the leftmost lowest-rank
 pair, each merge updates three leaves in logarithmic time, and merging ends when the
-root holds no pair. A very long pre-token thus costs n log n. Frequent pre-tokens are
-kept in a memo of at most ``MEMO`` entries per worker.
+root holds no pair. A very long pre-token thus costs n log n. Words of one size are merged
+side by side, a tree each, in arrays with a row a word. Frequent pre-tokens are
+kept in a memo of at most ``MEMO`` entries per worker, or those of one megabyte of text.
 
 Text is never shuffled: encoding is one pass over the input's own partitions.
 Null text counts as empty and has no ids. The strings of special tokens inside a text
@@ -18,9 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from struct import pack
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
@@ -31,10 +33,15 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, kept
 
+T = TypeVar("T")
 #: Entries of a vocabulary that may be broadcast.
 MOST_ENTRIES = 1_000_000
 #: Pre-tokens whose ids a worker remembers.
 MEMO = 100_000
+#: Characters of texts that are encoded together, and words that are merged side by side.
+TOGETHER, SIDE_BY_SIDE = 1 << 20, 8192
+#: Bytes up to which words are merged side by side; longer ones are merged one at a time.
+LONG = 64
 _FAR = 1 << 62
 
 
@@ -71,6 +78,20 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        self.merged_ids = np.zeros(len(model["merges"]), np.int64)
+        for rank, merged_id in self.merges.values():
+            self.merged_ids[rank] = merged_id
+        pairs = sorted((a << 32 | b, rank) for (a, b), (rank, _) in self.merges.items())
+        self.pairs = np.array([pair for pair, _ in pairs] + [_FAR], np.int64)
+        self.pair_ranks = np.array([rank for _, rank in pairs] + [_FAR], np.int64)
+        self.byte_ids = np.array([*self.letter_ids, -1], np.int64)
+        self.byte_ranks = self.ranks(np.repeat(self.byte_ids, 257), np.tile(self.byte_ids, 257))
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, ``_FAR`` where it is none (as with -1, which is no id)."""
+        pair = (left << 32) + right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.pair_ranks[at], _FAR)
 
 
 #: How a byte-level pre-tokenizer cuts a text (fixed value, as published with the vocabulary).
@@ -130,46 +151,135 @@ def merged(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]]) ->
     return [i for i in ids if i >= 0]
 
 
-class _Memo(dict):
-    """Pre-token to packed ids (little-endian 32-bit); merges what it lacks."""
+def merged_words(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
+    """Ids of many words at once, packed as little-endian 32-bit integers.
 
-    def __init__(self, vocabulary: Vocabulary, most: int) -> None:
-        self.letters, self.merges, self.most = vocabulary.letter_ids, vocabulary.merges, most
+    Words whose trees have the same number of leaves are merged side by side, each in its own tree;
+    long ones, of which there are few, singly.
+    """
+    out = [b""] * len(words)
+    classes: dict[int, list[int]] = {}
+    for at, word in enumerate(words):
+        if len(word) <= LONG:
+            classes.setdefault(1 << (len(word) - 2).bit_length() if len(word) > 2 else 1, []).append(at)
+        else:
+            ids = merged([vocabulary.letter_ids[b] for b in word], vocabulary.merges)
+            out[at] = pack(f"<{len(ids)}I", *ids)
+    for leaves, places in classes.items():
+        for at in range(0, len(places), SIDE_BY_SIDE):
+            part = places[at : at + SIDE_BY_SIDE]
+            for place, ids in zip(part, _side_by_side([words[i] for i in part], leaves, vocabulary)):
+                out[place] = ids
+    return out
+
+
+def _side_by_side(words: list[bytes], leaves: int, v: Vocabulary) -> list[bytes]:
+    """:func:`merged` for words of at most ``leaves + 1`` bytes, a row of each array per word.
+
+    Every row has one more place and one more leaf than it needs; they stay empty and stand for
+    the neighbour that the first and the last token lack.
+    """
+    n, wide, deep, bits = len(words), leaves + 2, 2 * leaves + 1, leaves.bit_length() - 1
+    held = np.arange(wide) < np.fromiter(map(len, words), np.int64, n)[:, None]
+    raw = np.full((n, wide), 256)
+    raw[held] = np.frombuffer(b"".join(words), np.uint8)
+    ids = np.where(held, v.byte_ids[raw], -1).ravel()
+    after = np.tile(np.arange(1, wide + 1), n)
+    before = np.tile(np.arange(-1, wide - 1), n)
+    rows = np.full((n, deep), _FAR)
+    first = v.byte_ranks[raw[:, :leaves] * 257 + raw[:, 1 : leaves + 1]]
+    rows[:, leaves : 2 * leaves] = np.where(first < _FAR, (first << bits) + np.arange(leaves), _FAR)
+    for k in range(leaves - 1, 0, -1):
+        np.minimum(rows[:, 2 * k], rows[:, 2 * k + 1], out=rows[:, k])
+    tree, live = rows.ravel(), np.arange(n)
+    while True:
+        root = tree[live * deep + 1]
+        live, root = live[root < _FAR], root[root < _FAR]
+        if not len(live):
+            break
+        row, i = live * wide, root & (leaves - 1)
+        j = after[row + i]
+        k = after[row + j]
+        h = before[row + i]
+        token = v.merged_ids[root >> bits]
+        ids[row + i], ids[row + j], after[row + i], before[row + k] = token, -1, k, i
+        mine, theirs = v.ranks(token, ids[row + k]), v.ranks(ids[row + h], token)
+        node = leaves + np.concatenate([j, i, np.where(h < 0, leaves, h)])
+        base = np.tile(live * deep, 3)
+        tree[base + node] = np.concatenate([np.full(len(live), _FAR), np.where(mine < _FAR, (mine << bits) + i, _FAR), np.where(theirs < _FAR, (theirs << bits) + h, _FAR)])
+        np.minimum(node, 2 * leaves - 1, out=node)
+        for _ in range(bits):
+            node >>= 1
+            under = base + 2 * node
+            tree[base + node] = np.minimum(tree[under], tree[under + 1])
+    left = ids >= 0
+    flat, ends = ids[left].astype("<u4").tobytes(), np.cumsum(left.reshape(n, wide).sum(1)) * 4
+    return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+class Memo:
+    """What is known of pre-tokens, ``value`` of their packed ids: ``fixed`` and up to ``most`` others.
+
+    When more come, all go but those of the texts at hand, among which are the frequent ones.
+    """
 
-    def __missing__(self, token: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        letters = self.letters
-        ids = merged([letters[b] for b in token.encode("utf-8", "surrogatepass")], self.merges)
-        self[token] = got = pack(f"<{len(ids)}I", *ids)
-        return got
+    def __init__(self, vocabulary: Vocabulary, most: int, value: Callable[[bytes], T], fixed: dict[str, T] | None = None) -> None:
+        self.vocabulary, self.most, self.value, self.fixed = vocabulary, most, value, fixed or {}
+        self.known = dict(self.fixed)
+
+    def learn(self, tokens: set[str]) -> dict[str, T]:
+        """A table that has all of ``tokens``; those it lacked are merged."""
+        new = list(tokens.difference(self.known))
+        if len(self.known) + len(new) > self.most + len(self.fixed):
+            self.known = self.fixed | {t: self.known[t] for t in tokens.intersection(self.known)}
+        ids = merged_words([t.encode("utf-8", "surrogatepass") for t in new], self.vocabulary)
+        self.known.update(zip(new, map(self.value, ids)))
+        return self.known
+
+
+def texts_together(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts in turn, as many at a time as hold about ``TOGETHER`` characters (a longer one alone); null as empty."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class Encoder:
     """Ids of texts; one per worker."""
 
     def __init__(self, vocabulary: Vocabulary, memo: int = MEMO) -> None:
-        self.v, self.memo = vocabulary, _Memo(vocabulary, memo)
+        self.v, self.memo = vocabulary, Memo(vocabulary, memo, bytes)
         self.find = regex.compile(PATTERN).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda text: [text]
         self.tokens = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of) + 1)]
 
-    def pieces(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
+    def pieces(self, text: str) -> list[tuple[int | None, list[str]]]:
         """Special ids and the pre-tokens between them."""
+        out: list[tuple[int | None, list[str]]] = []
         for k, part in enumerate(self.split(text)):
             if k % 2:
-                yield self.v.special[part], []
+                out.append((self.v.special[part], []))
             elif part:
-                yield None, self.find(" " + part if self.v.prefix_space and not part[0].isspace() else part)
+                out.append((None, self.find(" " + part if self.v.prefix_space and not part[0].isspace() else part)))
+        return out
 
-    def packed(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian 32-bit integers."""
-        ids = self.memo.__getitem__
-        return b"".join([pack("<I", special) if special is not None else b"".join(map(ids, tokens)) for special, tokens in self.pieces(text or "")])
+    def packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        for held in texts_together(texts):
+            cuts = [self.pieces(text) for text in held]
+            ids = self.memo.learn(set().union(*[tokens for cut in cuts for _, tokens in cut])).__getitem__
+            for cut in cuts:
+                yield b"".join([pack("<I", special) if special is not None else b"".join(map(ids, tokens)) for special, tokens in cut])
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.packed(text), "<u4")
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        return (np.frombuffer(packed, "<u4") for packed in self.packed(texts))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -194,7 +304,7 @@ def with_token_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "t
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = encoder_of(shared)
         for batch in batches:
-            yield pd.Series([encoder.encode(t).astype(np.int32) for t in batch])
+            yield pd.Series([ids.astype(np.int32) for ids in encoder.encode(batch)])
 
     return docs.withColumn(ids, encode(F.col(f"`{text}`").cast("string")))
 
@@ -224,11 +334,8 @@ def encoded_and_checked(docs: DataFrame, path: str, text: str = "text", rows: in
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.slice(at, rows)
-                ids, same = [], []
-                for t in part.column(1):
-                    known = t.as_py() or ""
-                    ids.append(encoder.encode(known))
-                    same.append(encoder.decode(ids[-1]) == known)
+                ids = list(encoder.encode(t.as_py() for t in part.column(1)))
+                same = [encoder.decode(i) == (t.as_py() or "") for i, t in zip(ids, part.column(1))]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())], ["row", "token_ids", "round_trip"])
@@ -249,8 +356,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
         encoder = encoder_of(shared)
         for batch in batches:
             count, left, right = [], [], []
-            for t in batch.column(1):
-                packed = encoder.packed(t.as_py())
+            for packed in encoder.packed(t.as_py() for t in batch.column(1)):
                 ids = np.frombuffer(packed, "<u4")
                 count.append(len(ids))
                 left.append(hashlib.sha256(packed).hexdigest())

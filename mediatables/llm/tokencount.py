@@ -13,57 +13,43 @@ not over any limit. Rows are independent; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, PATTERN, Encoder, Vocabulary, merged
+from .bpe import MEMO, PATTERN, Encoder, Memo, Vocabulary, merged_words, texts_together
 from .shared import bounded_batches, kept
 
 
 def whole_tokens(vocabulary: Vocabulary) -> frozenset[str]:
     """The vocabulary strings that are one pre-token and encode alone as one token."""
-    find, out = regex.compile(PATTERN).findall, []
+    find, able = regex.compile(PATTERN).findall, []
     for raw in vocabulary.bytes_of.values():
         try:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if text in vocabulary.special or find(text) != [text]:
-            continue
-        if len(merged([vocabulary.letter_ids[b] for b in raw], vocabulary.merges)) == 1:
-            out.append(text)
-    return frozenset(out)
-
-
-class _Sizes(dict):
-    """Pre-token to number of tokens; begins with the whole tokens and merges what it lacks."""
-
-    def __init__(self, vocabulary: Vocabulary, one: frozenset[str], most: int) -> None:
-        super().__init__(dict.fromkeys(one, 1))
-        self.letters, self.merges, self.one, self.most = vocabulary.letter_ids, vocabulary.merges, one, len(one) + most
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-            self.update(dict.fromkeys(self.one, 1))
-        letters = self.letters
-        self[token] = n = len(merged([letters[b] for b in token.encode("utf-8", "surrogatepass")], self.merges))
-        return n
+        if text and text not in vocabulary.special and find(text) == [text]:
+            able.append(text)
+    return frozenset(text for text, ids in zip(able, merged_words([t.encode() for t in able], vocabulary)) if len(ids) == 4)
 
 
 class Counter:
     """Counts tokens of texts; ``one`` says which pre-tokens are one token."""
 
     def __init__(self, vocabulary: Vocabulary, one: frozenset[str], most: int = MEMO) -> None:
-        self.encoder, self.size = Encoder(vocabulary, 1), _Sizes(vocabulary, one, most)
+        self.encoder = Encoder(vocabulary, 1)
+        self.sizes = Memo(vocabulary, most, lambda ids: len(ids) // 4, dict.fromkeys(one, 1))
 
-    def count(self, text: str | None) -> int:
-        size = self.size.__getitem__
-        return sum([1 if special is not None else sum(map(size, tokens)) for special, tokens in self.encoder.pieces(text or "")])
+    def counts(self, texts: Iterable[str | None]) -> Iterator[int]:
+        for held in texts_together(texts):
+            cuts = [self.encoder.pieces(text) for text in held]
+            size = self.sizes.learn(set().union(*[tokens for cut in cuts for _, tokens in cut])).__getitem__
+            for cut in cuts:
+                yield sum([1 if special is not None else sum(map(size, tokens)) for special, tokens in cut])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -75,7 +61,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept("counter", shared.value, lambda: Counter(*shared.value))
         for batch in batches:
-            n = [counter.count(t.as_py()) for t in batch.column(1)]
+            n = list(counter.counts(t.as_py() for t in batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))

@@ -156,6 +156,24 @@ def test_tree_merges_as_the_plain_rule_does(word, monkeypatch):
     assert merges <= len(updates) <= 3 * merges  # every merge goes through the tree
 
 
+def test_words_side_by_side_merge_as_one_at_a_time():
+    v, draw = bpe.Vocabulary(vocabulary_path()), np.random.default_rng(5)
+    words = [b"a" * k for k in range(1, 140)]
+    words += [bytes(draw.integers(0, 256, n, dtype=np.uint8)) for n in draw.integers(1, 80, 300)]
+    words += ["".join(draw.choice([*" etaoinsr"], n)).encode() for n in draw.integers(1, 80, 1000)]
+    alone = [bpe.merged([v.letter_ids[b] for b in word], v.merges) for word in words]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in bpe.merged_words(words, v)] == alone
+    assert bpe.merged_words([], v) == []
+
+
+def test_a_small_memo_changes_no_ids():
+    v = bpe.Vocabulary(vocabulary_path())
+    texts = ["one two three four", None, "two five", "", "one one six" * 50]
+    memo = bpe.Encoder(v, 2)
+    memo_ids = [ids.tolist() for text in texts for ids in memo.encode([text])]
+    assert memo_ids == [ids.tolist() for ids in bpe.Encoder(v).encode(texts)]
+
+
 def test_mixing_targets_bounds_and_reruns(spark, given):
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in given.collect()] + [(9001, None, "en", None), (9002, "a b c", "en", None), (9003, "", "en", "zz"), (None, "x y", "en", "src1"), (9004, "same row", "en", "src1"), (9004, "same row", "en", "src1")]
     docs = _docs(spark, rows)
