@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, html, langid, minhash, mixing, suffix, tokencount, warc
+from . import ann, bpe, embdedup, exact, fim, html, langid, minhash, mixing, suffix, tokencount, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -66,6 +66,16 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.owners(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2(F.col("output"), 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def lang_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of pages from text, declared language, address suffix and host."""
     docs = _table(spark, sf_dir, "documents")
@@ -81,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_embedding_dedup, op4_warc, op5_language_id, op6_bpe, op7_token_counts, op8_minhash, op9_mixing, op10_suffix_array, lang_pages, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_embedding_dedup, op4_warc, op5_language_id, op6_bpe, op7_token_counts, op8_minhash, op9_mixing, op10_suffix_array, op11_exact, op12_fim, lang_pages, pipeline)}
 
 
 def _warc_sql() -> str:
@@ -114,4 +124,18 @@ SELECT page_id, record_type, {name('h2')} AS record_id, source_id AS refers_to,
   'sha256:' || sha256(block) AS block_digest, source_digest FROM d"""
 
 
-ORACLES = {"op4_warc": _warc_sql()}
+_FIM_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+k AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c"""
+
+_EXACT_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256 FROM t WINDOW w AS (PARTITION BY x)"""
+
+ORACLES = {"op4_warc": _warc_sql(), "op11_exact": _EXACT_SQL, "op12_fim": _FIM_SQL}
