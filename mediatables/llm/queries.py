@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embdedup, exact, fim, html, langid, minhash, mixing, suffix, tokencount, warc
+from . import ann, bpe, embdedup, exact, fim, hardneg, html, langid, minhash, mixing, suffix, tokencount, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -76,6 +76,11 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted)
+
+
 def lang_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of pages from text, declared language, address suffix and host."""
     docs = _table(spark, sf_dir, "documents")
@@ -91,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_embedding_dedup, op4_warc, op5_language_id, op6_bpe, op7_token_counts, op8_minhash, op9_mixing, op10_suffix_array, op11_exact, op12_fim, lang_pages, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_embedding_dedup, op4_warc, op5_language_id, op6_bpe, op7_token_counts, op8_minhash, op9_mixing, op10_suffix_array, op11_exact, op12_fim, op13_hard_negatives, lang_pages, pipeline)}
 
 
 def _warc_sql() -> str:
@@ -138,4 +143,12 @@ _EXACT_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256 FROM t WINDOW w AS (PARTITION BY x)"""
 
-ORACLES = {"op4_warc": _warc_sql(), "op11_exact": _EXACT_SQL, "op12_fim": _FIM_SQL}
+_NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+ORACLES = {"op4_warc": _warc_sql(), "op11_exact": _EXACT_SQL, "op12_fim": _FIM_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
