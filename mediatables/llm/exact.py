@@ -138,8 +138,9 @@ class Trie:
             node = child
 
     def rest(self) -> Iterator[tuple[bytes, list]]:
-        yield from self.spilled(b"", self.root)
-        self.root = Node(b"")
+        root, self.root = self.root, Node(b"")
+        self.held += _NODE  # the root was never counted
+        yield from self.spilled(b"", root)
 
 
 _HEAD = 16  # bytes of a key before its text: hash, length
