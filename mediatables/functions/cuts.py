@@ -24,11 +24,17 @@ PROSE_ABBREVIATIONS = tuple("mr mrs ms dr prof sr jr st mt vs etc inc ltd co cor
 #: Addresses and e-mails, which no cut may split (must match the corpora's rule: fixed value).
 PROTECTED = r"(?i)(?:(?:https?|ftp|file)://|www\.)[^\s]*[^\s.,;:!?)\]}'\"]|[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 
-_STOP, _WIDE_STOP = re.compile(rf"[.!?…]+[{CLOSERS}]* "), re.compile(rf"[。！？][{CLOSERS}]* *")
-_PROSE_STOP = re.compile(r"[.!?…]+[\"'”’)\]]* +")
-_TAIL, _PROSE_TAIL = re.compile(rf"(.*?)([.!?…]+)[{CLOSERS}]*", re.S), re.compile(r"(.*?)([.!?…]+)[\"'”’)\]]*", re.S)
+STOPS = ".!?…"
+#: Each run of stops is tried once, from its head, and never given back in part.
+_STOP, _WIDE_STOP = re.compile(rf"(?<![{STOPS}])[{STOPS}]++[{CLOSERS}]*+ "), re.compile(rf"[。！？][{CLOSERS}]*+ *+")
+_PROSE_STOP = re.compile(rf"(?<![{STOPS}])[{STOPS}]++[\"'”’)\]]*+ ++")
+_CLOSE, _PROSE_CLOSE = "\"'’”)]}»›", "\"'”’)]"
 _OPEN, _PROSE_OPEN = "\"'‘“([{«‹", "\"'([“‘"
-_PROTECTED_END = re.compile(rf"(?:{PROTECTED[4:]})\Z", re.ASCII | re.I)
+_SHORT, _PROSE_SHORT = frozenset(ABBREVIATIONS), frozenset(PROSE_ABBREVIATIONS)
+#: How an address begins, what it can't end in, and the part of an e-mail address after the last "@".
+_SCHEME, _NO_END = re.compile(r"(?:https?|ftp|file)://|www\.", re.I | re.ASCII), frozenset(".,;:!?)]}'\"")
+_DOMAIN, _LOCAL = re.compile(r"[a-z0-9\-]+(?:\.[a-z0-9\-]+)+", re.I | re.ASCII), re.compile(r"[a-z0-9._%+\-]", re.I | re.ASCII)
+_BREAK = re.compile(r"\s", re.ASCII)
 _LONG_PART = re.compile(r"[^.]{3}", re.S)
 #: Clause ends, stand-alone dashes and openers.
 _CLAUSE = (re.compile(r"([,;:—–)\]}][\"'’”]*) "), re.compile(r"((?:^| )-+[\"'’”]*) "), re.compile(rf" (?=[{OPENERS}])"))
@@ -60,14 +66,21 @@ def _kept_apart(pieces: list[str], ends: Callable[[str, str], bool]) -> list[str
     return ["".join(g) for g in groups]
 
 
+def _stopped(token: str, closers: str) -> tuple[str, str]:
+    """What stands before a token's last stops, and those stops ("" if it ends otherwise)."""
+    token = token.rstrip(closers)
+    word = token.rstrip(STOPS)
+    return word, token[len(word) :]
+
+
 def _narration_end(left: str, right: str) -> bool:
-    tail = _TAIL.fullmatch(_last_token(left))
-    if tail is None or not tail[2]:
+    token, run = _stopped(_last_token(left), _CLOSE)
+    if not run:
         return True
-    token, run = tail[1].lstrip(_OPEN), tail[2]
+    token = token.lstrip(_OPEN)
     if "…" in run or run.count(".") > 1:
         return False
-    return run != "." or not (_kind(right) == "Ll" or token.lower() in ABBREVIATIONS or len(token) == 1 and _kind(token) == "Lu")
+    return run != "." or not (_kind(right) == "Ll" or token.lower() in _SHORT or len(token) == 1 and _kind(token) == "Lu")
 
 
 def sentences_narration(paragraph: str) -> list[str]:
@@ -75,10 +88,9 @@ def sentences_narration(paragraph: str) -> list[str]:
 
 
 def _prose_end(left: str, right: str) -> bool:
-    tail = _PROSE_TAIL.fullmatch(_last_token(left))
-    token, run = (tail[1], tail[2]) if tail else ("", "")
-    word = token.lower().strip(_PROSE_OPEN).rstrip(".")
-    short = word in PROSE_ABBREVIATIONS or len(word) == 1 and _kind(word)[0] == "L" or "." in word and not _LONG_PART.search(word)
+    token, run = _stopped(_last_token(left), _PROSE_CLOSE)
+    word = (token if run else "").lower().strip(_PROSE_OPEN).rstrip(".")
+    short = word in _PROSE_SHORT or len(word) == 1 and _kind(word)[0] == "L" or "." in word and not _LONG_PART.search(word)
     lower = _kind(right) == "Ll"
     return not (run == "." and (short or lower) or lower and (run[:1] == "…" or run[:1] == "." and len(run) > 1))
 
@@ -87,12 +99,23 @@ def sentences_prose(paragraph: str) -> list[str]:
     return _kept_apart(_cut_at(paragraph, [m.end() for m in _PROSE_STOP.finditer(paragraph)]), _prose_end)
 
 
+def _ends_in_address(token: str) -> bool:
+    """Whether a token ends in what ``PROTECTED`` matches: a web address, or an e-mail address."""
+    scheme = _SCHEME.search(token)
+    if scheme and token[-1] not in _NO_END:
+        rest = token[scheme.end() :]
+        if rest and not _BREAK.search(rest):
+            return True
+    local, at, domain = token.rpartition("@")
+    return bool(at and local and _LOCAL.match(local[-1]) and _DOMAIN.fullmatch(domain))
+
+
 def clauses(sentence: str) -> list[str]:
     """Pieces of a sentence between commas, dashes and brackets; none ends right after an address."""
     cut = next(c for c in map(chr, range(0xF0000, 0x10FFFE)) if c not in sentence)  # a character that the text lacks
     for pattern in _CLAUSE:
         sentence = pattern.sub(lambda m: f"{m[0]}{cut}", sentence)
-    return _kept_apart([p for p in sentence.split(cut) if p], lambda left, right: not _PROTECTED_END.search(_last_token(left)))
+    return _kept_apart([p for p in sentence.split(cut) if p], lambda left, right: not _ends_in_address(_last_token(left)))
 
 
 def packed(pieces: list[str], most: int, split: Callable[[str], list[str]]) -> list[str]:
