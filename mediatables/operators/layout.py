@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import timecode as TC
+from .prefix import running_sum
 
 
 def place_sequential(clips: DataFrame, start: int = 0, gap: int = 0) -> DataFrame:
     """``track, pos, length`` (``actual`` where known) laid end to end: adds ``record_frame, end_frame, drift``.
 
-    A track's offsets are one running sum over its own clips.
+    A track's offsets are a running sum over its clips, in ranges of positions, so a track may hold any share of them.
     """
     used = F.coalesce("actual", "length") if "actual" in clips.columns else F.col("length")
-    before = Window.partitionBy("track").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = clips.withColumn("record_frame", (F.lit(start) + F.coalesce(F.sum(used + gap).over(before), F.lit(0))).cast("long"))
-    return placed.withColumn("end_frame", (F.col("record_frame") + used).cast("long")).withColumn("drift", used != F.col("length"))
+    placed = running_sum(clips.withColumn("used", used), "track", "pos", F.col("used") + gap, "before")
+    placed = placed.withColumn("record_frame", (F.lit(start) + F.col("before")).cast("long"))
+    return placed.withColumn("end_frame", (F.col("record_frame") + F.col("used")).cast("long")).withColumn("drift", F.col("used") != F.col("length")).drop("used", "before")
+
+
+def intended_range(clips: DataFrame, start: int = 0, gap: int = 0) -> DataFrame:
+    """The frames of a track that ``track, length`` clips are about to take: ``track, start, end``.
+
+    The gap after the last clip counts, and a range has one frame at least.
+    """
+    return clips.groupBy("track").agg(F.lit(start).cast("long").alias("start"), (F.lit(start) + F.greatest(F.coalesce(F.sum(F.col("length") + gap), F.lit(0)), F.lit(1))).cast("long").alias("end"))
+
+
+#: A trimmed clip counts only if more seconds than these remain.
+LEAST_TRIMMED = 0.1
 
 
 def stitch_offsets(chunks: DataFrame, sentence_gap: float = 0.25, paragraph_gap: float = 0.6) -> DataFrame:
-    """``doc_id, chunk_index, duration, ends_paragraph`` gets ``start, end`` in seconds; the last has no gap after it."""
-    order = Window.partitionBy("doc_id").orderBy("chunk_index")
-    gap = F.when(F.lead("chunk_index").over(order).isNull(), 0.0).when(F.col("ends_paragraph"), paragraph_gap).otherwise(sentence_gap)
-    timed = chunks.withColumn("gap", gap)
-    start = F.coalesce(F.sum(F.col("duration") + F.col("gap")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return timed.withColumn("start", start).withColumn("end", F.col("start") + F.col("duration")).drop("gap")
+    """``doc_id, chunk_index, duration, ends_paragraph`` gets ``start, end`` in seconds.
+
+    Where ``trimmed`` (seconds left without quiet edges) is known it is the clip's length, if more than
+    ``LEAST_TRIMMED`` remains. Each clip but the last is followed by a gap; the last one's would stand before nothing.
+    """
+    length = F.col("duration")
+    if "trimmed" in chunks.columns:
+        length = F.when(F.col("trimmed") > LEAST_TRIMMED, F.col("trimmed")).otherwise(length)
+    gap = F.when(F.col("ends_paragraph"), paragraph_gap).otherwise(sentence_gap)
+    timed = running_sum(chunks.withColumn("clip", length), "doc_id", "chunk_index", F.col("clip") + gap, "start")
+    return timed.withColumn("start", F.col("start").cast("double")).withColumn("end", F.col("start") + F.col("clip")).drop("clip")
 
 
 def resume_frame(placed: DataFrame) -> DataFrame:
@@ -33,25 +50,69 @@ def resume_frame(placed: DataFrame) -> DataFrame:
     return placed.groupBy("track").agg(F.max(F.col("record_frame") + F.greatest(F.lit(1), F.col("end_frame") - F.col("record_frame"))).alias("resume_frame"))
 
 
-def overlap_conflicts(left: DataFrame, right: DataFrame, width: int, open_end: bool = False) -> DataFrame:
+def _nodes(first: Column, last: Column) -> Column:
+    """The fewest aligned stretches of 2**level cells that make up the cells from ``first`` to ``last``.
+
+    At each level at most two: the leftmost if its number is odd, and the rightmost if its is even.
+    """
+    levels = F.sequence(F.lit(0), F.length(F.bin(last - first + 1)))
+
+    def stretches(level: Column) -> Column:
+        low = -F.call_function("shiftright", -first, level)  # rounded up
+        high = F.call_function("shiftright", last + 1, level)  # rounded down; none at or beyond it
+        pick = lambda node, taken: F.when(taken, F.struct(level.cast("int").alias("level"), node.cast("long").alias("node")))
+        return F.array(pick(low, (low < high) & (low % 2 != 0)), pick(high - 1, (low < high) & (high % 2 != 0)))
+
+    return F.array_compact(F.flatten(F.transform(levels, stretches)))
+
+
+def _stabbed(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
+    """Each point of ``track, at, ...`` with each range of ``track, first, last, ...`` (ends included) that holds it.
+
+    A range becomes its stretches of cells of ``width``, a logarithmic number however long it is; a point
+    asks for the stretch around it at each level that some range has. The stretches of a range are
+    apart, so a pair meets in one of them only, and a hot track is dealt out by stretch.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    held = ranges.withColumn("n", F.explode(_nodes(cell("first"), cell("last")))).select("*", "n.level", "n.node").drop("n")
+    levels = [r[0] for r in held.select("level").distinct().collect()]  # 64 at most
+    if not levels:
+        levels = [0]
+    asked = points.withColumn("level", F.explode(F.array(*[F.lit(k).cast("int") for k in sorted(levels)])))
+    asked = asked.withColumn("node", F.call_function("shiftright", cell("at"), F.col("level")))
+    return asked.join(held, ["track", "level", "node"]).where("at between first and last").drop("level", "node")
+
+
+def overlap_conflicts(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     """Pairs of one track whose half-open ranges overlap: ``track, left_id, right_id``.
 
-    Both sides have ``track, id, start, end``. Ranges are cut into bins of ``width`` (near the
-    median length), joined on track and bin, and a pair counts only in the bin of its later start,
-    so pairs that share several bins come once. With ``open_end`` a left range has no end.
+    Both sides have ``track, id, start, end`` in whole numbers. Of two ranges that overlap either the left
+    one starts within the right one, or the right one starts later and within the left one: both
+    are searches of points in ranges. ``width`` is the cell of the search, near the median length; ranges of
+    any length cost a few rows. Null bounds and empty ranges have no pairs; rows that repeat an id
+    have theirs each.
     """
-    if open_end:
-        a, b = left.alias("a"), right.alias("b")
-        return a.join(b, (F.col("a.track") == F.col("b.track")) & (F.col("b.end") > F.col("a.start"))).select("a.track", F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
 
-    def binned(side: DataFrame, name: str) -> DataFrame:
-        whole = side.where("start is not null and `end` is not null and `end` > start")
-        bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
-        return whole.select("track", F.col("id").alias(f"{name}_id"), F.col("start").alias(f"{name}_start"), F.col("end").alias(f"{name}_end"), F.explode(bins).alias("bin"))
+    def sides(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        whole = side.where("track is not null and start is not null and `end` is not null and `end` > start")
+        points = whole.select("track", F.col("id").alias(f"{name}_id"), F.col("start").cast("long").alias("at"), F.col("end").cast("long").alias("until"))
+        return points, whole.select("track", F.col("id").alias(f"{name}_id"), F.col("start").cast("long").alias("first"), (F.col("end") - 1).cast("long").alias("last"))
+
+    (a, in_a), (b, in_b) = sides(left, "left"), sides(right, "right")
+    later = in_a.withColumn("first", F.col("first") + 1).where("first <= last")
+    return _stabbed(a, in_b, width).select("track", "left_id", "right_id").union(_stabbed(b, later, width).select("track", "left_id", "right_id"))
+
 
-    pairs = binned(left, "left").join(binned(right, "right"), ["track", "bin"])
-    pairs = pairs.where((F.col("right_start") < F.col("left_end")) & (F.col("right_end") > F.col("left_start")))
-    return pairs.where(F.col("bin") == F.floor(F.greatest("left_start", "right_start") / width)).select("track", "left_id", "right_id")
+def open_end_pairs(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+    """Pairs of one track whose right range ends after the left one starts: ``track, left_id, right_id``.
+
+    A left range has no end: it holds every right end past its start, up to the last there is. As
+    many rows come out as there are pairs; :func:`open_end_counts` counts them without making any.
+    """
+    points = right.where("track is not null and `end` is not null").select("track", F.col("id").alias("right_id"), F.col("end").cast("long").alias("at"))
+    most = points.groupBy("track").agg(F.max("at").alias("last"))
+    starts = left.where("track is not null and start is not null").select("track", F.col("id").alias("left_id"), (F.col("start") + 1).cast("long").alias("first"))
+    return _stabbed(points, starts.join(most, "track").where("first <= last"), width).select("track", "left_id", "right_id")
 
 
 def open_end_counts(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
@@ -64,7 +125,7 @@ def open_end_counts(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     starts = left.where("track is not null and start is not null").select("track", F.col("id").alias("left_id"), F.col("start").alias("at"))
     points = ends.union(starts.select("track", "at", F.lit(0).cast("long").alias("ends"))).groupBy("track", "at").agg(F.sum("ends").alias("ends")).withColumn("bin", F.floor(F.col("at") / width))
     inside = Window.partitionBy("track", "bin").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    beyond = Window.partitionBy("track").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = Window.partitionBy("track").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
     later = points.groupBy("track", "bin").agg(F.sum("ends").alias("ends")).select("track", "bin", F.coalesce(F.sum("ends").over(beyond), F.lit(0)).alias("later"))
     counts = points.withColumn("own", F.coalesce(F.sum("ends").over(inside), F.lit(0))).join(later, ["track", "bin"]).select("track", "at", (F.col("own") + F.col("later")).alias("n"))
     return starts.join(counts, ["track", "at"]).where("n > 0").groupBy("track", "left_id").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import timecode as TC
 from .operators import layout, manifest, pixels, signal
+from .operators.prefix import row_numbers
 from .plans import images
 from .sources import inventory
 from .streaming import intake
@@ -43,10 +44,7 @@ _CLIPS = f"(SELECT doc_id, source AS track, greatest(0.5::DOUBLE, n_chars / 14.0
 
 def _segments(s, d):
     """Documents as segments of their source: labels are finished work, bad quality has failed."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = _t(s, d, "documents").select(F.col("source").alias("script_id"), "doc_id", "text", (F.row_number().over(w) - 1).cast("long").alias("index"))
+    docs = row_numbers(_t(s, d, "documents").select(F.col("source").alias("script_id"), "doc_id", "text"), "script_id", "doc_id", "index")
     done = _t(s, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return docs.join(done, "doc_id", "left").withColumn("status", F.when(F.col("quality") == 0, "failed").when(F.col("quality") == 1, "generated").otherwise("pending"))
 
@@ -80,6 +78,16 @@ def _volume(s, d):
 _VOLUME = "(SELECT o_custkey % 100 AS track, o_orderkey AS id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 1 + o_orderkey % 30 AS e FROM orders)"
 
 
+def _long(s, d):
+    """Days that orders take, one in fifty of them for 3,000 days."""
+    start = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    length = F.when(F.col("o_orderkey") % 50 == 0, 3000).otherwise(F.col("o_orderkey") % 5)
+    return _t(s, d, "orders").select((F.col("o_custkey") % 200).alias("track"), F.col("o_orderkey").alias("id"), start.alias("start"), (start + length).alias("end"))
+
+
+_LONG = "(SELECT o_custkey % 200 AS track, o_orderkey AS id, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + CASE WHEN o_orderkey % 50 = 0 THEN 3000 ELSE o_orderkey % 5 END AS e FROM orders)"
+
+
 def _play(s, d):
     return _t(s, d, "events").groupBy("user_id", "event_type").agg(F.floor(F.min("value") / 5).alias("view_offset"), F.count_if(F.col("value") > 200).alias("view_count"))
 
@@ -177,6 +185,13 @@ def concat_signals(s, d):
     return signal.concat_signals(x, order, 2.0).groupBy("group_id").agg(F.count("*").alias("n"), F.max("idx").cast("long").alias("last"), F.round(F.sum(F.col("value") * F.col("idx")), 4).alias("moment"))
 
 
+def concat_mixed_rates(s, d):
+    """Series of 2, 3 and 6 samples a second, at the rate of the first of their group."""
+    x = _signal(s, d).withColumn("rate", F.element_at(F.array(F.lit(2), F.lit(3), F.lit(6)), (F.col("series_id") % 3 + 1).cast("int")))
+    order = x.select("series_id").distinct().select((F.col("series_id") % 10).alias("group_id"), F.col("series_id").alias("pos"), "series_id")
+    return _round(signal.concat_signals(x, order, 2.0), "value")
+
+
 def cache_lookup(s, d):
     work = _t(s, d, "documents").select("doc_id", "lang", manifest.content_key(F.col("text")).alias("key"))
     cache = work.join(_t(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("key")
@@ -287,8 +302,14 @@ def _round(frame, *columns):
 QUERIES = {f.__name__: f for f in (clip_timecodes, source_ranges, place_sequential, stitch_offsets, timestamp_manifest, resume_frame, overlap_windows, overlap_blend, mix_channels, concat_signals, cache_lookup, resync_manifest, check_manifest, work_keys, resolve_identity, recover_missing, voiceover_summary, registry_enrich, scan_by_size, plan_tasks, skip_existing, missing_sidecar, number_outputs, export_results, pixel_stats, block_grid_score, settled_sessions, progress_counts, dedupe_events)} | {
     "overlap_conflicts": lambda s, d: layout.overlap_conflicts(_intervals(s, d, "signup"), _intervals(s, d, "purchase"), 7200),
     "overlap_conflicts_volume": lambda s, d: layout.overlap_conflicts(_volume(s, d).where("id % 2 = 0"), _volume(s, d).where("id % 2 = 1"), 16),
-    "overlap_open_end": lambda s, d: layout.open_end_counts(_intervals(s, d, "signup").where("id % 40 = 0"), _intervals(s, d, "purchase"), 7200),
-    "overlap_open_end_whole": lambda s, d: layout.open_end_counts(_intervals(s, d, "signup"), _intervals(s, d, "purchase"), 7200),
+    "overlap_conflicts_long": lambda s, d: layout.overlap_conflicts(_long(s, d).where("id % 2 = 0"), _long(s, d).where("id % 2 = 1"), 4),
+    "overlap_open_end": lambda s, d: layout.open_end_counts(_intervals(s, d, "signup"), _intervals(s, d, "purchase"), 7200),
+    "overlap_open_end_whole": lambda s, d: layout.open_end_pairs(_intervals(s, d, "signup"), _intervals(s, d, "purchase"), 7200).groupBy("track", "left_id").agg(F.count("*").alias("n")),
+    "overlap_open_end_pairs": lambda s, d: layout.open_end_pairs(_intervals(s, d, "signup"), _intervals(s, d, "purchase"), 7200),
+    "intended_range": lambda s, d: layout.intended_range(_clips(s, d).select("track", TC.seconds_to_frames(F.col("duration"), F.col("rate"), "floor").alias("length")), 500, 2),
+    "stitch_trimmed": lambda s, d: layout.stitch_offsets(_t(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), T.estimated_seconds(F.col("text")).alias("duration"), (T.estimated_seconds(F.col("text")) - 0.05 * (F.col("turn") + 9)).alias("trimmed"), (F.col("role") == "assistant").alias("ends_paragraph"))).select("doc_id", "chunk_index", F.round("start", 6).alias("start"), F.round("end", 6).alias("end")),
+    "regrid_up": lambda s, d: _round(signal.regrid_signal(_signal(s, d).withColumn("rate", F.lit(2)), 5).select("series_id", "idx", "value"), "value"),
+    "concat_mixed_rates": concat_mixed_rates,
     "signal_levels": lambda s, d: _round(signal.signal_levels(_signal(s, d)), "duration", "peak", "rms_db", "floored_db"),
     "signal_quality_gate": lambda s, d: signal.signal_quality_gate(signal.signal_levels(_signal(s, d)), 60.0).select("series_id", "reason", "ok"),
     "quiet_edges": lambda s, d: signal.quiet_edges(_signal(s, d), -20.0),
@@ -298,7 +319,7 @@ QUERIES = {f.__name__: f for f in (clip_timecodes, source_ranges, place_sequenti
     "normalize_peak": lambda s, d: _round(signal.normalize_peak(_signal(s, d)).select("series_id", "idx", "value"), "value"),
     "regrid_signal": lambda s, d: _round(signal.regrid_signal(_signal(s, d).withColumn("rate", F.lit(4)), 1).select("series_id", "idx", "value"), "value"),
     "best_attempt": lambda s, d: manifest.best_attempt(_attempts(s, d)),
-    "retry_budget": lambda s, d: manifest.retry_budget(_attempts(s, d).where("attempt < 3"), 4),
+    "retry_budget": lambda s, d: manifest.retry_budget(_attempts(s, d), 40),
     "suspicion": lambda s, d: _attempts(s, d).groupBy("warning").agg(F.count("*").alias("n")),
     "segments_with_status": lambda s, d: _segments(s, d).groupBy("script_id", "status").agg(F.count("*").alias("n")),
     "narration_summary": lambda s, d: manifest.status_counts(_segments(s, d)),
@@ -375,7 +396,14 @@ ORACLES = {
     "dedupe_events": "SELECT DISTINCT user_id, event_type FROM events",
     "overlap_conflicts": f"SELECT l.track, l.id AS left_id, r.id AS right_id FROM {_interval_sql('signup')} l JOIN {_interval_sql('purchase')} r ON l.track = r.track AND r.s < l.e AND r.e > l.s WHERE l.e > l.s AND r.e > r.s",
     "overlap_conflicts_volume": f"SELECT l.track, l.id AS left_id, r.id AS right_id FROM {_VOLUME} l JOIN {_VOLUME} r ON l.track = r.track AND r.s < l.e AND r.e > l.s WHERE l.id % 2 = 0 AND r.id % 2 = 1",
-    "overlap_open_end": f"SELECT l.track, l.id AS left_id, count(*) AS n FROM {_interval_sql('signup')} l JOIN {_interval_sql('purchase')} r ON l.track = r.track AND r.e > l.s WHERE l.id % 40 = 0 GROUP BY ALL",
+    "overlap_conflicts_long": f"SELECT l.track, l.id AS left_id, r.id AS right_id FROM {_LONG} l JOIN {_LONG} r ON l.track = r.track AND r.s < l.e AND r.e > l.s WHERE l.id % 2 = 0 AND r.id % 2 = 1 AND l.e > l.s AND r.e > r.s",
+    "overlap_open_end": f"SELECT l.track, l.id AS left_id, count(*) AS n FROM {_interval_sql('signup')} l JOIN {_interval_sql('purchase')} r ON l.track = r.track AND r.e > l.s GROUP BY ALL",
+    "overlap_open_end_whole": f"SELECT l.track, l.id AS left_id, count(*) AS n FROM {_interval_sql('signup')} l JOIN {_interval_sql('purchase')} r ON l.track = r.track AND r.e > l.s GROUP BY ALL",
+    "overlap_open_end_pairs": f"SELECT l.track, l.id AS left_id, r.id AS right_id FROM {_interval_sql('signup')} l JOIN {_interval_sql('purchase')} r ON l.track = r.track AND r.e > l.s",
+    "intended_range": f"SELECT track, 500::BIGINT AS start, 500 + greatest(1, sum(floor(duration * fps)::BIGINT + 2))::BIGINT AS \"end\" FROM {_CLIPS} GROUP BY track",
+    "stitch_trimmed": f"SELECT doc_id, chunk_index, round(s, 6) AS start, round(s + d, 6) AS \"end\" FROM (SELECT conv_id AS doc_id, turn AS chunk_index, d, coalesce(sum(d + CASE WHEN role = 'assistant' THEN 0.6::DOUBLE ELSE 0.25::DOUBLE END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT *, CASE WHEN d0 - 0.05::DOUBLE * (turn + 9) > 0.1 THEN d0 - 0.05::DOUBLE * (turn + 9) ELSE d0 END AS d FROM (SELECT *, greatest(0.5::DOUBLE, length(text) / 14.0::DOUBLE) AS d0 FROM conversations)))",
+    "regrid_up": f"SELECT series_id, j AS idx, round(value + (coalesce(nxt, value) - value) * (j * 2 / 5.0::DOUBLE - idx), 6) AS value FROM (SELECT *, lead(value) OVER (PARTITION BY series_id ORDER BY idx) AS nxt, unnest(range((idx * 5 + 1) // 2, (idx * 5 + 6) // 2)) AS j FROM {_SIGNAL})",
+    "concat_mixed_rates": f"WITH x AS (SELECT series_id, series_id % 10 AS g, idx, value, [2, 3, 6][series_id % 3 + 1] AS r, lead(value) OVER (PARTITION BY series_id ORDER BY idx) AS nxt FROM {_SIGNAL}), z AS (SELECT series_id, g, max(idx) + 1 AS n, max(r) AS r FROM x GROUP BY ALL), t AS (SELECT *, first_value(r) OVER (PARTITION BY g ORDER BY series_id) AS q FROM z), o AS (SELECT *, coalesce(sum(CASE WHEN r > q THEN (n - 1) * q // r + 1 ELSE (n * q + r - 1) // r END + 2 * q) OVER (PARTITION BY g ORDER BY series_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM t), y AS (SELECT x.g, x.series_id, o.off, x.idx, x.value, x.nxt, o.r, o.q, unnest(CASE WHEN o.r >= o.q THEN [x.idx * o.q // o.r] ELSE range((x.idx * o.q + o.r - 1) // o.r, ((x.idx + 1) * o.q + o.r - 1) // o.r) END) AS j FROM x JOIN o USING (series_id)) SELECT g AS group_id, j + off AS idx, round(avg(CASE WHEN r >= q THEN value ELSE value + (coalesce(nxt, value) - value) * (j * r / q::DOUBLE - idx) END), 6) AS value FROM y GROUP BY g, series_id, off, j",
     "signal_levels": f"SELECT series_id, round(count(*)::DOUBLE, 6) AS duration, round(max(abs(value)), 6) AS peak, round(20 * log10(sqrt(avg(value * value))), 6) AS rms_db, round(greatest(20 * log10(sqrt(avg(value * value))), -120), 6) AS floored_db FROM {_SIGNAL} GROUP BY series_id",
     "signal_quality_gate": f"SELECT series_id, CASE WHEN n < 60 THEN 'too short' WHEN p < 0.01 THEN 'nearly silent' WHEN n > 120 THEN 'long' END AS reason, NOT (n < 60 OR p < 0.01) AS ok FROM (SELECT series_id, count(*) AS n, max(abs(value)) AS p FROM {_SIGNAL} GROUP BY series_id)",
     "quiet_edges": f"SELECT series_id, coalesce(a, 0)::DOUBLE AS leading, coalesce(n - b, 0)::DOUBLE AS trailing, CASE WHEN a IS NULL THEN 'silent' END AS reason FROM (SELECT series_id, min(idx) FILTER (abs(value) > 0.1) AS a, max(idx) FILTER (abs(value) > 0.1) AS b, max(idx) AS n FROM {_SIGNAL} GROUP BY series_id)",
@@ -385,7 +413,7 @@ ORACLES = {
     "normalize_peak": f"SELECT series_id, idx, round(value * pow(10, -1.0::DOUBLE / 20) / max(abs(value)) OVER (PARTITION BY series_id), 6) AS value FROM {_SIGNAL}",
     "regrid_signal": f"SELECT series_id, idx // 4 AS idx, round(avg(value), 6) AS value FROM {_SIGNAL} GROUP BY ALL",
     "best_attempt": f"SELECT chunk, tries, b.a AS attempt, coalesce(b.w, true) AS warned, CASE WHEN b IS NULL THEN 'failed' ELSE 'generated' END AS status FROM {_BEST}",
-    "retry_budget": f"SELECT chunk, count(*) AS spent, CASE WHEN count(*) FILTER (error IS NULL) = 0 THEN arg_max(error, attempt) END AS error, count(*) FILTER (error IS NULL) = 0 AND count(*) < 4 AS again FROM {_ATTEMPTS} WHERE attempt < 3 GROUP BY chunk",
+    "retry_budget": f"SELECT chunk, count(*) AS spent, CASE WHEN count(*) FILTER (error IS NULL) = 0 THEN arg_max(error, attempt) END AS error, count(*) FILTER (error IS NULL) = 0 AND count(*) < 40 AS again FROM {_ATTEMPTS} GROUP BY chunk",
     "suspicion": f"SELECT warning, count(*) AS n FROM {_ATTEMPTS} GROUP BY warning",
     "segments_with_status": f"SELECT script_id, status, count(*) AS n FROM {_SEGMENTS} GROUP BY ALL",
     "narration_summary": f"SELECT script_id, count(*) AS total, count(*) FILTER (status = 'generated') AS complete, 0::BIGINT AS placed, count(*) FILTER (status = 'failed') AS failed, coalesce(string_agg((index + 1)::VARCHAR, ',' ORDER BY index) FILTER (status = 'failed'), '') AS failed_numbers FROM {_SEGMENTS} GROUP BY script_id",
