@@ -35,7 +35,10 @@ def in_ranges(rows: DataFrame, key: str, order: str, ranges: int = RANGES, sampl
         return rows.withColumn("range_no", F.lit(0))
     held = rows.sparkSession.createDataFrame(cuts, places.groupBy(key).agg(F.collect_set(order).alias("cuts")).schema)
     held = F.broadcast(held.withColumnRenamed(key, "cut_key"))
-    at = F.when(F.col(order).isNull() | F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col(order))))
+    most = max(len(c["cuts"]) for c in cuts).bit_length()
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(most))])
+    # how many cuts are at or below the order, by halving: beyond the last one a comparison is null
+    at = F.aggregate(strides, F.lit(0), lambda n, stride: n + F.when(F.get("cuts", n + stride - 1) <= F.col(order), stride).otherwise(0))
     return rows.join(held, F.col(key).eqNullSafe(F.col("cut_key")), "left").withColumn("range_no", at).drop("cut_key", "cuts")
 
 
