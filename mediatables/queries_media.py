@@ -292,7 +292,7 @@ def progress_counts(s, d):
 
 
 def dedupe_events(s, d):
-    return intake.drained(intake.deduped_events(_feed(s, d).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "3650 days")).select("user_id", "event_type")
+    return intake.drained(intake.deduped_events(_feed(s, d).select("user_id", "event_type", "ts"), ["user_id", "event_type"])).select("user_id", "event_type")
 
 
 def _round(frame, *columns):

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .folder import folder_events
+
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
     """A table of events as a stream, in event time."""
@@ -22,9 +28,15 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
-def intake_stream(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
-    """New files of a folder, those already there included; hidden names are left out."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "[!.]*").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+def intake_stream(spark: SparkSession, folder: str, extensions: tuple[str, ...], state: str | None = None) -> DataFrame:
+    """Files of a folder with a wanted suffix, those already there included; hidden names are left out.
+
+    With ``state``, a shared folder for listings, events of all kinds come (see :mod:`.folder`);
+    without it new files only: ``path, size, modified``.
+    """
+    if state:
+        return folder_events(spark, folder, state, extensions)
+    files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", "[^.]*").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
 
 
@@ -88,9 +100,56 @@ def settled_files(events: DataFrame, settle_seconds: float = 1.5, give_up_second
     return events.groupBy("path").applyInPandasWithState(step, "path string, size long, ts timestamp", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def deduped_events(events: DataFrame, keys: list[str], within: str) -> DataFrame:
-    """Events whose keys were not seen within the time."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
+#: Columns of a binary file; contents are pruned from the scan where nothing asks for them.
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+#: What keeps keyed state with timers and expiry.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _LastHandled(StatefulProcessor):
+    """The mark of the last event of a key that went on; deleted keys are forgotten."""
+
+    def __init__(self, keys: list[str], expire_ms: int | None) -> None:
+        self.keys, self.expire_ms = keys, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "mark string", self.expire_ms)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator:
+        import pandas as pd
+
+        mark = before = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for batch in rows:
+            for e in batch.sort_values("ts", kind="stable").itertuples():
+                if e.kind == "deleted":
+                    mark = None
+                elif e.mark != mark:
+                    mark = e.mark
+                    out.append((*key, e.mark, e.kind, e.ts))
+        if mark is None:
+            self.last.clear()
+        elif mark != before or self.expire_ms:
+            self.last.update((mark,))
+        yield pd.DataFrame(out, columns=[*self.keys, "mark", "kind", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def deduped_events(events: DataFrame, keys: list[str], same: list[str] | None = None, expire: float | None = None) -> DataFrame:
+    """``*keys, mark, kind, ts``: events that differ in ``same`` from the last one of their keys that went on.
+
+    ``mark`` is the values of ``same``. ``kind`` deleted (if there is such a column) forgets the keys and does not
+    go on, so the same file dropped again is new; ``expire`` seconds without an event forget them as well. State is one
+    short row for each key that is known now. It needs the ``ROCKSDB`` store; events of one batch go by ``ts``.
+    """
+    kind = F.col("kind") if "kind" in events.columns else F.lit("created")
+    mark = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in same or ()])
+    marked = events.select(*keys, mark.alias("mark"), kind.alias("kind"), "ts")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)
+    processor = _LastHandled(keys, int(1000 * expire) if expire else None)
+    return marked.groupBy(*keys).transformWithStateInPandas(processor, types, "append", "processingTime" if expire else "none")
 
 
 def progress_counts(events: DataFrame, status: str) -> DataFrame:
@@ -98,37 +157,61 @@ def progress_counts(events: DataFrame, status: str) -> DataFrame:
     return events.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, and read what it wrote (the last state of each row in complete mode)."""
+def drained(stream: DataFrame, mode: str = "append", linger: float = 0.0) -> DataFrame:
+    """Run a stream over all that is there now, and read what it wrote (the last state of each row in complete mode).
+
+    A stream whose timers run in processing time would go on for ever: it ends once it has had no rows
+    for ``linger`` seconds, which must cover the longest timer, and two batches.
+    """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
-    place = f"{base}/stream-{id(stream)}-{spark.sparkContext.startTime}-{F.rand()._jc.hashCode()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
+    place = f"{base}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(f"{place}/out")
-    else:
-        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out")).start()
-    while not query.awaitTermination(0.2):
-        # timers in processing time would go on for ever: two batches without rows end the replay
-        last = query.recentProgress[-2:]
-        if len(last) == 2 and not any(p.numInputRows for p in last):
-            query.stop()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)  # read when the stream starts; the session's own choice comes back
+    try:
+        if mode == "append":
+            query = writer.format("parquet").start(f"{place}/out")
+        else:
+            query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out")).start()
+        quiet = None
+        while not query.awaitTermination(0.2):
+            last = query.recentProgress[-2:]
+            if len(last) < 2 or any(p.numInputRows for p in last):
+                quiet = None
+            elif quiet is None:
+                quiet = time.monotonic()
+            elif time.monotonic() - quiet >= linger:
+                query.stop()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def incremental(stream: DataFrame, target: str, transform, key: str):
-    """Append what ``transform`` makes of new rows whose ``key`` the target does not hold yet."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = transform(batch).dropDuplicates([key])
-        if number or _exists(spark, target):
-            fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(target)
+def incremental(stream: DataFrame, target: str, transform, key: str, known: DataFrame | None = None):
+    """Append what ``transform`` makes of new rows whose ``key`` has not been seen, in folders ``batch=N`` of ``target``.
 
-    return stream.writeStream.foreachBatch(step)
+    Seen keys are in the stream's own state, so a batch reads its new rows and never the target. ``known`` is a
+    stream of keys that were handled elsewhere (an older target, say); of one batch they count
+    first. A batch that runs again overwrites its own folder. Rows of one key in a batch give one of them; a null key is a key.
+    """
+    made = transform(stream)
+    whole = F.struct(*made.columns)
+    rows = made.select(F.col(key).alias("seen_key"), whole.alias("whole"))
+    if known is not None:
+        rows = rows.union(known.select(F.col(key).cast(made.schema[key].dataType), F.lit(None).cast(made.select(whole).schema[0].dataType)))
+    kind = rows.schema["whole"].dataType.simpleString()
+
+    def step(_, batches, state: GroupState):
+        import pandas as pd
 
+        first, handled = [], state.exists
+        for batch in batches:
+            handled = handled or bool(batch["whole"].isna().any())
+            first = first or batch["whole"].dropna().iloc[:1].tolist()
+        state.update((True,))
+        yield pd.DataFrame({"whole": [] if handled else first})
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    fresh = rows.groupBy("seen_key").applyInPandasWithState(step, f"whole {kind}", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return fresh.writeStream.foreachBatch(lambda batch, number: batch.select("whole.*").write.mode("overwrite").parquet(f"{target}/batch={number}"))
