@@ -104,9 +104,17 @@ def _warc_sql() -> str:
     text = rf"regexp_replace({text}, '[\t\n\x0B\f\r ]+', ' ', 'g')"
     text = f"regexp_replace({text}, '{warc._LINE_PATTERN}', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
-    for name, char in warc.REFERENCES:
-        quoted = {"'": "''", '"': '"'}.get(char, char)
-        text = f"replace({text}, '{name}', '{quoted}')"
+    known = [(name[1:-1], char.replace("'", "''")) for name, char in warc.REFERENCES if name[1] != "#"]
+    legacy = "|".join(n for n, _ in known if n in warc.WITHOUT_SEMICOLON)
+    names, chars = ("[" + ", ".join(f"'{x[k]}'" for x in known) + "]" for k in (0, 1))
+    value = lambda name: f"list_extract({chars}, list_position({names}, {name}))"
+    one = (
+        rf"CASE WHEN regexp_matches(t, '^&#[0-9]') THEN chr(regexp_extract(t, '^&#([0-9]+)', 1)::INT) || regexp_replace(t, '^&#[0-9]+;?', '') "
+        rf"WHEN regexp_matches(t, '^&#[xX][0-9a-fA-F]') THEN chr(('0x' || regexp_extract(t, '^&#[xX]([0-9a-fA-F]+)', 1))::INT) || regexp_replace(t, '^&#[xX][0-9a-fA-F]+;?', '') "
+        rf"WHEN list_contains({names}, regexp_extract(t, '^&([a-zA-Z]+);$', 1)) THEN {value("regexp_extract(t, '^&([a-zA-Z]+);$', 1)")} "
+        rf"WHEN regexp_matches(t, '^&({legacy})') THEN {value(f"regexp_extract(t, '^&({legacy})', 1)")} || regexp_replace(t, '^&({legacy});?', '') ELSE t END"
+    )
+    text = f"array_to_string(list_transform(regexp_extract_all({text}, '&[#a-zA-Z0-9]*;?|[^&]+'), lambda t: {one}), '')"
     text = rf"regexp_replace({text}, '[ ]*\n[ \n]*', chr(10), 'g')"
     text = rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
 
