@@ -53,7 +53,7 @@ def duration_frames(seconds: Column, stored: Column, code: Column, frames: Colum
     A source that gives none, or not above zero, hands on to the next.
     """
     known = [seconds_to_frames(seconds, rate, "floor"), stored.cast("long"), timecode_to_frames(code, rate), F.trim(frames).try_cast("long")]
-    return F.coalesce(*[F.when(x > 0, x) for x in known], F.lit(0).cast("long"))
+    return F.coalesce(F.get(F.filter(F.array(*known), lambda x: x > 0), F.lit(0)), F.lit(0).cast("long"))
 
 
 def source_range(duration: Column, lead: Column, trail: Column, rate: Column, trim: bool = True, pad: float = 0.04) -> Column:

@@ -295,6 +295,26 @@ def dedupe_events(s, d):
     return intake.drained(intake.deduped_events(_feed(s, d).select("user_id", "event_type", "ts"), ["user_id", "event_type"])).select("user_id", "event_type")
 
 
+def duration_fallback(s, d):
+    """Clips whose length is known by duration, stored frames, timecode or frames as text, or not at all."""
+    k = F.col("doc_id") % 5
+    clip = _clips(s, d).withColumn("n", TC.seconds_to_frames(F.col("duration"), F.col("rate"), "floor"))
+    clip = clip.withColumn("code", F.when(k == 2, TC.frames_to_timecode(F.col("n") + 2, F.col("rate"))).when(k == 3, "bad"))
+    seconds, stored = F.when(k == 0, F.col("duration")).when(k == 1, 0.0), F.when(k == 1, F.col("n") + 1)
+    text = F.when(k == 3, F.concat(F.lit(" "), (F.col("n") + 3).cast("string")))
+    return clip.select("doc_id", TC.duration_frames(seconds, stored, F.col("code"), text, F.col("rate")).alias("frames"))
+
+
+def enrich_segments(s, d):
+    """Segments with the facts and the quiet edges of their users' series."""
+    x = _signal(s, d)
+    path = F.concat(F.lit("f"), F.col("series_id").cast("string")).alias("path")
+    facts = signal.signal_levels(x).select(path, "duration").where("duration > 60")
+    edges = signal.quiet_edges(x, -20.0).select(path, "leading", "trailing", F.when(F.col("leading") > 3, "silent").otherwise(F.col("reason")).alias("reason"))
+    segments = _segments(s, d).select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"))
+    return manifest.enrich_segments(segments, facts, edges).select("doc_id", "duration", "leading_silence_seconds", "trailing_silence_seconds")
+
+
 def _round(frame, *columns):
     return frame.select(*[F.round(c, 6).alias(c) if c in columns else c for c in frame.columns])
 
@@ -322,7 +342,13 @@ QUERIES = {f.__name__: f for f in (clip_timecodes, source_ranges, place_sequenti
     "retry_budget": lambda s, d: manifest.retry_budget(_attempts(s, d), 40),
     "suspicion": lambda s, d: _attempts(s, d).groupBy("warning").agg(F.count("*").alias("n")),
     "segments_with_status": lambda s, d: _segments(s, d).groupBy("script_id", "status").agg(F.count("*").alias("n")),
-    "narration_summary": lambda s, d: manifest.status_counts(_segments(s, d)),
+    "segment_counts": lambda s, d: manifest.status_counts(_segments(s, d)),
+    "narration_summary": lambda s, d: manifest.narration_summary(_segments(s, d).withColumn("cached", F.when(F.col("doc_id") % 5 < 4, F.col("doc_id") % 5 == 0))),
+    "transcription_summary": lambda s, d: _round(manifest.transcription_summary(_t(s, d, "events").select(F.concat(F.lit("v/"), F.col("event_id").cast("string")).alias("path"), _status_of(F.col("event_type")).alias("status"), (F.col("value") / 8).alias("elapsed"))), "elapsed"),
+    "duration_fallback": duration_fallback,
+    "settings_key": lambda s, d: _t(s, d, "documents").select("doc_id", manifest.settings_key(F.create_map(F.lit("voice"), F.col("source"), F.lit("lang"), F.coalesce("lang", F.lit("-")), F.lit("exaggeration"), (F.col("doc_id") % 7).cast("string")), F.when(F.col("doc_id") % 3 > 0, F.md5("text"))).alias("key")),
+    "output_name": lambda s, d: _inventory(s, d).select("page_id", inventory.output_name(F.col("stem"), F.concat(F.lit("4 k"), (F.col("page_id") % 3).cast("string")), F.lit("anime"), F.when(F.col("page_id") % 2 == 0, "JPEG").otherwise(F.upper("ext"))).alias("output")),
+    "enrich_segments": enrich_segments,
     "select_work": lambda s, d: manifest.select_work(_segments(s, d), "1,5,7-9").select("script_id", "index").union(manifest.select_work(_segments(s, d), failed_only=True).select("script_id", "index")),
     "publish_gate": lambda s, d: manifest.publish_gate(_segments(s, d)).select("script_id", "index", "status"),
     "build_manifest": lambda s, d: manifest.build_manifest(_segments(s, d).select("doc_id", F.col("index").alias("chunk_index"), "text", F.length("text").alias("char_count"), F.lit(0).alias("paragraph_index")), _t(s, d, "documents"), 300)[1].select("script_id", "script_sha256", "segments"),
@@ -416,7 +442,13 @@ ORACLES = {
     "retry_budget": f"SELECT chunk, count(*) AS spent, CASE WHEN count(*) FILTER (error IS NULL) = 0 THEN arg_max(error, attempt) END AS error, count(*) FILTER (error IS NULL) = 0 AND count(*) < 40 AS again FROM {_ATTEMPTS} GROUP BY chunk",
     "suspicion": f"SELECT warning, count(*) AS n FROM {_ATTEMPTS} GROUP BY warning",
     "segments_with_status": f"SELECT script_id, status, count(*) AS n FROM {_SEGMENTS} GROUP BY ALL",
-    "narration_summary": f"SELECT script_id, count(*) AS total, count(*) FILTER (status = 'generated') AS complete, 0::BIGINT AS placed, count(*) FILTER (status = 'failed') AS failed, coalesce(string_agg((index + 1)::VARCHAR, ',' ORDER BY index) FILTER (status = 'failed'), '') AS failed_numbers FROM {_SEGMENTS} GROUP BY script_id",
+    "narration_summary": f"SELECT script_id, count(*) AS total, count(*) FILTER (status = 'generated' AND doc_id % 5 <> 0) AS generated, count(*) FILTER (status = 'generated' AND doc_id % 5 = 0) AS cached, 0::BIGINT AS placed, count(*) FILTER (status = 'failed') AS failed, coalesce(string_agg((index + 1)::VARCHAR, ',' ORDER BY index) FILTER (status = 'failed'), '') AS failed_numbers, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 3 ELSE 0 END::BIGINT AS exit_code FROM {_SEGMENTS} GROUP BY script_id",
+    "transcription_summary": f"SELECT count(*) AS found, count(*) FILTER (s = 'success') AS ok, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'failed') AS failed, coalesce(string_agg('v/' || event_id, ',' ORDER BY 'v/' || event_id) FILTER (s = 'failed'), '') AS failed_paths, round(sum(value / 8), 6) AS elapsed, CASE WHEN count(*) FILTER (s = 'failed') > 0 THEN 2 ELSE 0 END::BIGINT AS exit_code FROM (SELECT *, {_STATUS} AS s FROM events)",
+    "duration_fallback": f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN f WHEN 1 THEN f + 1 WHEN 2 THEN f + 2 WHEN 3 THEN f + 3 ELSE 0 END AS frames FROM (SELECT doc_id, floor(duration * fps)::BIGINT AS f FROM {_CLIPS})",
+    "settings_key": "SELECT doc_id, substr(sha256('{\"exaggeration\":\"' || doc_id % 7 || '\",\"lang\":\"' || coalesce(lang, '-') || '\",\"voice\":\"' || source || '\"}|' || CASE WHEN doc_id % 3 > 0 THEN md5(text) ELSE '' END), 1, 16) AS key FROM documents",
+    "output_name": f"SELECT page_id, stem || '_4k' || page_id % 3 || '_anime.' || CASE WHEN page_id % 2 = 0 THEN 'jpg' ELSE ext END AS output FROM {_INVENTORY}",
+    "enrich_segments": f"SELECT doc_id, duration, CASE WHEN coalesce(a, 0) <= 3 AND a IS NOT NULL THEN round(coalesce(a, 0), 4)::DOUBLE END AS leading_silence_seconds, CASE WHEN coalesce(a, 0) <= 3 AND a IS NOT NULL THEN round(n - b, 4)::DOUBLE END AS trailing_silence_seconds FROM documents LEFT JOIN (SELECT series_id, min(idx) FILTER (abs(value) > 0.1) AS a, max(idx) FILTER (abs(value) > 0.1) AS b, max(idx) AS n, CASE WHEN count(*) > 60 THEN count(*)::DOUBLE END AS duration FROM {_SIGNAL} GROUP BY series_id) ON doc_id = series_id",
+    "segment_counts": f"SELECT script_id, count(*) AS total, count(*) FILTER (status = 'generated') AS complete, 0::BIGINT AS placed, count(*) FILTER (status = 'failed') AS failed, coalesce(string_agg((index + 1)::VARCHAR, ',' ORDER BY index) FILTER (status = 'failed'), '') AS failed_numbers FROM {_SEGMENTS} GROUP BY script_id",
     "select_work": f"SELECT script_id, index FROM {_SEGMENTS} WHERE index + 1 IN (1, 5, 7, 8, 9) UNION ALL SELECT script_id, index FROM {_SEGMENTS} WHERE status = 'failed'",
     "publish_gate": f"SELECT script_id, index, status FROM {_SEGMENTS} WHERE script_id NOT IN (SELECT script_id FROM {_SEGMENTS} WHERE status = 'failed')",
     "build_manifest": "SELECT doc_id AS script_id, sha256(text) AS script_sha256, 1::BIGINT AS segments FROM documents",

@@ -34,6 +34,20 @@ def read_text_corpus(spark: SparkSession, path: str, strict: bool = False) -> Da
     return out.withColumn("reason", reason)
 
 
+def checked(facts: dict, found: bool, length: int) -> dict:
+    """Facts with an error, or with frames and duration of ``length`` bytes of samples."""
+    if "format" not in facts or not found:
+        return facts | {"error": "no fmt or data chunk"}
+    if facts["format"] not in WIDTHS or not facts["rate"]:
+        return facts | {"error": "unsupported format"}
+    if facts["width"] not in WIDTHS[facts["format"]] or not facts["channels"]:
+        return facts | {"error": "unsupported sample width or no channels"}
+    if facts["align"] != facts["channels"] * facts["width"]:
+        return facts | {"error": "block size does not fit channels and width"}
+    frames = length // facts["align"]
+    return facts | {"ok": True, "frames": frames, "duration": frames / facts["rate"]}
+
+
 def wav_facts(data: bytes) -> tuple[dict, memoryview]:
     """What a RIFF file says about itself, and its sample bytes; never raises."""
     facts: dict = {"ok": False, "error": None, "truncated": False}
@@ -53,16 +67,8 @@ def wav_facts(data: bytes) -> tuple[dict, memoryview]:
             body, found = chunk, True
             facts["truncated"] = len(chunk) < size
         at += 8 + size + (size & 1)
-    if "format" not in facts or not found:
-        return facts | {"error": "no fmt or data chunk"}, body
-    if facts["format"] not in WIDTHS or not facts["rate"]:
-        return facts | {"error": "unsupported format"}, body
-    if facts["width"] not in WIDTHS[facts["format"]] or not facts["channels"]:
-        return facts | {"error": "unsupported sample width or no channels"}, body
-    if facts["align"] != facts["channels"] * facts["width"]:
-        return facts | {"error": "block size does not fit channels and width"}, body
-    frames = len(body) // facts["align"]
-    return facts | {"ok": True, "frames": frames, "duration": frames / facts["rate"]}, body[: frames * facts["align"]]
+    facts = checked(facts, found, len(body))
+    return facts, body[: facts["frames"] * facts["align"]] if facts["ok"] else body
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,16 +136,3 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def write_json(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines, nulls written out, as result exports and timestamp manifests are."""
     rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
-
-
-def write_snapshot(table: DataFrame, path: str, number: int) -> None:
-    """A whole snapshot beside the earlier ones; it counts once its marker file is there."""
-    table.write.mode("errorifexists").parquet(f"{path}/snapshot_id={number}")
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The latest snapshot whose writer finished."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_id=*/_SUCCESS")
-    marked = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
-    done = max(int(m.getPath().getParent().getName().partition("=")[2]) for m in marked)
-    return spark.read.parquet(f"{path}/snapshot_id={done}")

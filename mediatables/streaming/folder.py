@@ -17,29 +17,22 @@ shared by driver and executors. Hidden names are left out, folders below only on
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources.places import opened
+
 SCHEMA = "path string, size long, modified timestamp, kind string, old_path string, ts timestamp"
 #: Events of a task.
 EVENTS = 10_000
 
 
-def opened(place: str):
-    """The file system of a folder, and the folder's path in it."""
-    from pyarrow import fs
-
-    if place.startswith("file:"):
-        place = "/" + place.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), os.path.abspath(place))
-
-
 def listed(place: str, extensions: tuple[str, ...], recursive: bool) -> dict[str, list[int]]:
     """Size and time (microseconds) of each file with a wanted suffix."""
     from pyarrow import fs
@@ -187,7 +180,5 @@ def archived(handled: DataFrame, target: str, path: str = "path") -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "archived", "error"])
 
     # one task a name: two files of one name never choose the same free one at once
-    from pyspark.sql import functions as F
-
     named = handled.select(F.col(path).alias("path")).distinct().repartition(F.regexp_extract("path", r"([^/]*)$", 1))
     return named.mapInPandas(run, "path string, archived string, error string")

@@ -11,7 +11,7 @@ from mediatables.functions import timecode as TC
 from mediatables.operators import layout, manifest, signal
 from mediatables.operators import text as ops
 from mediatables.plans import images
-from mediatables.sources import files, inventory
+from mediatables.sources import files, inventory, snapshot
 from mediatables.streaming import intake
 
 
@@ -131,8 +131,8 @@ def test_manifest_reads_leniently_and_snapshots_pick_the_last(spark, tmp_path):
     rows = files.read_manifest(spark, str(tmp_path / "m"))
     assert [(r["index"], r.status) for r in rows.collect()] == [(0, "placed"), (1, "pending")]
     for n in (1, 2):
-        files.write_snapshot(spark.range(n), str(tmp_path / "s"), n)
-    assert files.read_snapshot(spark, str(tmp_path / "s")).count() == 2
+        snapshot.write_snapshot(spark.range(n), str(tmp_path / "s"), n)
+    assert snapshot.read_snapshot(spark, str(tmp_path / "s")).count() == 2
 
 
 def test_inventory_takes_any_case_and_bundles(spark):
