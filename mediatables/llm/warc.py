@@ -12,7 +12,7 @@ Record ids are name-based on the source id and the record's kind, so reruns agre
 digests of their own blocks. A digest that the source record states is kept as it is; headers of a source
 record stand in the metadata whole. No row meets another, nothing is
 shuffled, and a skewed host or a very long page is no more than its own bytes. All is column expressions
-but for character references, which a task decodes in the rows that bear any.
+but for character references, which tasks decode in Arrow batches.
 
 A null or empty page gives an empty conversion and metadata without title and links; a null
 address becomes an empty string. Rows that repeat give equal records. An empty table gives an
@@ -56,8 +56,7 @@ def plain_text(html: Column) -> Column:
     x = F.regexp_replace(x, _LINE_PATTERN, "\n")
     x = F.regexp_replace(x, r"<[a-zA-Z/!?][^>]*>", "")
     x = F.replace(x, F.lit("&nbsp;"), F.lit(" "))
-    some = x.rlike("&[#a-zA-Z]")
-    x = F.when(some, F.pandas_udf(_unescaped, "string")(F.when(some, x))).otherwise(x)
+    x = F.pandas_udf(_unescaped, "string")(x)  # of every row: asking first would work the expressions off twice
     x = F.regexp_replace(x, r"[ ]*\n[ \n]*", "\n")
     return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
 
