@@ -16,8 +16,7 @@ the whole table in blocks.
 
 The fit looks at ``SAMPLE`` vectors at most (the width and the neighbour distance come
 from them); every vector is indexed. Vectors that are null, zero, or hold null or
-non-finite components take no part, nor do those of another than the most frequent
-dimension. Equal distances rank by the smaller id; rows that repeat an id and vector count
+non-finite components take no part; each dimension is searched by itself. Equal distances rank by the smaller id; rows that repeat an id and vector count
 once, an empty table gives an empty table, and columns besides the two named are ignored.
 """
 
