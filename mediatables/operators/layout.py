@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timecode import frames_to_timecode
 from .prefix import running_sum
 
 
@@ -19,6 +20,11 @@ def place_sequential(clips: DataFrame, start: int = 0, gap: int = 0) -> DataFram
     return placed.withColumn("end_frame", (F.col("record_frame") + F.col("used")).cast("long")).withColumn("drift", F.col("used") != F.col("length")).drop("used", "before")
 
 
+def placement_rows(placed: DataFrame, rate: Column) -> DataFrame:
+    """What a manifest keeps of placed clips: ``status`` placed and ``timeline_timecode`` of the record frame at the timeline's ``rate``."""
+    return placed.withColumn("status", F.lit("placed")).withColumn("timeline_timecode", frames_to_timecode(F.col("record_frame"), rate))
+
+
 def intended_range(clips: DataFrame, start: int = 0, gap: int = 0) -> DataFrame:
     """The frames of a track that ``track, length`` clips are about to take: ``track, start, end``.
 

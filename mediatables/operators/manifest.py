@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timecode import duration_frames
+
 STATUSES = ("pending", "generated", "placed", "failed")
 
 
@@ -130,11 +132,19 @@ def recover_missing(segments: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(gone, "failed").otherwise(F.col("status"))).drop("a", "b")
 
 
-def enrich_segments(segments: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Audio facts and quiet edges of each segment's file; silent or unread files keep null edges."""
+def enrich_segments(segments: DataFrame, facts: DataFrame, edges: DataFrame, clips: DataFrame | None = None, timeline: Column | None = None) -> DataFrame:
+    """Audio facts and quiet edges of each segment's file; silent or unread files keep null edges.
+
+    With ``clips`` (``file_path, stored, code, frames``: what an editor says of a clip) and the ``timeline`` rate comes
+    ``source_frames``: of the file's duration, else of the clip, else null. A path has one row on each side.
+    """
     e = edges.where("reason is null").select(F.col("path").alias("file_path"), F.round("leading", 4).alias("leading_silence_seconds"), F.round("trailing", 4).alias("trailing_silence_seconds"))
     f = facts.select(F.col("path").alias("file_path"), *[c for c in facts.columns if c != "path"])
-    return segments.join(f, "file_path", "left").join(e, "file_path", "left")
+    out = segments.join(f, "file_path", "left").join(e, "file_path", "left")
+    if clips is None:
+        return out
+    told = duration_frames(F.col("duration"), F.col("stored"), F.col("code"), F.col("frames"), timeline)
+    return out.join(clips, "file_path", "left").withColumn("source_frames", F.nullif(told, F.lit(0).cast("long"))).drop("stored", "code", "frames")
 
 
 def run_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -43,3 +43,18 @@ def block_grid_score(pixels: DataFrame) -> DataFrame:
     usable = (F.col("w") >= 64) & (F.col("h") >= 64) & (F.col("mean") >= 0.01)
     score = F.when(usable, F.col("edge") / F.col("mean")).otherwise(0.0)
     return a.select("image_id", score.alias("score"), (score > 1.5).alias("compressed"))
+
+
+#: Extensions of lossy formats (fixed values).
+LOSSY = ("jpg", "jpeg", "jpe", "jfif", "webp")
+
+
+def looks_compressed(pixels: DataFrame, files: DataFrame) -> DataFrame:
+    """``image_id, compressed`` of ``image_id, path``: by the extension alone where it is a lossy format's, else by the block grid.
+
+    Pixels of files with a lossy extension are dropped before any window; files without pixels are not compressed.
+    """
+    lossy = F.coalesce(F.lower(F.regexp_extract("path", r".\.([^./]+)$", 1)).isin(*LOSSY), F.lit(False))
+    named = files.where("image_id is not null").groupBy("image_id").agg(F.max(lossy).alias("lossy"))
+    grid = block_grid_score(pixels.join(named.where("not lossy"), "image_id", "left_semi")).select("image_id", F.col("compressed").alias("grid"))
+    return named.join(grid, "image_id", "left").select("image_id", (F.col("lossy") | F.coalesce("grid", F.lit(False))).alias("compressed"))

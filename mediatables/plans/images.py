@@ -31,8 +31,26 @@ def parse_target(width: Column, height: Column, target: Column) -> Column:
     return F.struct(m.alias("multiplier"), sizes[0].alias("width"), sizes[1].alias("height"), t.alias("label"), error.alias("error"))
 
 
-def choose_model(content: Column, compressed: Column, tier: Column) -> Column:
-    return F.when(content == "anime", "anime").when(tier == "fast", F.when(compressed, "fast2x-avc").otherwise("fast2x")).when(tier == "quality", F.when(compressed, "nomos8k-srformer").otherwise("nomos8k-dat")).otherwise(F.when(compressed, "nomos-webphoto").otherwise("nomos2-realplksr"))
+def choose_model(content: Column, compressed: Column, tier: Column, override: Column | None = None) -> Column:
+    """The model asked for, else flat art's, else the tier's for clean or compressed pictures."""
+    own = F.when(content == "anime", "anime").when(tier == "fast", F.when(compressed, "fast2x-avc").otherwise("fast2x")).when(tier == "quality", F.when(compressed, "nomos8k-srformer").otherwise("nomos8k-dat")).otherwise(F.when(compressed, "nomos-webphoto").otherwise("nomos2-realplksr"))
+    return own if override is None else F.coalesce(override, own)
+
+
+#: Texts of plans and results (fixed values).
+ART_NOTE, LOSSY_NOTE = "detected illustration/anime -> line-art model", "source looks lossy-compressed -> degradation-aware model"
+LARGE_NOTE, SKIPPED = "large job: peaks at %.0f MPix in RAM", "already %dx%d, at or above %s \u2014 nothing to upscale"
+RESAMPLE, RESIZED = "resample only -> %dx%d", " -> Lanczos to %dx%d"
+
+
+def model_notes(content: Column, compressed: Column, override: Column | None = None) -> Column:
+    """Why :func:`choose_model` took its model; nothing where it was asked for."""
+    why = F.when(content == "anime", ART_NOTE).when(compressed, LOSSY_NOTE)
+    return F.array_compact(F.array(why if override is None else F.when(override.isNull(), why)))
+
+
+def scale_for_4k(width: Column, height: Column) -> Column:
+    return F.greatest(F.lit(1.0), PRESETS["4k"] / F.greatest(width, height))
 
 
 def chains(spark: SparkSession, passes: int = 3) -> DataFrame:
@@ -54,22 +72,54 @@ def chains(spark: SparkSession, passes: int = 3) -> DataFrame:
     return spark.createDataFrame(rows, "model string, steps array<string>, net int, cost double, n int")
 
 
-def plan_images(images: DataFrame, target: str = "4k", tier: str = "balanced", passes: int = 3) -> DataFrame:
-    """``image_id, width, height, content, compressed`` with the cheapest chain that reaches the target.
-
-    Nothing to do is ``skipped``; a bad target is ``failed``; where no chain reaches it, the longest of the model is taken.
-    """
+def _planned(images: DataFrame, target: str, tier: str, passes: int, override: Column | None = None) -> DataFrame:
+    """The images with ``goal, model, best`` (the chain, null where nothing is to do), ``status`` and ``peak``."""
     goal = parse_target(F.col("width"), F.col("height"), F.lit(target))
-    i = images.withColumn("goal", goal).withColumn("model", choose_model(F.col("content"), F.col("compressed"), F.lit(tier)))
+    i = images.withColumn("goal", goal).withColumn("model", choose_model(F.col("content"), F.col("compressed"), F.lit(tier), override))
     all_chains = chains(images.sparkSession, passes)
     rank = F.struct((F.col("net") < F.col("m")).alias("short"), F.when(F.col("net") < F.col("m"), -F.col("net")).otherwise(0).alias("most"), "cost", "n", "net", F.col("steps").alias("steps"))
     wanted = i.where("goal.error is null and goal.multiplier > 1").select("image_id", "model", F.col("goal.multiplier").alias("m"))
     best = wanted.join(F.broadcast(all_chains), "model").groupBy("image_id").agg(F.min(rank).alias("best"))  # at most 7 chains a model
-    out = i.join(best, "image_id", "left")
     status = F.when(F.col("goal.error").isNotNull(), "failed").when(F.col("goal.multiplier") <= 1, "skipped").otherwise("planned")
     peak = F.col("width").cast("double") * F.col("height") * F.col("best.net") * F.col("best.net") / 1e6
-    return out.select(
-        "image_id", "width", "height", F.col("goal.width").alias("target_width"), F.col("goal.height").alias("target_height"), F.round("goal.multiplier", 3).alias("multiplier"), "model", status.alias("status"),
+    return i.join(best, "image_id", "left").withColumns({"status": status, "peak": peak})
+
+
+def plan_images(images: DataFrame, target: str = "4k", tier: str = "balanced", passes: int = 3) -> DataFrame:
+    """``image_id, width, height, content, compressed`` with the cheapest chain that reaches the target.
+
+    Nothing to do is ``skipped``; a bad target is ``failed``; where no chain reaches it, the longest of the model is taken.
+    """
+    peak = F.col("peak")
+    return _planned(images, target, tier, passes).select(
+        "image_id", "width", "height", F.col("goal.width").alias("target_width"), F.col("goal.height").alias("target_height"), F.round("goal.multiplier", 3).alias("multiplier"), "model", "status",
         F.coalesce(F.array_join("best.steps", "+"), F.lit("")).alias("steps"), F.coalesce("best.n", F.lit(0)).alias("passes"), F.round(F.coalesce(peak, F.lit(0.0)), 1).alias("peak_mpix"),
         F.coalesce(F.abs(F.col("best.net") - F.col("goal.multiplier")) >= 1e-6, F.lit(False)).alias("final_resize"), (F.coalesce(peak, F.lit(0.0)) > MOST_PEAK).alias("heavy"),
     )
+
+
+def plan_preview(images: DataFrame, target: str = "4k", tier: str = "balanced", override: str | None = None, passes: int = 3) -> DataFrame:
+    """What would be done with each image, in words: sizes after each pass, the plan, notes, why it is skipped or failed.
+
+    ``override`` names the model for all images; one that is not known fails. A plan without a pass peaks
+    at its source's size. Rows that repeat an ``image_id`` are planned each, on one chain for their id.
+    """
+    forced = None if override is None else F.lit(override)
+    p = _planned(images, target, tier, passes, forced)
+    known = F.lit(override is None or override in {m[0] for m in MODELS})
+    scales = F.create_map(*[F.lit(x) for name, scale, *_ in MODELS for x in (name, scale)])
+    steps, net = F.col("best.steps"), F.col("best.net")
+    nets = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.aggregate(F.slice(steps, F.lit(1), k), F.lit(1), lambda a, m: a * scales[m]))
+    sizes = F.transform(nets, lambda n: F.concat_ws("x", (F.col("width") * n).cast("string"), (F.col("height") * n).cast("string")))
+    chain = F.array_join(F.transform(steps, lambda m: F.concat(m, F.lit(" x"), scales[m].cast("string"))), " -> ")
+    goal = [F.col("goal.width"), F.col("goal.height")]
+    tail = F.when(F.abs(net - F.col("goal.multiplier")) >= 1e-6, F.format_string(RESIZED, *goal)).otherwise("")
+    described = F.when(F.col("status") == "planned", F.concat(chain, F.lit(" (x"), net.cast("string"), F.lit(")"), tail)).when(F.col("status") == "skipped", F.format_string(RESAMPLE, *goal))
+    peak = F.coalesce("peak", F.col("width").cast("double") * F.col("height") / 1e6)
+    notes = F.concat(model_notes(F.col("content"), F.col("compressed"), forced), F.array_compact(F.array(F.when(F.col("peak") > MOST_PEAK, F.format_string(LARGE_NOTE, F.col("peak"))))))
+    skipped = F.when(F.col("status") == "skipped", F.format_string(SKIPPED, F.col("width"), F.col("height"), F.col("goal.label")))
+    error = F.when(~known, "unknown model").otherwise(F.col("goal.error"))
+    return p.select(
+        "image_id", F.when(known, F.col("status")).otherwise("failed").alias("status"), "content", "model", F.coalesce(sizes, F.array().cast("array<string>")).alias("pass_sizes"), F.when(known, described).alias("plan"),
+        F.round(peak, 1).alias("peak_mpix"), notes.alias("notes"), skipped.alias("skipped"), error.alias("error"), F.round(scale_for_4k(F.col("width"), F.col("height")), 3).alias("scale_for_4k"),
+    )

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_media, queries_text
+from . import queries_assets, queries_media, queries_text
 
-MODULES = (queries_text, queries_media)
+MODULES = (queries_text, queries_media, queries_assets)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

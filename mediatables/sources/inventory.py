@@ -16,8 +16,8 @@ def described(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumn("name", name).withColumn("dir", F.regexp_replace(p, r"/?[^/]*$", "")).withColumn("ext", F.lower(F.regexp_extract(name, r".\.([^.]+)$", 1))).withColumn("stem", F.regexp_replace(name, r"(.)\.[^.]+$", "$1"))
 
 
-def list_files(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
-    """``path, size, modified`` of the files of a folder; contents are pruned from the scan."""
+def list_files(spark: SparkSession, root: str | list[str], recursive: bool = False) -> DataFrame:
+    """``path, size, modified`` of the files of a folder or several; contents are pruned from the scan."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     return reader.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
@@ -29,6 +29,24 @@ def scan_inventory(files: DataFrame, extensions: tuple[str, ...], order: str = "
     return kept.orderBy(*keys)
 
 
+def list_roots(spark: SparkSession, roots: list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Files found in folders, and files among ``roots`` themselves, for :func:`discover`; a root that is missing raises."""
+    plain = lambda p: F.regexp_replace(p, "^file:/+", "/")
+    named = plain(F.col("path")).isin([r if not r.startswith("file:") else "/" + r[5:].lstrip("/") for r in roots])
+    found = list_files(spark, roots, recursive)
+    return found.where(~named), found.where(named)
+
+
+def discover(listed: DataFrame, explicit: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """Files of folders by extension and files named one by one whatever theirs, once each, smallest first.
+
+    Both sides have ``path, size``; a path that has several sizes counts with the least, a null path not at all.
+    """
+    wanted = described(listed).where(F.col("ext").isin(*extensions)).select("path", "size")
+    both = wanted.unionByName(explicit.select("path", "size")).where("path is not null")
+    return described(both.groupBy("path").agg(F.min("size").alias("size"))).orderBy("size", "path")
+
+
 def plan_tasks(inventory: DataFrame, target: str, legacy: tuple[str, ...] = LEGACY) -> DataFrame:
     """Destination of each file: legacy containers become mp4 and are encoded anew; collisions are flagged."""
     old = F.col("ext").isin(*legacy)
@@ -69,14 +87,31 @@ def duplicate_files(files: DataFrame, content: str = "content", extra: str = "")
     return files.groupBy(key.alias("fingerprint")).agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
 
 
-def assemble_bundles(files: DataFrame) -> DataFrame:
+#: Names in order of preference, and what counts as audio (fixed values).
+REFERENCES, TRANSCRIPTS, PROFILE = ("reference", "sample", "voice"), ("reference.txt", "transcript.txt", "sample.txt"), "profile.json"
+AUDIO = ("wav", "flac", "ogg", "oga", "opus", "aiff", "aif", "mp3", "w64", "caf", "m4a", "aac", "mp4", "wma", "webm", "mkv", "mov")
+_PROFILE = "transcript string, language string, description string, options map<string,string>"
+
+
+def assemble_bundles(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Per folder its best reference, first transcript and whether it is valid: ``dir, reference, transcript, valid``.
 
     ``files`` is a described inventory; audio named reference, sample or voice comes before others by name.
+    With ``texts`` (``path, text`` of small files) come ``transcript_text`` (the first transcript's, trimmed; where it
+    is empty or missing, the one in profile.json), ``language, description, options``; a profile that is no
+    JSON object counts as none.
     """
     shown = files.where(~F.col("name").startswith("."))
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("reference", "sample", "voice"))), F.lower("stem")), F.lit(0))
-    audio = shown.where(F.col("ext").isin("wav", "mp3", "flac", "ogg", "m4a")).groupBy("dir").agg(F.min_by("path", F.struct(F.when(rank == 0, 99).otherwise(rank), F.lower("name"))).alias("reference"))
-    place = F.array_position(F.array(*map(F.lit, ("transcript.txt", "reference.txt", "text.txt"))), F.lower("name"))
-    text = shown.where(place > 0).groupBy("dir").agg(F.min_by("path", place).alias("transcript"))
-    return shown.select("dir").distinct().join(audio, "dir", "left").join(text, "dir", "left").withColumn("valid", F.col("reference").isNotNull())
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, REFERENCES)), F.lower("stem")), F.lit(0))
+    audio = shown.where(F.col("ext").isin(*AUDIO)).groupBy("dir").agg(F.min_by("path", F.struct(F.when(rank == 0, 99).otherwise(rank), F.lower("name"), "name")).alias("reference"))
+    place = F.array_position(F.array(*map(F.lit, TRANSCRIPTS)), F.lower("name"))
+    text = shown.where(place > 0).groupBy("dir").agg(F.min_by("path", F.struct(place, "name")).alias("transcript"))
+    out = shown.select("dir").distinct().join(audio, "dir", "left").join(text, "dir", "left").withColumn("valid", F.col("reference").isNotNull())
+    if texts is None:
+        return out
+    spoken = F.regexp_replace("text", r"^[\s\x{FEFF}]+|\s+$", "")
+    said = texts.groupBy(F.col("path").alias("transcript")).agg(F.min(F.when(spoken != "", spoken)).alias("spoken"))
+    named = described(texts).where(F.col("name") == PROFILE).groupBy("dir").agg(F.min("text").alias("text")).select("dir", F.from_json("text", _PROFILE).alias("profile"))
+    out = out.join(said, "transcript", "left").join(named, "dir", "left")
+    told = F.coalesce("spoken", "profile.transcript").alias("transcript_text")
+    return out.select("dir", "reference", "transcript", "valid", told, "profile.language", "profile.description", "profile.options")
