@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SECOND, Rolling, bounded_batches, by_bytes, cut, drop_cut, encoded, mix
+from .shared import FIRST, SECOND, Rolling, bounded_batches, by_bytes, cut, drop_cut, encoded, mix
 
 #: Bytes of a repeat, and of a seed rank: a quarter, so that two doublings reach it.
 LENGTH = 400
@@ -50,6 +50,8 @@ GROUP = 20_000
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes that one round of the sampling looks at; below 2**24.
 _PIECE = 1 << 18
+#: Word windows that are hashed and handed on at a time.
+_SLAB = 1 << 16
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -219,7 +221,79 @@ def whole_words(text: bytes, start: int, end: int) -> int:
     return max(0, n - bool(cut_first) - bool(cut_last))
 
 
-def _removed(words: int):
+def merged(parts: list[dict] | None) -> list[list[int]]:
+    """Stretches ``s, e``, sorted, as maximal runs."""
+    runs: list[list[int]] = []
+    for part in parts if parts is not None else ():
+        if runs and part["s"] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], part["e"])
+        else:
+            runs.append([part["s"], part["e"]])
+    return runs
+
+
+def word_windows(text: bytes, start: int, end: int, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Every ``words`` neighbouring whole words of a stretch: where they begin and end, and two hashes of their bytes.
+
+    The first and the last window reach to the stretch's edges, beyond which no whole word lies.
+    """
+    if whole_words(text, start, end) < words:
+        return
+    piece = np.frombuffer(text[start:end], np.uint8)
+    space = (piece == 32) | ((piece >= 9) & (piece <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    i = int(start > 0 and not space[0] and text[start - 1] not in _SPACE)
+    j = len(first) - int(end < len(text) and not space[-1] and text[end] not in _SPACE)
+    for lo in range(i, j - words + 1, _SLAB):
+        s = first[lo : min(lo + _SLAB, j - words + 1)]
+        e = last[lo + words - 1 : lo + words - 1 + len(s)]
+        some = piece[s[0] : e[-1]]
+        names = [Rolling(some, k).spans(s - s[0], e - s[0]).view(np.int64) for k in (FIRST, SECOND)]
+        a, b = s + start, e + start
+        if lo == i:
+            a[0] = start
+        if lo + len(s) == j - words + 1:
+            b[-1] = end
+        yield a, b, *names
+
+
+def _windowed(words: int):
+    """The word windows of each text's runs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            held, n = [], 0
+            for uid, packed, parts in zip(batch["uid"], batch["ztext"], batch["spans"], strict=True):
+                text = unpack.decompress(packed)
+                for start, end in merged(parts):
+                    for a, b, name, also in word_windows(text, start, end, words):
+                        held.append(pd.DataFrame({"uid": uid, "s": a, "e": b, "name": name, "also": also}))
+                        n += len(a)
+                        if n > _SLAB:
+                            yield pd.concat(held)
+                            held, n = [], 0
+            if held:
+                yield pd.concat(held)
+
+    return run
+
+
+def _confirmed(texts: DataFrame, spans: DataFrame, words: int) -> DataFrame:
+    """Of the runs in ``spans`` (``uid, spans``) the parts where one passage of ``words`` words itself occurs again.
+
+    A run may be pieced together from several shorter repeats; its words then occur nowhere else
+    in a row. Every occurrence of a repeat lies in a run, so the runs' windows alone are counted.
+    """
+    windows = cut(texts.select("uid", "ztext").join(spans, "uid").mapInPandas(_windowed(words), "uid long, s long, e long, name long, also long"))
+    again = cut(windows.groupBy("name", "also").count().where("count > 1").select("name", "also"))
+    kept = cut(windows.join(again, ["name", "also"], "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")))
+    drop_cut(windows, again, spans)
+    return kept
+
+
+def _removed():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -228,14 +302,7 @@ def _removed(words: int):
             for at in range(0, len(batch), 256):
                 kept, n, gone, count = [], [], [], []
                 for z, parts in zip(packed.slice(at, 256), spans.slice(at, 256).to_pylist(), strict=True):
-                    text, runs = unpack.decompress(z.as_py()), []
-                    for part in parts or ():
-                        if runs and part["s"] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], part["e"])
-                        else:
-                            runs.append([part["s"], part["e"]])
-                    if words:
-                        runs = [r for r in runs if whole_words(text, *r) >= words]
+                    text, runs = unpack.decompress(z.as_py()), merged(parts)
                     edges = [0, *(x for r in runs for x in r), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                     n.append(len(text))
@@ -249,8 +316,8 @@ def _removed(words: int):
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, group: int = GROUP, words: int = 0) -> DataFrame:
     """One row per input row: ``row`` (its columns but the text), ``n_bytes, n_removed, n_spans, kept``.
 
-    ``kept`` holds the remaining bytes; ``n_spans`` counts maximal removed runs. With ``words`` a maximal
-    run of fewer whole words stays.
+    ``kept`` holds the remaining bytes; ``n_spans`` counts maximal removed runs. With ``words`` only
+    passages of so many whole words that occur again as such go, with what of a maximal run is left beyond its outer whole words.
     """
     bounded_batches(docs.sparkSession)
     seed = max(1, length // 4)
@@ -279,5 +346,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     spans = settled.union(found.where("kind = 0").select("uid", "s", "e")).union(again.select("uid", "s", "e"))
     spans = cut(spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")))
     drop_cut(seeds, left, kinds, spread, found, across)
+    if words:
+        spans = _confirmed(texts, spans, words)
     joined = texts.select("uid", "row", "ztext").join(spans, "uid", "left").select("row", "ztext", "spans")
-    return joined.mapInArrow(_removed(words), f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(_removed(), f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, and their edge cases."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -453,3 +454,35 @@ def test_warc_round_trip(spark, tmp_path):
     read = warc.read_warc(spark, str(tmp_path / "r.warc"))
     got = {r.record_type: r for r in warc.derivatives(read).collect()}
     assert got["conversion"].block == "hi" and "X: y" in got["metadata"].block and got["metadata"].refers_to == "<urn:uuid:1>"
+
+
+def test_suffix_keeps_words_pieced_together_from_shorter_repeats(spark):
+    """A text of sentences that each occur elsewhere, but never in this order, stays; a true passage beside them goes."""
+    sentences = [" ".join(f"s{k}w{j}longer" for j in range(12)) for k in range(10)]
+    mosaic, passage = " ".join(sentences), " ".join(f"p{j}" for j in range(55))
+    rows = [(1, mosaic), (2, f"a {passage} b"), (3, f"c {passage} d {passage[:60]}")] + [(10 + k, f"q{k} {x} r{k}") for k, x in enumerate(sentences)]
+    got = {r.row.doc_id: (bytes(r.kept).decode(), r.n_spans, r.n_removed) for r in suffix.remove_repeats(_docs(spark, [(i, t, "en", "s") for i, t in rows]), length=101, words=51).collect()}
+    assert got.pop(2) == ("ab", 1, len(passage) + 2) and got.pop(3) == (f"cd {passage[:60]}", 1, len(passage) + 2)
+    assert all(t == dict(rows)[i] and (n, gone) == (0, 0) for i, (t, n, gone) in got.items())
+
+
+@pytest.mark.parametrize("slab", [7, 1 << 16])
+def test_suffix_words_equal_brute_force(spark, given, slab, monkeypatch):
+    """Every window of six words that occurs again goes, and no word of any other."""
+    monkeypatch.setattr(suffix, "_SLAB", slab)
+    words, length = 6, 11
+    base = [(r.doc_id, r.text) for r in given.where("n_chars < 2000").select("doc_id", "text").limit(60).collect()] + [(900, None), (901, ""), (902, "w" * 5000), (903, "a b c d e f"), (904, "a b c d e f")]
+    texts = {i: (t or "").encode() for i, t in base}
+    places = {i: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for i, t in texts.items()}
+    windows = {i: [t[places[i][k][0] : places[i][k + words - 1][1]] for k in range(len(places[i]) - words + 1)] for i, t in texts.items()}
+    count = Counter(w for ws in windows.values() for w in ws)
+    got = {r.row.doc_id: bytes(r.kept) for r in suffix.remove_repeats(_docs(spark, [(i, t, "en", "s") for i, t in base]), length=length, words=words).collect()}
+    for i, t in texts.items():
+        gone = {j for k, w in enumerate(windows[i]) if count[w] > 1 for j in range(k, k + words)}
+        stay = [t[a:b] for j, (a, b) in enumerate(places[i]) if j not in gone]
+        left = re.findall(rb"[^\x20\x09-\x0D]+", got[i])
+        if not gone:
+            assert got[i] == t
+        else:  # what stays is whole but for the words that a run's edge cuts or joins
+            assert sum(map(len, left)) <= sum(map(len, stay)) and not any(count[b] > 1 and b in got[i] for b in windows[i])
+            assert set(stay) - set(left) <= {t[a:b] for j, (a, b) in enumerate(places[i]) if j not in gone and ({j - 1, j + 1} & gone)}
