@@ -55,9 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of over 50 words that repeat: strings of ``REPEAT_BYTES``, in runs of ``REPEAT_WORDS`` or more.
+    """Texts without passages of over 50 words that repeat: every ``REPEAT_WORDS`` words in a row that occur again.
 
-    Bytes left of a cut character go too. Every row stays, if need be with an empty text; null texts
+    They are looked for in runs of repeated strings of ``REPEAT_BYTES``, in which all of them lie; a run
+    that is pieced together from shorter repeats stays. Bytes left of a cut character go too. Every row stays, if need be with an empty text; null texts
     become empty. Rows that repeat are copies of each other and lose all of a long text. An empty table
     gives an empty one, and further columns are not handed on.
     """
