@@ -16,8 +16,8 @@ the whole table in blocks.
 
 The fit looks at ``SAMPLE`` vectors at most (the width and the neighbour distance come
 from them); every vector is indexed. Vectors that are null, zero, or hold null or
-non-finite components take no part; each dimension is searched by itself. Equal distances rank by the smaller id; rows that repeat an id and vector count
-once, an empty table gives an empty table, and columns besides the two named are ignored.
+non-finite components take no part; each dimension is searched by itself. Equal distances rank by the smaller id; of rows that repeat an id the one of
+the lowest dimension and least bytes counts, an empty table gives an empty table, and columns besides the two named are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, mix
-from .vectors import dimensions, matrix, packed_vectors, sample_matrix
+from .vectors import dimensions, matrix, one_each, packed_vectors, sample_matrix
 
 TABLES, FUNCTIONS, WIDTH, SUCCESS = 6, 8, 2.0, 0.42
 SLICE = 8_192
@@ -120,7 +120,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def nearest(table: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", vec_id: str = "vec_id", tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, success: float = SUCCESS, slice_rows: int = SLICE) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows for which ``is_query`` (over ``vec_id``) holds."""
     spark = table.sparkSession
-    vectors = cut(packed_vectors(table, vector, vec_id).dropDuplicates(["vec_id"]))
+    vectors = cut(one_each(packed_vectors(table, vector, vec_id)))
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for dim, n in dimensions(vectors):
         if n > 1:

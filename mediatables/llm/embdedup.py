@@ -18,7 +18,7 @@ The grid's edges come from a sample of ``SAMPLE`` vectors at most; they steer th
 never the result. Vectors that are null, zero, or hold null or non-finite components link
 with nothing and stay as their own component; so do vectors of a dimension that no other
 has (each dimension is joined by itself). Rows without an id are left
-out, rows that repeat an id count by the first. An empty table gives an empty table.
+out; of rows that repeat an id the one of the lowest dimension and least bytes counts. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, cut
-from .vectors import dimensions, matrix, packed_vectors, sample_matrix
+from .vectors import dimensions, matrix, one_each, packed_vectors, sample_matrix
 
 BLOCK_DIM = 16
 PART = 16_384
@@ -148,7 +148,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, vector: str = "embedding
             yield batch.assign(digest=[hashlib.blake2b(v, digest_size=16).digest() for v in batch["vec"]])
 
     packed = packed_vectors(table, vector, vec_id).mapInPandas(digested, "vec_id long, dim int, vec binary, digest binary")
-    vectors = cut(packed.dropDuplicates(["vec_id"]))
+    vectors = cut(one_each(packed))
     lone = everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     parts = [_of_dimension(vectors.where(F.col("dim") == dim), cosine, part) for dim, _ in dimensions(vectors)]
     if not parts:

@@ -30,6 +30,12 @@ def packed_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "v
     return base.mapInArrow(_packed, "vec_id long, dim int, vec binary")
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """One row an id: of several that of the lowest dimension and, among those, of the least bytes."""
+    rest = [c for c in vectors.columns if c != "vec_id"]
+    return vectors.groupBy("vec_id").agg(F.min(F.struct(*rest)).alias("one")).select("vec_id", "one.*")
+
+
 def dimensions(vectors: DataFrame) -> list[tuple[int, int]]:
     """Every dimension and its number of rows."""
     return [(r["dim"], r["count"]) for r in vectors.groupBy("dim").count().orderBy("dim").collect()]

@@ -78,3 +78,13 @@ def test_each_dimension_is_joined_and_searched(spark):
     assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 20: (1, 20), 21: (1, 20), 40: (0, 40)}
     near = ann.nearest(table, F.col("vec_id") % 20 == 0).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in near) == [(0, 1, 1), (0, 2, 2), (20, 1, 21)]
+
+
+def test_one_of_several_vectors_of_an_id_counts(spark):
+    """The one of the lowest dimension, then of the least bytes, in whatever order the rows come."""
+    rows = [(0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(_table(spark, order), F.col("vec_id") == 0).collect())
+        assert found == [(0, 1, 1, 0.0), (0, 2, 2, pytest.approx(2**0.5))]
+        links = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_vectors(_table(spark, order)).collect()}
+        assert links == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
