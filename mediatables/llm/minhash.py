@@ -19,6 +19,13 @@ another label; with the texts of those, a union-find inside the task skips pairs
 joined and returns a spanning forest. That second step is exhaustive over the remaining
 cross-label pairs of a bucket, so no link is lost to the star.
 
+A bucket too large for one block, as texts around one boilerplate make, is not compared in
+pairs but split by its members' rarest samples: sets that agree in at least ``a`` of
+``SAMPLES`` samples share one of their ``SAMPLES - a + 1`` first in any order that is common to all. Rare
+ones first, the boilerplate's samples come last and bring nothing together. ``a`` leaves the
+same margin as the sketches, so a pair at the threshold is lost with probability 7e-8
+(see ``split_loss``); what the order is made of, a table of ``CELLS`` counts, has a fixed size.
+
 Null and blank texts have an empty set and link with nothing. Rows that repeat a
 ``doc_id`` count as one document, and rows without one are left out. An empty table gives
 an empty table. Other columns, whatever their names, are not looked at.
@@ -41,6 +48,10 @@ from .shared import Rolling, bounded_batches, by_bytes, components, cut, drop_cu
 BANDS, ROWS, SAMPLES, BITS = 24, 5, 192, 512
 #: Rows of a star or side of a block that one task compares.
 BLOCK = 2_000
+#: Counters of the table that tells rare samples from frequent ones.
+CELLS = 1 << 20
+#: What similarities may be estimated below their true value.
+MARGIN = 0.15
 _rng = np.random.default_rng(853)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -52,6 +63,17 @@ def reach(similarity: float) -> float:
     return 1 - (1 - similarity**ROWS) ** BANDS
 
 
+def first_samples(similarity: float) -> int:
+    """How many first samples, in a common order, two sets of this similarity share one of."""
+    return SAMPLES - max(1, math.ceil(SAMPLES * (similarity - MARGIN))) + 1
+
+
+def split_loss(similarity: float) -> float:
+    """The probability that two sets of this similarity agree in fewer samples than ``first_samples`` takes."""
+    least = SAMPLES - first_samples(similarity) + 1
+    return sum(math.comb(SAMPLES, k) * similarity**k * (1 - similarity) ** (SAMPLES - k) for k in range(least))
+
+
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     """Each text's distinct word shingles as sorted 64-bit hashes, A-Z in lower case."""
     out: list[np.ndarray] = []
@@ -108,6 +130,11 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(mins), BITS), axis=1).view(np.uint64)
 
 
+def sample_keys(mins: np.ndarray) -> np.ndarray:
+    """A number for each sample and its place, one row a set."""
+    return mix(mins.astype(np.uint64) * _STEP[33] + np.arange(1, SAMPLES + 1, dtype=np.uint64) * _STEP[34]).view(np.int64)
+
+
 def most_ones(similarity: float) -> int:
     """The XOR count up to which a pair may have this similarity."""
     d = 2 * SAMPLES * (1 - similarity)
@@ -183,12 +210,19 @@ def _stars(words: int, percent: int, ones: int):
     return run
 
 
+def _here(bands: np.ndarray, i: int, there: np.ndarray, key: int, band: int) -> np.ndarray:
+    """Which members are to be compared with ``i`` in this group: the first band, or least of the first samples, that both share."""
+    if band >= 0:
+        return (bands[there] == bands[i]).argmax(axis=1) == band
+    return bands[there, np.isin(bands[there], bands[i]).argmax(axis=1)] == key
+
+
 def _near(ids: np.ndarray, label: np.ndarray, part: np.ndarray, sketch: np.ndarray, bands: np.ndarray, key: tuple, ones: int) -> Iterator[tuple[int, np.ndarray]]:
     """Members of one side of a block, each with those of the other that bear another label and a near sketch.
 
-    The nearest come first; a pair is looked at in the first band that it shares.
+    The nearest come first; a pair is looked at in the first group that it shares.
     """
-    band, left, right = int(key[1]), int(key[2]), int(key[3])
+    of, band, left, right = (int(x) for x in key)
     columns = np.flatnonzero(part == right)
     for i in np.flatnonzero(part == left):
         there = columns[columns > i] if left == right else columns
@@ -198,9 +232,9 @@ def _near(ids: np.ndarray, label: np.ndarray, part: np.ndarray, sketch: np.ndarr
             there, count = there[count <= ones], count[count <= ones]
             there = there[np.argsort(count, kind="stable")]
         if len(there):
-            first = (bands[there] == bands[i]).argmax(axis=1)
-            if (first == band).any():
-                yield i, there[first == band]
+            here = _here(bands, i, there, of, band)
+            if here.any():
+                yield i, there[here]
 
 
 def _columns(block: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -219,7 +253,7 @@ def _screened(ones: int):
         for i, there in _near(*_columns(block), tuple(block[BLOCK_KEY].iloc[0]), ones):
             seen[i] = True
             seen[there] = True
-        return block.loc[seen, [*BLOCK_KEY, "doc_id", "label", "part"]]
+        return block.loc[seen, [*BLOCK_KEY, "doc_id", "label", "part", "bands"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -270,6 +304,69 @@ def _blocks(words: int, percent: int, ones: int):
     return run
 
 
+def _sampled(words: int):
+    """All samples of each text, as bytes of 64-bit numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            keys = [sample_keys(samples(shingle_sets([unpack.decompress(t)], words)))[0].tobytes() for t in batch["ztext"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "sketch": batch["sketch"], "keys": keys})
+
+    return run
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many samples fall into each cell."""
+    n = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        n += np.bincount(np.frombuffer(b"".join(batch["keys"]), np.int64) & (CELLS - 1), minlength=CELLS)
+    at = np.flatnonzero(n)
+    yield pd.DataFrame({"cell": at, "n": n[at]})
+
+
+def _rarest(counts, most: int):
+    """The ``most`` first samples of each set, rare cells first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = counts.value
+        for batch in batches:
+            out = []
+            for packed in batch["keys"]:
+                keys = np.frombuffer(packed, np.int64)
+                out.append(np.sort(keys[np.lexsort((keys, often[keys & (CELLS - 1)]))[:most]]))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "sketch": batch["sketch"], "bands": out})
+
+    return run
+
+
+def _split(large: DataFrame, needed: DataFrame, words: int, percent: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Members of large buckets in groups of one rare sample: rows for blocks, and the tables they are read from."""
+    spark = large.sparkSession
+    sampled = cut(large.join(needed.select("doc_id", "sketch", "ztext"), "doc_id").select("doc_id", "label", "sketch", "ztext").mapInPandas(_sampled(words), "doc_id long, label long, sketch binary, keys binary"))
+    counts = np.zeros(CELLS, np.int64)
+    rows = sampled.select("keys").mapInPandas(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
+    counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    rare = cut(sampled.mapInPandas(_rarest(shared, first_samples(percent / 100)), "doc_id long, label long, sketch binary, bands array<long>"))
+    drop_cut(sampled)
+    named = rare.select("doc_id", "label", F.explode("bands").alias("key"), F.lit(-1).alias("band"))
+    return _placed(named, _open(named, block)).join(rare.select("doc_id", "bands", "sketch"), "doc_id"), [rare]
+
+
+def _open(named: DataFrame, block: int) -> DataFrame:
+    """Groups that hold several labels, with the number of parts that keep each near ``block`` rows."""
+    groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    return groups.where("a <> b").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+
+
+def _placed(named: DataFrame, open_keys: DataFrame) -> DataFrame:
+    """Members of open groups in each of their blocks."""
+    left = named.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.select("key", "band", "doc_id", "label", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -277,7 +374,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``percent`` / 100 or more; ``kept`` marks the document that bears it.
     """
     bounded_batches(docs.sparkSession)
-    ones = most_ones(max(0.0, percent / 100 - 0.15))
+    ones = most_ones(max(0.0, percent / 100 - MARGIN))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     marks = cut(base.mapInPandas(_sketched(words), SKETCH))
     small = cut(marks.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("s")).select("doc_id", "s.*"))
@@ -303,15 +400,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = components(links)
     # ---- buckets that still hold several labels
     named = member.join(labels, member.doc_id == labels.node, "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    open_keys = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    left = named.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    left = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select("key", "band", "doc_id", "label", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
-    light_ = left.join(needed.select("doc_id", "bands", "sketch"), "doc_id").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
-    near = cut(light_.select(*BLOCK_KEY, "doc_id", "label", "part", "bands", "sketch").mapInPandas(_screened(ones), "key long, band int, lo int, hi int, doc_id long, label long, part int"))
-    more = near.join(needed, "doc_id").groupBy(*BLOCK_KEY).applyInPandas(_blocks(words, percent, ones), "u long, v long")
+    open_keys = cut(_open(named, block))
+    rows = _placed(named, open_keys.where("parts = 1")).join(needed.select("doc_id", "bands", "sketch"), "doc_id")
+    large = cut(named.join(open_keys.where("parts > 1"), "key", "left_semi").select("doc_id", "label").distinct())
+    more_tables = [open_keys, large]
+    if large.limit(1).count():
+        split, tables = _split(large, needed, words, percent, block)
+        rows, more_tables = rows.unionByName(split), more_tables + tables
+    light_ = rows.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    near = cut(light_.select(*BLOCK_KEY, "doc_id", "label", "part", "bands", "sketch").mapInPandas(_screened(ones), "key long, band int, lo int, hi int, doc_id long, label long, part int, bands array<long>"))
+    more = near.join(needed.drop("bands"), "doc_id").groupBy(*BLOCK_KEY).applyInPandas(_blocks(words, percent, ones), "u long, v long")
     more = cut(more)
-    drop_cut(needed, member, pairs, near)
+    drop_cut(needed, member, pairs, near, *more_tables)
     # labels of the first step and the links between them give the rest
     whole = components(links.union(more))
     drop_cut(links, labels, more)
