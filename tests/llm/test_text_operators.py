@@ -4,12 +4,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediatables.llm import bpe, html, langid, minhash, mixing, suffix, tokencount, warc
+from mediatables.llm import bpe, html, langid, minhash, mixing, queries, suffix, tokencount, warc
 from mediatables.llm.queries import vocabulary_path
 
 DATA = "/root/testdata/sf0.001"
@@ -268,13 +269,8 @@ def test_language_evidence_and_edges(spark, given):
     assert langid.identify(_docs(spark, rows).where("false"), languages, model).count() == 0
 
 
-def test_fusion_equals_plain_python(spark, given):
-    """Posteriors from the operator's own likelihoods, fused again row by row."""
-    languages, model = langid.fit(given, "text", "lang", "doc_id")
-    hosts = ["a.one.de", "b.one.de", "x.two.fr", "", "local"]
-    rows = [(r.doc_id, r.text[:12], (None, "fr", "de-AT", "xx")[r.doc_id % 4], hosts[r.doc_id % 5]) for r in given.limit(60).collect()] + [(900, None, "fr", "a.one.de"), (901, "...", None, "x.two.fr")]
-    docs = _docs(spark, rows)
-    heard = {r.doc_id: r.ll for r in docs.select("doc_id", langid.likelihoods(docs, "text", model).alias("ll")).collect()}
+def _fused(rows, heard, languages):
+    """Language and posterior of each row (id, declared, host), fused row by row from the texts' likelihoods."""
     names = [*languages, langid.UNKNOWN]
     k = len(names)
 
@@ -286,21 +282,52 @@ def test_fusion_equals_plain_python(spark, given):
         return e / e.sum()
 
     by_host = defaultdict(lambda: np.zeros(k))
-    for i, _, said, host in rows:
+    for i, said, host in rows:
         if heard[i] is not None:
-            by_host[host] += soft(np.array(heard[i]) + favour((said or "").split("-")[0], langid.DECLARED))
+            by_host[host] += soft(np.array(heard[i]) + favour((said or "").split("-")[0].lower(), langid.DECLARED))
     corpus = sum(by_host.values()) + 1
     corpus /= corpus.sum()
     domain = lambda h: ".".join(h.split(".")[-2:]) if "." in h else ""
     smooth = lambda n, prior, w: (n + w * prior) / (n.sum() + w)
-    got = {r.doc_id: r.language for r in langid.identify(docs, languages, model, declared="lang", host=F.col("source")).collect()}
-    for i, _, said, host in rows:
+    out = {}
+    for i, said, host in rows:
         above = smooth(sum(n for h, n in by_host.items() if domain(h) == domain(host)), corpus, langid.DOMAIN_WEIGHT) if domain(host) else corpus
         prior = smooth(by_host[host], above, langid.HOST_WEIGHT)
-        terms = favour((said or "").split("-")[0], langid.DECLARED) + favour(langid.SUFFIXES.get(host.split(".")[-1]) if "." in host else None, 0.8) + np.log(prior)
+        terms = favour((said or "").split("-")[0].lower(), langid.DECLARED) + favour(langid.SUFFIXES.get(host.split(".")[-1]) if "." in host else None, 0.8) + np.log(prior)
         p = soft(terms + (np.array(heard[i]) if heard[i] is not None else 0))
-        assert got[i].posterior == pytest.approx(p.max()) and got[i].lang == names[int(p.argmax())]
-        assert got[i].accepted == (heard[i] is not None and got[i].lang != "unknown" and p.max() >= 0.5)
+        out[i] = names[int(p.argmax())], p.max()
+    return out
+
+
+def test_fusion_equals_plain_python(spark, given):
+    """Posteriors from the operator's own likelihoods, fused again row by row."""
+    languages, model = langid.fit(given, "text", "lang", "doc_id")
+    hosts = ["a.one.de", "b.one.de", "x.two.fr", "", "local"]
+    rows = [(r.doc_id, r.text[:12], (None, "fr", "de-AT", "xx")[r.doc_id % 4], hosts[r.doc_id % 5]) for r in given.limit(60).collect()] + [(900, None, "fr", "a.one.de"), (901, "...", None, "x.two.fr")]
+    docs = _docs(spark, rows)
+    heard = {r.doc_id: r.ll for r in docs.select("doc_id", langid.likelihoods(docs, "text", model).alias("ll")).collect()}
+    want = _fused([(i, said, host) for i, _, said, host in rows], heard, languages)
+    got = {r.doc_id: r.language for r in langid.identify(docs, languages, model, declared="lang", host=F.col("source")).collect()}
+    for i, (lang, posterior) in want.items():
+        assert got[i].posterior == pytest.approx(posterior) and got[i].lang == lang
+
+
+def test_language_of_pages_equals_plain_python(spark, given):
+    """The query's rows over all given pages: declared language and host taken from page and address by plain Python."""
+    languages, model = langid.fit(given, "text", "lang", "doc_id")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    texts = pages.select("page_id", warc.plain_text(F.col("html")).alias("text"))
+    heard = {r.page_id: r.ll for r in texts.select("page_id", langid.likelihoods(texts, "text", model).alias("ll")).collect()}
+    rows = []
+    for r in pages.select("page_id", "url", "html").collect():
+        tag = re.search(r"<html[^>]*\slang=\"?([A-Za-z-]+)", r.html or "", re.IGNORECASE)
+        rows.append((r.page_id, tag[1] if tag else None, urlsplit(r.url or "").hostname or ""))
+    want = _fused(rows, heard, languages)
+    got = {r.page_id: r for r in queries.lang_pages(spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, posterior) in want.items():
+        assert got[i].lang == lang and got[i].posterior == pytest.approx(posterior, abs=1e-6)
+        assert got[i].kept == (heard[i] is not None and lang != langid.UNKNOWN and posterior >= 0.5)
 
 
 def test_languages_of_a_table_with_clashing_names(spark, given):
