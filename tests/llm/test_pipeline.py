@@ -63,3 +63,21 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert left.columns == list(corpus_pipeline.COLUMNS)
     got = [(r.doc_id, r.text or "") for r in corpus_pipeline.cut_repeats(spark, left, DATA).collect()]
     assert sorted(got, key=str) == sorted([(1, texts[0]), (2, texts[1]), (None, texts[2]), (None, ""), (3, texts[3])], key=str)
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_take_clashing_columns(spark, empty):
+    """Each stage but the first, whose model needs labels, on nothing, and on long, empty and equal texts with further columns."""
+    long = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(1, long, "en", "s", 0), (2, "", "en", None, 0), (3, "one two", None, "s", 7), (4, "one two", "en", "s", 7)]
+    docs = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "key", "label", "kept", "digest", "number", "copies", "token_ids"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = {name: stage(spark, docs, DATA).collect() for name, stage in corpus_pipeline.STAGES[1:]}
+    if empty:
+        assert not any(got.values())
+        return
+    assert sorted(r.doc_id for r in got["near_duplicates"]) == [1, 2, 3]
+    assert {r.doc_id: r.text for r in got["repeated_strings"]} == {i: t for i, t, *_ in rows}
+    assert {r.doc_id for r in got["mixing"]} <= {1, 2, 3, 4}
+    assert {r.doc_id: r.n_tokens > 0 and r.round_trip for r in got["tokens"]} == {1: True, 2: False, 3: True, 4: True}
