@@ -60,3 +60,8 @@ def test_open_end_counts_of_all_ranges(spark, con):
     want = con.sql(f"SELECT l.track, l.id AS left_id, count(*) AS n FROM {_interval_sql('signup')} l JOIN {_interval_sql('purchase')} r ON l.track = r.track AND r.e > l.s GROUP BY ALL")
     assert any(r[1] % 40 for r in want.fetchall())
     assert _rows(got.columns, got.collect()) == _rows(want.columns, want.fetchall())
+
+
+def test_open_end_counts_make_no_pairs(spark):
+    plan = registry.QUERIES["overlap_open_end_whole"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan  # a search of pairs deals its ranges out by stretches
