@@ -80,6 +80,37 @@ def test_overlaps_equal_brute_force(spark, width, upto):
     assert layout.overlap_conflicts(_ranges(spark, a).where("false"), _ranges(spark, b), width).count() == 0
 
 
+@pytest.mark.parametrize(("seed", "upto"), [(1, 30), (2, 200), (3, 10**12)])
+def test_places_tell_all_open_end_pairs(spark, seed, upto):
+    rng = random.Random(seed)
+    a, b = _random_ranges(rng, 120, upto), _random_ranges(rng, 120, upto)
+    want = sorted((x[0], x[1], y[1]) for x in a if x[0] is not None and x[2] is not None for y in b if x[0] == y[0] and y[3] is not None and y[3] > x[2])
+    rows = layout.open_end_places(_ranges(spark, a), _ranges(spark, b)).collect()
+    ours, theirs = [r for r in rows if r.side == "left"], [r for r in rows if r.side == "right"]
+    assert (len(ours), len(theirs)) == (len(a), len(b))
+    here = [(x, y) for x in ours for y in theirs if x.track == y.track and None not in (x.place, y.place)]
+    assert sorted((x.track, x.id, y.id) for x, y in here if y.place < x.n) == want
+    assert sorted((x.track, x.id, y.id) for x, y in here if x.place < y.n) == want
+    assert sum(x.n for x in ours) == sum(y.n for y in theirs) == len(want)
+    assert layout.open_end_places(_ranges(spark, a).where("false"), _ranges(spark, b).where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "upto"), [(4, 30), (5, 200), (6, 10**12)])
+def test_places_tell_all_overlaps(spark, seed, upto):
+    rng = random.Random(seed)
+    a, b = _random_ranges(rng, 120, upto), _random_ranges(rng, 120, upto)
+    whole = lambda rows: [r for r in rows if None not in r and r[2] < r[3]]
+    want = sorted((x[0], x[1], y[1]) for x in whole(a) for y in whole(b) if x[0] == y[0] and y[2] < x[3] and y[3] > x[2])
+    rows = layout.overlap_places(_ranges(spark, a), _ranges(spark, b)).collect()
+    ours, theirs = [r for r in rows if r.side == "left"], [r for r in rows if r.side == "right"]
+    assert (len(ours), len(theirs)) == (len(a), len(b))
+    here = [(x, y) for x in ours for y in theirs if x.track == y.track and None not in (x.starts, y.starts)]
+    assert sorted((x.track, x.id, y.id) for x, y in here if y.starts < x.upto and y.ends >= x.beyond) == want
+    assert sorted((x.track, x.id, y.id) for x, y in here if x.starts < y.upto and x.ends >= y.beyond) == want
+    assert sum(x.n for x in ours) == sum(y.n for y in theirs) == len(want)
+    assert layout.overlap_places(_ranges(spark, a).where("false"), _ranges(spark, b).where("false")).count() == 0
+
+
 def test_a_range_is_few_stretches_that_tile_it(spark):
     rng = random.Random(3)
     rows = [(0, 0), (5, 5), (-7, -7), (-8, 7), (0, 2**40), (-(2**40) - 1, 2**40 + 1)] + [tuple(sorted((rng.randint(-500, 500), rng.randint(-500, 500)))) for _ in range(200)]
