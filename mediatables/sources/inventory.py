@@ -23,8 +23,14 @@ def list_files(spark: SparkSession, root: str | list[str], recursive: bool = Fal
 
 
 def scan_inventory(files: DataFrame, extensions: tuple[str, ...], order: str = "name") -> DataFrame:
-    """Files of the wanted extensions once each, in order of lower-case name, path, or size and path."""
-    kept = described(files).where(F.col("ext").isin(*extensions)).dropDuplicates(["path"])
+    """Files of the wanted extensions once each, in order of lower-case name, path, or size and path.
+
+    Of rows that repeat a path the one of the least size counts (a null size is larger than any), then the least in its other columns.
+    """
+    rows = described(files).where(F.col("ext").isin(*extensions))
+    first = [F.col("size").isNull(), F.col("size")] if "size" in files.columns else []
+    least = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(first)], F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    kept = rows.groupBy("path").agg(F.min(least).alias("least")).select("least.row.*")
     keys = {"name": [F.lower("name"), F.col("path")], "path": [F.col("path")], "size": [F.col("size"), F.col("path")]}[order]
     return kept.orderBy(*keys)
 

@@ -138,6 +138,10 @@ def test_manifest_reads_leniently_and_snapshots_pick_the_last(spark, tmp_path):
 def test_inventory_takes_any_case_and_bundles(spark):
     f = spark.createDataFrame([("d/clip.Mp4", 3), ("d/old.webm", 1), ("d/n.txt", 1), ("d/clip.Mp4", 3)], "path string, size long")
     assert [r.name for r in inventory.scan_inventory(f, inventory.VIDEO).collect()] == ["clip.Mp4", "old.webm"]
+    twice = [("a.mp4", 9), ("a.mp4", None), ("a.mp4", 7), ("a.mp4", 8), ("b.mp4", None), ("b.mp4", 5), (None, 1)] * 3
+    for rows in (twice, twice[::-1]):
+        least = inventory.scan_inventory(spark.createDataFrame(rows, "path string, size long").repartition(3), inventory.VIDEO, "size")
+        assert least.columns[:2] == ["path", "size"] and [(r.path, r["size"]) for r in least.collect()] == [("b.mp4", 5), ("a.mp4", 7)]
     b = inventory.described(spark.createDataFrame([("v/zz.wav",), ("v/Reference.wav",), ("v/transcript.txt",), ("w/.hidden.wav",), ("w/note.md",)], "path string"))
     got = {r.dir: (r.reference, r.transcript, r.valid) for r in inventory.assemble_bundles(b).collect()}
     assert got == {"v": ("v/Reference.wav", "v/transcript.txt", True), "w": (None, None, False)}
@@ -261,3 +265,14 @@ def test_incremental_work_runs_once(spark, tmp_path):
     q = intake.incremental(stream, target, lambda b: b.withColumn("key", F.sha2("text", 256)), "key").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(target).collect()) == ["t0", "t1", "t2", "t3"]
+
+
+def test_python_workers_get_texts_by_their_bytes(spark):
+    import pandas as pd
+
+    docs = spark.range(300).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("e\u0301"), 50_000).alias("text"))
+    held = F.pandas_udf(lambda s: pd.Series([int(s.str.len().sum())] * len(s)), "long")
+    for make in (ops.normalize_corpus, lambda d: ops.explode_sentences(d.withColumn("paragraph_index", F.lit(0)))):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2147483647")
+        made = make(docs)
+        assert made.agg(F.max(held("text"))).first()[0] < 8_000_000
