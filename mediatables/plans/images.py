@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Long edges of the named targets (fixed values).
@@ -53,8 +53,8 @@ def scale_for_4k(width: Column, height: Column) -> Column:
     return F.greatest(F.lit(1.0), PRESETS["4k"] / F.greatest(width, height))
 
 
-def chains(spark: SparkSession, passes: int = 3) -> DataFrame:
-    """Every chain of at most ``passes``: ``model, steps, net, cost, n``; the first step is the model itself.
+def chains(passes: int = 3) -> list[tuple[str, list[str], int, float, int]]:
+    """Every chain of at most ``passes``: model, steps, net scale, cost, number of steps; the first step is the model itself.
 
     Later steps are the model or the two-fold one; a step costs its weight times its output's pixels.
     """
@@ -69,20 +69,29 @@ def chains(spark: SparkSession, passes: int = 3) -> DataFrame:
                     steps.append(m)
                     cost += w * net * net
                 rows.append((name, steps, net, cost, n))
-    return spark.createDataFrame(rows, "model string, steps array<string>, net int, cost double, n int")
+    return rows
 
 
 def _planned(images: DataFrame, target: str, tier: str, passes: int, override: Column | None = None) -> DataFrame:
-    """The images with ``goal, model, best`` (the chain, null where nothing is to do), ``status`` and ``peak``."""
+    """The images with ``goal, model, best`` (the chain, null where nothing is to do), ``status`` and ``peak``.
+
+    A chain's rank among all is a whole number: those that reach the goal by cost, passes, scale and steps, after
+    them those that fall short, the longest first. So an image looks its model's ranks up in its own row, and an id's best is their least.
+    """
     goal = parse_target(F.col("width"), F.col("height"), F.lit(target))
     i = images.withColumn("goal", goal).withColumn("model", choose_model(F.col("content"), F.col("compressed"), F.lit(tier), override))
-    all_chains = chains(images.sparkSession, passes)
-    rank = F.struct((F.col("net") < F.col("m")).alias("short"), F.when(F.col("net") < F.col("m"), -F.col("net")).otherwise(0).alias("most"), "cost", "n", "net", F.col("steps").alias("steps"))
-    wanted = i.where("goal.error is null and goal.multiplier > 1").select("image_id", "model", F.col("goal.multiplier").alias("m"))
-    best = wanted.join(F.broadcast(all_chains), "model").groupBy("image_id").agg(F.min(rank).alias("best"))  # at most 7 chains a model
+    reach = sorted(chains(passes), key=lambda c: (c[3], c[4], c[2], c[1]))
+    short = sorted(reach, key=lambda c: -c[2])
+    ranked = F.array(*[F.struct(F.array(*map(F.lit, c[1])).alias("steps"), F.lit(c[2]).alias("net"), F.lit(c[4]).alias("n")) for c in reach + short])
+    ranks = {name: [F.struct(F.lit(c[2]).alias("net"), F.lit(k).alias("full"), F.lit(len(reach) + short.index(c)).alias("short")) for k, c in enumerate(reach) if c[0] == name] for name, *_ in MODELS}
+    mine = F.create_map(*[x for name, structs in ranks.items() for x in (F.lit(name), F.array(*structs))])[F.col("model")]
+    m = F.col("goal.multiplier")
+    rank = F.array_min(F.transform(mine, lambda c: F.when(c["net"] < m, c["short"]).otherwise(c["full"])))
+    i = i.withColumn("_rank", F.when(F.col("goal.error").isNull() & (m > 1), rank))
+    best = i.where("_rank is not null").groupBy("image_id").agg(F.min("_rank").alias("_best_rank"))
     status = F.when(F.col("goal.error").isNotNull(), "failed").when(F.col("goal.multiplier") <= 1, "skipped").otherwise("planned")
     peak = F.col("width").cast("double") * F.col("height") * F.col("best.net") * F.col("best.net") / 1e6
-    return i.join(best, "image_id", "left").withColumns({"status": status, "peak": peak})
+    return i.join(best, "image_id", "left").withColumn("best", F.get(ranked, F.col("_best_rank"))).drop("_rank", "_best_rank").withColumns({"status": status, "peak": peak})
 
 
 def plan_images(images: DataFrame, target: str = "4k", tier: str = "balanced", passes: int = 3) -> DataFrame:

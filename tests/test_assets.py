@@ -1,5 +1,7 @@
 """Plans in words, several roots, bundles, lossy pictures and clip fallbacks on small inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from mediatables.functions import timecode as TC
@@ -82,3 +84,21 @@ def test_placed_rows_have_status_and_timecode(spark):
     clips = spark.createDataFrame([("A1", 0, 30), ("A1", 1, 10)], "track string, pos int, length int")
     got = layout.placement_rows(layout.place_sequential(clips, 25, 5), TC.parse_rate(F.lit("25"))).orderBy("pos").collect()
     assert [(r.status, r.timeline_timecode) for r in got] == [("placed", "00:00:01:00"), ("placed", "00:00:02:10")]
+
+
+def test_images_look_their_chains_up_in_their_own_row(spark):
+    """Rows that repeat an id take the best chain of all of them; no image is sorted once a chain."""
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 60), rng.choice([40, 320, 900, 2500, 4000]), rng.choice([30, 240, 700]), rng.choice(["anime", "photo"]), rng.random() < 0.5) for _ in range(200)]
+    rows += [(k, 300 + k, 200, "photo", True) for k in range(100, 140)]
+    planned = images.plan_images(spark.createDataFrame(rows, IMAGE), "8k")
+    kind = lambda content, compressed: "anime" if content == "anime" else "nomos-webphoto" if compressed else "nomos2-realplksr"
+    ranks = {}
+    for i, width, height, content, compressed in rows:
+        m = 7680 / max(width, height)
+        if m > 1:
+            ranks.setdefault(i, []).extend((c[2] < m, -c[2] if c[2] < m else 0, c[3], c[4], c[2], c[1]) for c in images.chains() if c[0] == kind(content, compressed))
+    got = planned.collect()
+    assert len(got) == len(rows)
+    assert all((r.steps, r.passes) == (("+".join(min(ranks[r.image_id])[5]), min(ranks[r.image_id])[3]) if r.image_id in ranks else ("", 0)) for r in got)
+    assert "SortAggregate" not in planned._jdf.queryExecution().executedPlan().toString()
