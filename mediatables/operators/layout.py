@@ -191,15 +191,20 @@ def overlap_windows(series: DataFrame, size: int, overlap: int) -> DataFrame:
 
     Windows start every ``max(32, size - overlap)`` and the last is moved back to end with the series.
     """
-    extent = series.groupBy("series_id").agg((F.max("idx") + 1).alias("extent"))
     stride = max(32, size - overlap)
-    starts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col("extent") - overlap) - 1, F.lit(stride)), lambda x: F.greatest(F.lit(0), F.least(x, F.col("extent") - size)))))
-    tiles = extent.select("series_id", "extent", F.explode(starts).alias("start")).withColumn("len", F.least(F.lit(size), F.col("extent")))
-    cells = tiles.select("series_id", "start", "len", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("idx"))
+    extent = series.groupBy("series_id").agg((F.max("idx") + 1).alias("extent"))
+    cells = series.where("idx >= 0").join(extent, "series_id")
+    # a row's windows by arithmetic, so no table of their cells is made: those whose unmoved start lies near, and the last
+    last = F.floor((F.greatest(F.lit(1), F.col("extent") - overlap) - 1) / stride)
+    low = F.greatest(F.lit(0), F.floor((F.col("idx") - size) / stride) + 1)
+    high = F.least(F.floor(F.col("idx") / stride), last)
+    near_by = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    starts = F.array_distinct(F.transform(F.concat(near_by, F.array(last)), lambda k: F.greatest(F.lit(0), F.least(k * stride, F.col("extent") - size))))
+    cells = cells.withColumn("len", F.least(F.lit(size), F.col("extent"))).withColumn("start", F.explode(F.filter(starts, lambda x: (x <= F.col("idx")) & (F.col("idx") < x + F.col("len")))))
     ramp = F.least(F.lit(overlap), F.floor(F.col("len") / 2))
     near = F.least(F.col("idx") - F.col("start"), F.col("start") + F.col("len") - 1 - F.col("idx"))
     weight = F.greatest(F.lit(1e-3), F.when(near < ramp, 0.5 - 0.5 * F.cos(F.lit(3.141592653589793) * (near + 0.5) / ramp)).otherwise(1.0))
-    return cells.withColumn("weight", weight).join(series, ["series_id", "idx"]).select("series_id", "idx", "start", "weight", "value")
+    return cells.withColumn("weight", weight).select("series_id", "idx", "start", "weight", "value")
 
 
 def overlap_blend(windows: DataFrame) -> DataFrame:

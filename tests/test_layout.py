@@ -152,3 +152,20 @@ def test_series_of_several_rates_follow_each_other(spark):
     by = {g: [(r.idx, r.value) for r in got.where(F.col("group_id") == g).orderBy("idx").collect()] for g in (1, 2)}
     assert by[1] == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0), (5, 0.5), (6, 2.5), (7, 4.5), (9, 0.0), (10, 0.5), (11, 1.0), (12, 1.0), (14, 1.0), (15, 1.0), (16, 1.0), (17, 1.0)]
     assert by[2] == [(0, 0.0), (1, 1.0), (2, 1.0), (3, 1.0)]
+
+
+def test_windows_of_each_row_equal_those_cut_from_the_series(spark):
+    lengths, rows = {"a": 1, "b": 31, "c": 40, "d": 41, "e": 200, "f": 333}, []
+    for name, n in lengths.items():
+        rows += [(name, i, float(i)) for i in range(n) if i % 7 != 3 or i == n - 1]
+    rows += [("e", 5, 1.0), (None, 1, 1.0), ("f", None, 1.0)]  # a place twice, no series, no place
+    df = spark.createDataFrame(rows, "series_id string, idx long, value double")
+    for size, overlap in ((40, 8), (100, 90), (33, 0)):
+        want = []
+        for name, n in lengths.items():
+            starts = {max(0, min(x, n - size)) for x in range(0, max(1, n - overlap), max(32, size - overlap))}
+            want += [(name, i, s) for x, i, _ in rows if x == name and i is not None for s in starts if s <= i < s + min(size, n)]
+        windows = layout.overlap_windows(df, size, overlap)
+        assert sorted((r.series_id, r.idx, r.start) for r in windows.collect()) == sorted(want)
+        plan = windows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == 1  # the rows' windows, not the windows' cells
