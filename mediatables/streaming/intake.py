@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, IntegralType, StringType, TimestampNTZType, TimestampType
 
 from .folder import folder_events
 
@@ -118,7 +119,8 @@ class _LastHandled(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values) -> Iterator:
         import pandas as pd
 
-        mark = before = self.last.get()[0] if self.last.exists() else None
+        known = self.last.get()  # None where there is no state
+        mark = before = known[0] if known is not None else None
         out = []
         for batch in rows:
             for e in batch.sort_values("ts", kind="stable").itertuples():
@@ -128,7 +130,8 @@ class _LastHandled(StatefulProcessor):
                     mark = e.mark
                     out.append((*key, e.mark, e.kind, e.ts))
         if mark is None:
-            self.last.clear()
+            if before is not None:
+                self.last.clear()
         elif mark != before or self.expire_ms:
             self.last.update((mark,))
         yield pd.DataFrame(out, columns=[*self.keys, "mark", "kind", "ts"])
@@ -137,13 +140,57 @@ class _LastHandled(StatefulProcessor):
         pass
 
 
+#: Rows that a task adds up at a time.
+_ADDED = 1 << 17
+
+
+def _firsts(keys: list[str], whole: bool):
+    """The least ``ts`` of each key in a task; without ``whole`` a part of the task's rows at a time, so some keys come again."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def least(tables: list) -> pa.Table:
+            return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("ts", "min")]).rename_columns([*keys, "ts"])
+
+        held, size, goal = [], 0, _ADDED
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += len(batch)
+            if size > goal:
+                held = [least(held)]
+                if not whole:
+                    yield from held.pop().to_batches()
+                size = sum(len(t) for t in held)
+                goal = _ADDED + 2 * size
+        if held:
+            yield from least(held).to_batches()
+
+    return run
+
+
+def _plain(kind: DataType) -> bool:
+    """Whether values are equal for Arrow where they are for Spark."""
+    return isinstance(kind, (IntegralType, BooleanType, DateType, TimestampType, TimestampNTZType, BinaryType)) or kind == StringType()
+
+
+def _first_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, ts``: the first event of each key that is new; known keys are kept by Spark's own operator, without Python."""
+    types = events.select(*keys, "ts").schema
+    one = events.select(*keys, "ts").mapInArrow(_firsts(keys, False), types).repartition(*keys).mapInArrow(_firsts(keys, True), types)
+    return one.dropDuplicates(keys)  # a batch has one row a key by now
+
+
 def deduped_events(events: DataFrame, keys: list[str], same: list[str] | None = None, expire: float | None = None) -> DataFrame:
     """``*keys, mark, kind, ts``: events that differ in ``same`` from the last one of their keys that went on.
 
     ``mark`` is the values of ``same``. ``kind`` deleted (if there is such a column) forgets the keys and does not
     go on, so the same file dropped again is new; ``expire`` seconds without an event forget them as well. State is one
     short row for each key that is known now. It needs the ``ROCKSDB`` store; events of one batch go by ``ts``.
+    Where nothing is ever forgotten and any event of known keys is the same, Python sees whole batches and no single key.
     """
+    if not same and not expire and "kind" not in events.columns and "ts" not in keys and all(_plain(events.schema[c].dataType) for c in [*keys, "ts"]):
+        return _first_events(events, keys).select(*keys, F.lit("").alias("mark"), F.lit("created").alias("kind"), "ts")
     kind = F.col("kind") if "kind" in events.columns else F.lit("created")
     mark = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in same or ()])
     marked = events.select(*keys, mark.alias("mark"), kind.alias("kind"), "ts")

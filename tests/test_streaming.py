@@ -168,3 +168,33 @@ def test_incremental_work_reads_new_rows_only(spark, tmp_path):
     got = {r.text: r for r in spark.read.parquet(target).collect()}
     assert sorted(got) == sorted(f"t{i}" for i in range(50, 310)) and spark.read.parquet(target).count() == 260
     assert got["t51"].big == 2**60 + 51 and got["t52"].big is None and got["t51"].parts == ["51"] and got["t51"].more.big == 2**60 + 51
+
+
+def test_first_events_need_no_python_call_a_key(spark, tmp_path):
+    feed, schema = str(tmp_path / "feed"), "user long, kind_ string, ts timestamp"
+    rows = [(k, t, n) for n in (3.0, 1.0, 2.0) for k in (*range(40), None) for t in ("a", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "user long, kind_ string, at double").select("user", "kind_", F.timestamp_seconds("at").alias("ts"))
+    frame(rows).repartition(3).coalesce(1).write.parquet(feed)
+    stream = lambda: intake.deduped_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed), ["user", "kind_"])
+    plan = stream()._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Deduplicate" in plan
+    _run(stream(), tmp_path)
+    frame([(5, "a", 0.0), (77, "a", 9.0), (77, "a", 8.0), (78, None, None)]).coalesce(1).write.mode("append").parquet(feed)
+    _run(stream(), tmp_path)  # known keys stay known over a restart, whatever their time
+    got = [(r.user, r.kind_, r.mark, r.kind, r.ts and r.ts.second) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    want = [(k, t, "", "created", 1) for k in (*range(40), None) for t in ("a", None)] + [(77, "a", "", "created", 8), (78, None, "", "created", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_first_events_of_many_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(intake, "_ADDED", 10)
+    batches = [pa.RecordBatch.from_pydict({"k": [i % 5, i % 9, None], "ts": [i, 50 - i, i]}) for i in range(30)]
+    for whole in (True, False):
+        rows = [r for b in intake._firsts(["k"], whole)(iter(batches)) for r in b.to_pylist()]
+        least = {}
+        for r in rows:
+            least[r["k"]] = min(r["ts"], least.get(r["k"], 99))
+        want = {k: min(t for b in batches for x, t in zip(*b.to_pydict().values(), strict=True) if x == k) for k in (*range(9), None)}
+        assert least == want and (len(rows) == 10) == whole
