@@ -2,9 +2,12 @@
 
 Pages of one host share a template. Each page's tree of block elements is folded into its
 layout (equal neighbours become one node). Per host a grouped count finds the commonest
-layouts, up to ``REFERENCES`` of them, and every layout of the host is aligned with the
+``REFERENCES`` layouts, and every layout of the host is aligned with the
 reference that simple tree matching scores best, so the same place of the template bears
-the same node number on all pages. Per place the host's pages then tell:
+the same node number on all pages. Layouts that are less than ``ALIKE`` like all of these are taken up in
+further rounds, each with twice as many references from among them, until every layout that at least
+``LEAST`` pages are alike to has been a reference or has one; a layout that fewer pages are alike to keeps the
+best of the first. Per place the host's pages then tell:
 
 * a text that most pages bear at one place is **template**, but for titles inside the content: the
   text of a heading, term, caption or table head that bears no mark, is not mostly links and
@@ -19,12 +22,13 @@ the same node number on all pages. Per place the host's pages then tell:
 
 Hosts with fewer than ``LEAST`` pages of other text, and hosts where no container holds most
 text, use fixed rules alone: what lies in article or main if there is such, less what is marked.
-Only layouts of up to ``MOST_NODES`` nodes serve as references; those of a host without any use the rules.
 
 Pages are parsed once, in one pass over their own partitions; the parsed texts are written and
 everything after works on them. Tables a layout or a host are broadcast below a checked size;
 beyond it Spark joins by sorting, where adaptive execution splits hot hosts. Counts are added
-up per batch before they are shuffled. No step recurses; parsing is linear, and matching nearly so beyond a fixed number of pairs.
+up per batch before they are shuffled. No step recurses; parsing is linear. Matching is exact: its time grows with the pairs of different
+subtrees, and the further rounds' with the pairs of layouts of a host that are unlike; those are spread over tasks in
+blocks of ``BLOCK`` references, and pairs that can't be alike by their labels alone are not matched.
 
 Character references are decoded as HTML5 does, white space in a block becomes one space, and
 blocks follow in page order with one space between. A tag that the page never closes ends it.
@@ -41,6 +45,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -80,8 +85,9 @@ SHARE, LEAST = 0.7, 4
 #: A page is of other text if at least this share of its unlinked characters, or of those that the
 #: fixed rules keep, is in no text that its host's pages share.
 OWN = 0.5
-#: References a host, groups of layouts that they are picked from, and nodes of a reference at most.
-REFERENCES, GROUPS, MOST_NODES = 3, 64, 2_000
+#: References a host at first, the share of both layouts' nodes that must match for a layout to need no other, and
+#: further references that a row holds.
+REFERENCES, ALIKE, BLOCK = 3, 0.5, 8
 #: What a marked container's text counts, the share of text that makes a container the content, and
 #: the share in running text of its own (or a heading) that leaves a container whole.
 MARKED, HEAVY, TEXT = 0.2, 0.5, 0.1
@@ -274,8 +280,8 @@ def unpacked(text: str) -> Layout:
     return [(int(p), int(f), label) for p, f, label in (line.split(" ", 2) for line in text.split("\n"))]
 
 
-#: Pairs of children that one matching weighs against each other, and of one pair of nodes.
-PAIRS, WIDE = 1 << 18, 1 << 16
+#: Pairs of children beyond which a match in order is tried first, and children beyond which rows are added up in arrays.
+WIDE, SHORT = 1 << 16, 32
 #: Children that a match in order skips at most for one of its label.
 AHEAD = 16
 
@@ -315,16 +321,30 @@ def _in_order(x: list[int], y: list[int], la: list[str], lb: list[str], sa: list
     return out
 
 
+def _before(under, w):
+    """Scores of the best matches that may use one more child, whose scores with the others are ``w``."""
+    if isinstance(w, list):
+        row = under[:]
+        for q in range(len(w) - 1, -1, -1):
+            row[q] = max(under[q], row[q + 1], under[q + 1] + w[q])
+        return row
+    row = np.empty_like(under)
+    row[-1] = 0
+    np.maximum.accumulate(np.maximum(under[:-1], under[1:] + w)[::-1], out=row[-2::-1])
+    return row
+
+
 def matched(a: Layout, b: Layout) -> tuple[int, list[int]]:
     """Simple tree matching: its score, and for each node of ``a`` its match in ``b`` (-1: none).
 
     Two nodes of one label score one more than the best order-preserving match of their
     children. Equal subtrees score their size; equal children at both ends match at once, as
-    no other match of theirs scores more. Pairs are worked off by level, without recursion.
-    Once ``PAIRS`` pairs are weighed, and for nodes with over ``WIDE`` pairs of children, children are matched
-    in order instead of in the best way, so time and memory stay nearly linear in wide pages.
+    no other match of theirs scores more. A score depends on the two subtrees' shapes alone, so each pair of
+    shapes is scored once, without recursion, and of a wide node's scores one row is held at a time (to find
+    its matches, one more in each square root of its rows). Where the match in order takes up one side
+    whole, none scores more. Time grows with the pairs of different subtrees, in the worst case with the product of both sizes.
     """
-    la, lb, budget = [label for *_, label in a], [label for *_, label in b], PAIRS
+    la, lb = [label for *_, label in a], [label for *_, label in b]
     ka, kb, names, shapes, sizes = _kids([p for p, *_ in a]), _kids([p for p, *_ in b]), {}, [], []
     for tree, kids in ((a, ka), (b, kb)):
         shape, size = [0] * len(tree), [1] * len(tree)
@@ -333,67 +353,115 @@ def matched(a: Layout, b: Layout) -> tuple[int, list[int]]:
             size[i] += sum(size[k] for k in kids[i])
         shapes.append(shape)
         sizes.append(size)
-    (sa, sb), out = shapes, [-1] * len(a)
-    if a[0][2] != b[0][2]:
+    (sa, sb), (za, zb), out = shapes, sizes, [-1] * len(a)
+    if la[0] != lb[0]:
         return 0, out
-    plans: dict[tuple[int, int], tuple[list, list[int], list[int]]] = {}
-    fixed: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    levels = [[(0, 0)]]
-    while levels[-1]:
-        below = []
-        for i, j in levels[-1]:
-            if sa[i] == sb[j]:
-                continue
-            x, y, lo = ka[i], kb[j], 0
-            hx, hy = len(x), len(y)
-            while lo < hx and lo < hy and sa[x[lo]] == sb[y[lo]]:
-                lo += 1
-            while hx > lo and hy > lo and sa[x[hx - 1]] == sb[y[hy - 1]]:
-                hx, hy = hx - 1, hy - 1
-            ends = list(zip(x[:lo], y[:lo])) + list(zip(x[hx:], y[hy:]))
-            x, y = x[lo:hx], y[lo:hy]
-            cells = len(x) * len(y)
-            if cells > min(budget, WIDE):
-                pairs = _in_order(x, y, la, lb, sa, sb)
-                fixed[i, j] = pairs
-                x = y = []
-            else:
-                pairs = [(p, q) for p in x for q in y if la[p] == lb[q]]
-                budget -= cells
-            plans[i, j] = ends, x, y
-            below += pairs
-        levels.append(below)
-    score: dict[tuple[int, int], int] = {}
-    for level in reversed(levels):
-        for i, j in level:
-            if (i, j) not in plans:
-                score[i, j] = sizes[0][i]
-                continue
-            ends, x, y = plans[i, j]
-            alike = sum(sizes[0][k] for k, _ in ends)
-            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for p in range(len(x) - 1, -1, -1):
-                row, under = best[p], best[p + 1]
-                for q in range(len(y) - 1, -1, -1):
-                    row[q] = max(under[q], row[q + 1], under[q + 1] + score.get((x[p], y[q]), 0))
-            set_ = fixed.get((i, j), ())
-            score[i, j] = 1 + alike + best[0][0] + sum(score[k] for k in set_)
-            ends += set_
-            p = q = 0
-            while p < len(x) and q < len(y):
-                if (x[p], y[q]) in score and best[p][q] == best[p + 1][q + 1] + score[x[p], y[q]]:
-                    ends.append((x[p], y[q]))
+    node_a, node_b = dict(zip(sa, range(len(a)))), dict(zip(sb, range(len(b))))
+    alike, column = defaultdict(list), {}  # b's shapes by label, and each one's place among them
+    for s, j in node_b.items():
+        column[s] = len(alike[lb[j]])
+        alike[lb[j]].append(s)
+    scores: dict[int, np.ndarray] = {}
+
+    def score(s: int) -> np.ndarray:
+        """Scores of a shape of ``a`` with those of its label in ``b``; 0 as long as unknown."""
+        if s not in scores:
+            scores[s] = np.zeros(len(alike.get(la[node_a[s]], ())), np.int32)
+            if s in column:
+                scores[s][column[s]] = za[node_a[s]]
+        return scores[s]
+
+    def sides(i: int, j: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+        """Children that match at once, and the others."""
+        x, y, lo = ka[i], kb[j], 0
+        hx, hy = len(x), len(y)
+        while lo < hx and lo < hy and sa[x[lo]] == sb[y[lo]]:
+            lo += 1
+        while hx > lo and hy > lo and sa[x[hx - 1]] == sb[y[hy - 1]]:
+            hx, hy = hx - 1, hy - 1
+        ends = list(zip(x[:lo], y[:lo])) + list(zip(x[hx:], y[hy:]))
+        x, y = x[lo:hx], y[lo:hy]
+        if len(x) * len(y) > WIDE:
+            pairs = _in_order(x, y, la, lb, sa, sb)
+            if all(sa[p] == sb[q] for p, q in pairs) and sum(za[p] for p, _ in pairs) == min(sum(za[p] for p in x), sum(zb[q] for q in y)):
+                return ends + pairs, [], []
+        return ends, x, y
+
+    def weigher(y: list[int]):
+        """How a child of ``a`` scores with each of ``y``."""
+        at = defaultdict(list)
+        for k, q in enumerate(y):
+            at[lb[q]].append(k)
+        columns = {label: np.array([column[sb[y[k]]] for k in ks]) for label, ks in at.items()}
+
+        def weigh(p: int):
+            w = np.zeros(len(y), np.int64)
+            if la[p] in at:
+                w[at[la[p]]] = score(sa[p])[columns[la[p]]]
+            return w if len(y) > SHORT else w.tolist()
+
+        return weigh
+
+    def last(y: list[int]):
+        return np.zeros(len(y) + 1, np.int64) if len(y) > SHORT else [0] * (len(y) + 1)
+
+    todo = [] if sa[0] == sb[0] else [(sa[0], sb[0])]
+    while todo:
+        s, t = todo[-1]
+        if score(s)[column[t]]:
+            todo.pop()
+            continue
+        ends, x, y = sides(node_a[s], node_b[t])
+        below: defaultdict = defaultdict(set)
+        for q in y if x else ():
+            below[lb[q]].add(sb[q])
+        unknown = []
+        for u in {sa[p] for p in x} if y else ():
+            known = score(u)
+            unknown += [(u, v) for v in below.get(la[node_a[u]], ()) if not known[column[v]]]
+        if unknown:
+            todo += unknown
+            continue
+        todo.pop()
+        row, weigh = last(y), weigher(y)
+        for p in reversed(x if y else ()):
+            row = _before(row, weigh(p))
+        score(s)[column[t]] = 1 + sum(za[p] for p, _ in ends) + int(row[0])
+    pairs = [(0, 0)]
+    while pairs:
+        i, j = pairs.pop()
+        out[i] = j
+        if sa[i] == sb[j]:
+            pairs += zip(ka[i], kb[j])
+            continue
+        ends, x, y = sides(i, j)
+        pairs += ends
+        if not x or not y:
+            continue
+        weigh, step, row, stops = weigher(y), isqrt(len(x)) + 1, last(y), {len(x): last(y)}
+        for p in range(len(x) - 1, -1, -1):
+            row = _before(row, weigh(x[p]))
+            if p % step == 0:
+                stops[p] = row
+        p = q = 0
+        while p < len(x) and q < len(y):
+            end = min(len(x), (p // step + 1) * step)
+            weights = [weigh(k) for k in x[p:end]]
+            best = [stops[end]]
+            for w in reversed(weights):
+                best.append(_before(best[-1], w))
+            best.reverse()
+            first = p
+            while p < end and q < len(y):
+                here, under = best[p - first], best[p - first + 1]
+                if la[x[p]] == lb[y[q]] and here[q] == under[q + 1] + weights[p - first][q]:
+                    pairs.append((x[p], y[q]))
                     p, q = p + 1, q + 1
-                elif best[p][q] == best[p + 1][q]:
+                elif here[q] == under[q]:
                     p += 1
                 else:
                     q += 1
-    todo = [(0, 0)]
-    while todo:
-        i, j = todo.pop()
-        out[i] = j
-        todo += plans[i, j][0] if (i, j) in plans else zip(ka[i], kb[j])
-    return score[0, 0], out
+    return int(score(sa[0])[column[sb[0]]]), out
 
 
 def ruled(layout: Layout) -> list[bool]:
@@ -477,34 +545,94 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["page_id", "url", "host", "layout", "shape", "nodes", "texts", "linked"])
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each layout's best reference, and every node's place in it.
+def _aligned(floor: float | None = None):
+    """Each layout's best reference, and every node's place in it; with ``floor`` each reference that is so much alike.
 
     A node without a match has the place of its nearest matched ancestor; ``state`` is 1 for such a node, 2 if it is marked.
     """
-    for batch in batches:
-        out, trees = [], {}
-        for host, layout, shape, shapes in zip(batch["host"], batch["layout"], batch["shape"], batch["shapes"], strict=True):
-            own, best = unpacked(shape), (-1.0, -1, None)
-            for n, other in enumerate(shapes if shapes is not None else ()):
-                if other not in trees:
-                    trees[other] = unpacked(other)
-                score, at = matched(own, trees[other])
-                best = max(best, (2 * score / (len(own) + len(trees[other])), -n, at), key=lambda x: x[:2])
-            _, n, at = best
-            state = [0] * len(own)
-            if at is None:
-                n, at = 1, list(range(len(own)))
-            for i, (p, flag, _) in enumerate(own):
-                if at[i] < 0:
-                    at[i], state[i] = at[p], max(1, state[p], 2 * (flag in (OFF, TALK)))
-            out.append((host, layout, -n, at, state, ruled(own)))
-        yield pd.DataFrame(out, columns=["host", "layout", "ref", "at", "state", "ruled"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out, trees = [], {}
+            for host, layout, n, shape, refs in zip(batch["host"], batch["layout"], batch["n"], batch["shape"], batch["refs"], strict=True):
+                own, found = unpacked(shape), []
+                labels = Counter(label for *_, label in own) if floor is not None else None
+                for r in refs if refs is not None else ():
+                    if r["shape"] not in trees:
+                        other = unpacked(r["shape"])
+                        trees[r["shape"]] = other, Counter(label for *_, label in other)
+                    other, theirs = trees[r["shape"]]
+                    nodes = len(own) + len(other)
+                    if floor is not None and 2 * (labels & theirs).total() < floor * nodes:
+                        continue
+                    score, at = matched(own, other)
+                    found.append((2 * score / nodes, -r["ref"], at))
+                if floor is not None:
+                    found = [x for x in found if x[0] >= floor]
+                else:
+                    found = [max(found, key=lambda x: x[:2])] if found else [(-1.0, 1, list(range(len(own))))]
+                for alike, ref, at in found:
+                    state = [0] * len(own)
+                    for i, (p, flag, _) in enumerate(own):
+                        if at[i] < 0:
+                            at[i], state[i] = at[p], max(1, state[p], 2 * (flag in (OFF, TALK)))
+                    out.append((host, layout, n, -ref, alike, at, state, ruled(own)))
+            yield pd.DataFrame(out, columns=["host", "layout", "n", "ref", "alike", "at", "state", "ruled"])
+
+    return run
+
+
+_ALIGNED = "host string, layout long, n long, ref int, alike double, at array<int>, state array<int>, ruled array<boolean>"
+
+
+def _commonest(layouts: DataFrame, most: int, taken: int) -> DataFrame:
+    """The ``most`` commonest layouts of each host as references, numbered from ``taken``: ``host, layout, ref, shape``."""
+    order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("layout"))
+    ranked = layouts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return cut(ranked.select("host", "layout", (F.col("rank") - 1 + taken).alias("ref"), "shape"))
+
+
+def _references(layouts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """References ``host, ref, shape``, and each layout with its own one and its nodes' places there."""
+    says = F.contains("shape", F.lit("#text"))  # pages that say anything
+    shown = F.struct("ref", "shape")
+    refs = [_commonest(layouts.where(says), REFERENCES, 0)]
+    lists = refs[0].groupBy("host").agg(F.sort_array(F.collect_list(shown)).alias("refs"))
+    first = cut(layouts.join(light(lists), "host", "left").select("host", "layout", "n", "shape", "refs").mapInPandas(_aligned(), _ALIGNED))
+    aligned, most, taken = [first], REFERENCES, REFERENCES
+    pair = ["host", "layout"]
+    left = layouts.where(says).join(first.where(F.col("alike") < ALIKE).select(*pair), pair, "left_semi")
+    while True:
+        # hosts with fewer pages left than a template takes have none to learn
+        enough = left.groupBy("host").agg(F.sum("n").alias("pages")).where(F.col("pages") >= least).select("host")
+        left = cut(left.join(enough, "host", "left_semi"))
+        if left.isEmpty():
+            break
+        new = _commonest(left, most, taken)
+        blocks = new.groupBy("host", F.floor(F.col("ref") / BLOCK).alias("block")).agg(F.collect_list(shown).alias("refs"))
+        found = cut(left.join(blocks, "host").select("host", "layout", "n", "shape", "refs").mapInPandas(_aligned(ALIKE), _ALIGNED))
+        useful = found.groupBy("host", "ref").agg(F.sum("n").alias("pages")).where(F.col("pages") >= least).select("host", "ref")
+        best = F.max_by(F.struct("n", "ref", "alike", "at", "state", "ruled"), F.struct("alike", -F.col("ref")))
+        chosen = cut(found.join(useful, ["host", "ref"], "left_semi").groupBy(*pair).agg(best.alias("x")).select(*pair, "x.*"))
+        aligned.append(chosen)
+        refs.append(new)
+        # a reference that too few pages are alike to is done with as well
+        left = left.join(chosen.select(*pair).union(new.select(*pair)).distinct(), pair, "left_anti")
+        most, taken = 2 * most, taken + most
+    if len(refs) == 1:
+        return refs[0], first
+    later = aligned[1]
+    for part in aligned[2:]:
+        later = later.union(part)
+    every = refs[0]
+    for part in refs[1:]:
+        every = every.union(part)
+    return every, cut(first.join(later.select(*pair), pair, "left_anti").union(later))
 
 
 def _slots(ref: int, place: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Names of texts at places of a reference."""
-    return (marks.astype(np.int64).view(np.uint64) + (place.astype(np.int64) + (ref + 2) * 4_000_037).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return (marks.astype(np.int64).view(np.uint64) + (place.astype(np.int64) + ((int(ref) + 2) << 32)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -517,7 +645,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         pages_: Counter = Counter()
         text: defaultdict = defaultdict(lambda: [0, 0])
-        known: dict[str, np.ndarray] = {}
+        known: dict[tuple, np.ndarray] = {}
 
         def rows() -> pd.DataFrame:
             return pd.DataFrame([(h, r, SLOT, s, k, 0, 0) for (h, r, s), k in n.items()] + [(h, r, PAGE, 0, k, 0, 0) for (h, r), k in pages_.items()] + [(h, r, p, 0, 0, *x) for (h, r, p), x in text.items()], columns=names)
@@ -526,9 +654,9 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             place = np.asarray(at)[nodes] if len(nodes) else np.empty(0, np.int64)
             slots = _slots(ref, place, np.asarray(marks, np.int64))
             if common is not None:
-                if host not in known:
-                    known[host] = np.asarray(common, np.int64)
-                own = ~np.isin(slots, known[host])
+                if (host, ref) not in known:
+                    known[host, ref] = np.asarray(common, np.int64)
+                own = ~np.isin(slots, known[host, ref])
                 tied = np.asarray(linked, np.int64)
                 free = np.asarray(chars, np.int64) - tied
                 ruled_ = np.where(np.asarray(by_rule)[nodes], free, 0)
@@ -549,47 +677,43 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _constant(counts: DataFrame, share: float, least: int) -> DataFrame:
-    """Slots that at least ``share`` of the counted pages of a host and reference bear: ``host, slots``."""
+    """Slots that at least ``share`` of the counted pages of a host and reference bear: ``host, ref, slots``."""
     of = counts.where(F.col("place") == PAGE).select("host", "ref", F.col("n").alias("of")).where(F.col("of") >= least)
     constant = counts.where(F.col("place") == SLOT).join(light(of), ["host", "ref"]).where(F.col("n") >= share * F.col("of"))
-    return cut(constant.groupBy("host").agg(F.collect_list("slot").alias("slots")))  # no more than the slots of a page / share, a reference
+    return cut(constant.groupBy("host", "ref").agg(F.collect_list("slot").alias("slots")))  # no more than the slots of a page / share
 
 
 def _wrapped(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per host, the content nodes of each reference (null: the rules decide)."""
+        """The content nodes of each reference (null: the rules decide)."""
         for batch in batches:
             out = []
-            for host, shapes, stats in zip(batch["host"], batch["shapes"], batch["stats"], strict=True):
-                keep = []
-                for ref, shape in enumerate(shapes):
-                    mine = [s for s in stats if s["ref"] == ref]
-                    pages = sum(s["n"] for s in mine if s["place"] < 0)
-                    sums = [s for s in mine if s["place"] >= 0]
-                    keep.append(induced(unpacked(shape), {s["place"]: s["plain"] for s in sums}, {s["place"]: s["linked"] for s in sums}) if pages >= least else None)
-                out.append((host, keep))
-            yield pd.DataFrame(out, columns=["host", "keep"])
+            for host, ref, shape, stats in zip(batch["host"], batch["ref"], batch["shape"], batch["stats"], strict=True):
+                pages = sum(s["n"] for s in stats if s["place"] < 0)
+                sums = [s for s in stats if s["place"] >= 0]
+                keep = induced(unpacked(shape), {s["place"]: s["plain"] for s in sums}, {s["place"]: s["linked"] for s in sums}) if pages >= least else None
+                out.append((host, ref, keep))
+            yield pd.DataFrame(out, columns=["host", "ref", "keep"])
 
     return run
 
 
 def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        known: dict[str, np.ndarray] = {}
+        known: dict[tuple, np.ndarray] = {}
         out = []
         for host, ref, at, state, by_rule, keep, nodes, marks, texts, chars, linked, slots in zip(*(batch[c] for c in ("host", "ref", "at", "state", "ruled", "keep", "nodes", "marks", "texts", "chars", "linked", "slots")), strict=True):
             if not len(texts):
                 out.append("")
                 continue
-            mine = keep[ref] if keep is not None and 0 <= ref < len(keep) else None
             nodes = np.asarray(nodes)
             place = np.asarray(at)[nodes]
-            own = None if mine is None else np.asarray(mine)[place]
+            own = None if keep is None else np.asarray(keep)[place]
             kept = np.asarray(by_rule)[nodes] if own is None else (own > 0) & (np.asarray(state)[nodes] < 2)
             if slots is not None:
-                if host not in known:
-                    known[host] = np.asarray(slots, np.int64)
-                varies = ~np.isin(_slots(ref, place, np.asarray(marks, np.int64)), known[host])
+                if (host, ref) not in known:
+                    known[host, ref] = np.asarray(slots, np.int64)
+                varies = ~np.isin(_slots(ref, place, np.asarray(marks, np.int64)), known[host, ref])
                 title = False if own is None else (own == 2) & (2 * np.asarray(linked) <= np.asarray(chars))
                 kept = kept & (varies | title)
             out.append(" ".join(t for t, k in zip(texts, kept.tolist(), strict=True) if k))
@@ -603,12 +727,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     parsed = base.mapInPandas(_parsed, _PARSED)
     parsed = cut(parsed.withColumn("marks", F.transform("texts", lambda t: F.xxhash64(t))).withColumn("chars", F.transform("texts", lambda t: F.length(t))))
     layouts = cut(parsed.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("shape").alias("shape")))
-    # ---- references: the commonest layouts of pages that say anything
-    fit = layouts.where((F.size(F.split("shape", "\n")).between(2, MOST_NODES)) & F.contains("shape", F.lit("#text")))
-    groups = fit.groupBy("host", F.pmod("layout", F.lit(GROUPS)).alias("g")).agg(F.max(F.struct("n", "layout", "shape")).alias("x"))
-    ranked = groups.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("x")))).where(F.col("rank") <= REFERENCES)
-    refs = cut(ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("x.shape").alias("shape")))).alias("refs")).select("host", F.col("refs.shape").alias("shapes")))
-    aligned = cut(layouts.join(light(refs), "host", "left").select("host", "layout", "shape", "shapes").mapInPandas(_aligned, "host string, layout long, ref int, at array<int>, state array<int>, ruled array<boolean>"))
+    refs, aligned = _references(layouts, least)
+    aligned = aligned.select("host", "layout", "ref", "at", "state", "ruled")
     placed = parsed.join(light(aligned), ["host", "layout"])
     hosts = None
     if template:
@@ -618,11 +738,12 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             return cut(rows.mapInPandas(_counted, schema).groupBy("host", "ref", "place", "slot").agg(*[F.sum(c).alias(c) for c in ("n", "plain", "linked")]))
 
         common = _constant(added(count.withColumn("common", F.lit(None).cast("array<long>"))), share, 1)
-        counts = added(count.join(light(common.withColumnRenamed("slots", "common")), "host", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))))
+        place = ["host", "ref"]
+        counts = added(count.join(light(common.withColumnRenamed("slots", "common")), place, "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))))
         templates = _constant(counts, share, least)
-        stats = counts.where(F.col("place") != SLOT).groupBy("host").agg(F.collect_list(F.struct("ref", "place", "n", "plain", "linked")).alias("stats"))  # a row a node of a reference
-        keep = refs.join(stats, "host").mapInPandas(_wrapped(least), "host string, keep array<array<tinyint>>")
-        hosts = cut(keep.join(templates, "host", "left"))
-    joined = placed.join(light(hosts), "host", "left") if hosts is not None else placed.withColumn("keep", F.lit(None).cast("array<array<tinyint>>")).withColumn("slots", F.lit(None).cast("array<long>"))
+        stats = counts.where(F.col("place") != SLOT).groupBy(*place).agg(F.collect_list(F.struct("place", "n", "plain", "linked")).alias("stats"))  # a row a node of a reference
+        keep = refs.join(stats, place).select("host", "ref", "shape", "stats").mapInPandas(_wrapped(least), "host string, ref int, keep array<tinyint>")
+        hosts = cut(keep.join(templates, place, "left"))
+    joined = placed.join(light(hosts), ["host", "ref"], "left") if hosts is not None else placed.withColumn("keep", F.lit(None).cast("array<tinyint>")).withColumn("slots", F.lit(None).cast("array<long>"))
     columns = ("page_id", "url", "host", "ref", "at", "state", "ruled", "keep", "nodes", "marks", "texts", "chars", "linked", "slots")
     return joined.select(*columns).mapInPandas(_extracted, "page_id long, url string, text string, n_chars long")
