@@ -80,6 +80,23 @@ def test_overlaps_equal_brute_force(spark, width, upto):
     assert layout.overlap_conflicts(_ranges(spark, a).where("false"), _ranges(spark, b), width).count() == 0
 
 
+def test_overlaps_in_grids_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(layout, "GRID_ROWS", 3)
+    test_overlaps_equal_brute_force(spark, 7, 200)
+    test_overlaps_equal_brute_force(spark, 1000, 100)
+
+
+def test_a_hot_key_becomes_a_grid(spark):
+    rows = lambda n, name: spark.range(n).select(F.lit("hot").alias("track"), F.col("id").alias(name)).union(spark.createDataFrame([("cold", 1), (f"only {name}", 2)], "track string, n long"))
+    a, b = layout._grid(rows(2000, "x"), rows(500, "y"), ["track"], 100)
+    for side, copies in ((a, {"hot": 2000 * 5, "cold": 1, "only x": 1}), (b, {"hot": 500 * 20, "cold": 1, "only y": 1})):
+        assert {r["track"]: r["count"] for r in side.groupBy("track").count().collect()} == copies
+    pairs = a.join(b, ["track", "row", "col"])
+    assert pairs.select("track", "x", "y").distinct().count() == pairs.count() == 2000 * 500 + 1
+    cells = [r["count"] for r in pairs.where("track = 'hot'").groupBy("row", "col").count().collect()]
+    assert len(cells) == 20 * 5 and max(cells) < 3 * 100 * 100
+
+
 @pytest.mark.parametrize(("seed", "upto"), [(1, 30), (2, 200), (3, 10**12)])
 def test_places_tell_all_open_end_pairs(spark, seed, upto):
     rng = random.Random(seed)

@@ -65,3 +65,22 @@ def test_open_end_counts_of_all_ranges(spark, con):
 def test_open_end_counts_make_no_pairs(spark):
     plan = registry.QUERIES["overlap_open_end_whole"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in plan  # a search of pairs deals its ranges out by stretches
+
+
+def _pairs_sql(name):
+    from mediatables import queries_media as q
+
+    def pairs(left, right, on):
+        return f"SELECT l.track, l.id AS left_id, r.id AS right_id FROM {left} l JOIN {right} r ON l.track = r.track AND {on}"
+
+    return {
+        "overlap_open_end_pairs": pairs(q._interval_sql("signup"), q._interval_sql("purchase"), "r.e > l.s"),
+    }[name]
+
+
+@pytest.mark.parametrize("name", ["overlap_open_end_pairs"])
+def test_pairs_come_out_one_a_row(spark, con, name):
+    got, want, stated = registry.QUERIES[name](spark, DATA), con.sql(_pairs_sql(name)), con.sql(registry.ORACLES[name])
+    assert got.columns == ["track", "left_id", "right_id"]
+    rows = _rows(want.columns, want.fetchall())
+    assert rows and _rows(got.columns, got.collect()) == rows == _rows(stated.columns, stated.fetchall())
