@@ -85,11 +85,12 @@ def _grid(a: DataFrame, b: DataFrame, key: list[str], size: int) -> tuple[DataFr
     """
     parts = lambda side, name: side.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     hot = parts(a, "rows").join(parts(b, "cols"), key).where("rows > 1 or cols > 1")
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as tasks put together by their few bytes would make most of the pairs each
 
     def dealt(side: DataFrame, own: str, of: str, other: str, others: str) -> DataFrame:
         at = F.pmod(F.xxhash64(*[F.col(c) for c in side.columns]), F.coalesce(F.col(of), F.lit(1))).cast("int")
         copies = F.sequence(F.lit(0), F.coalesce(F.col(others), F.lit(1)) - 1)
-        return side.join(hot, key, "left").select(*side.columns, at.alias(own), F.explode(copies).alias(other)).repartition(*key, "row", "col")
+        return side.join(hot, key, "left").select(*side.columns, at.alias(own), F.explode(copies).alias(other)).repartition(tasks, *key, "row", "col")
 
     return dealt(a, "row", "rows", "col", "cols"), dealt(b, "col", "cols", "row", "rows")
 
