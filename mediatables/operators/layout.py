@@ -84,7 +84,7 @@ def _grid(a: DataFrame, b: DataFrame, key: list[str], size: int) -> tuple[DataFr
     n x m pairs at most 2 x n x m / size + n + m rows are dealt. Rows that are equal in every column stay together.
     """
     parts = lambda side, name: side.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    hot = parts(a, "rows").join(parts(b, "cols"), key).where("rows > 1 or cols > 1")
+    hot = parts(a, "rows").join(parts(b, "cols"), key).where("rows > 1 or cols > 1").hint("shuffle_hash")  # few rows, so the sides need no sort for them
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as tasks put together by their few bytes would make most of the pairs each
 
     def dealt(side: DataFrame, own: str, of: str, other: str, others: str) -> DataFrame:

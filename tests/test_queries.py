@@ -76,10 +76,11 @@ def _pairs_sql(name):
     return {
         "overlap_open_end_pairs": pairs(q._interval_sql("signup"), q._interval_sql("purchase"), "r.e > l.s"),
         "overlap_conflicts_volume": pairs(q._VOLUME, q._VOLUME, "r.s < l.e AND r.e > l.s AND l.id % 2 = 0 AND r.id % 2 = 1"),
+        "overlap_conflicts_long": pairs(q._LONG, q._LONG, "r.s < l.e AND r.e > l.s AND l.e > l.s AND r.e > r.s AND l.id % 2 = 0 AND r.id % 2 = 1"),
     }[name]
 
 
-@pytest.mark.parametrize("name", ["overlap_open_end_pairs", "overlap_conflicts_volume"])
+@pytest.mark.parametrize("name", ["overlap_open_end_pairs", "overlap_conflicts_volume", "overlap_conflicts_long"])
 def test_pairs_come_out_one_a_row(spark, con, name):
     got, want, stated = registry.QUERIES[name](spark, DATA), con.sql(_pairs_sql(name)), con.sql(registry.ORACLES[name])
     assert got.columns == ["track", "left_id", "right_id"]
