@@ -1,6 +1,7 @@
 """Running sums in ranges, searches of ranges, and series at other rates, against plain versions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -86,6 +87,12 @@ def test_overlaps_in_grids_equal_brute_force(spark, monkeypatch):
     test_overlaps_equal_brute_force(spark, 1000, 100)
 
 
+def test_open_ends_bring_no_track_together(spark):
+    rows = _ranges(spark, [(0, 1, 0, 9)])
+    plan = layout.open_end_pairs(rows, rows, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[track#\d+\],", plan)  # as it would be one task's work for a hot track
+
+
 def test_a_hot_key_becomes_a_grid(spark):
     rows = lambda n, name: spark.range(n).select(F.lit("hot").alias("track"), F.col("id").alias(name)).union(spark.createDataFrame([("cold", 1), (f"only {name}", 2)], "track string, n long"))
     a, b = layout._grid(rows(2000, "x"), rows(500, "y"), ["track"], 100)
